@@ -7,4 +7,5 @@ to ``(spark, sf_dir) -> DataFrame`` and ``ORACLE`` maps it to SQL.
 from corpusflow.plans.registry import ORACLE, QUERIES  # noqa: F401
 from corpusflow.plans import (  # noqa: F401
     q_sampling,
+    q_schema,
 )

@@ -53,3 +53,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = tempfile.mkdtemp(prefix="corpusflow-ckpt-")
     sc.setCheckpointDir(d)
     return d
+
+
+def scratch_dir(spark: SparkSession, tag: str) -> str:
+    """A fresh folder under the shared checkpoint folder for written tables."""
+    import uuid
+    base = checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
