@@ -44,21 +44,23 @@ def array_stats(arr: Column) -> dict[str, Column]:
     return {"mean": mean, "abs_mean": sa / n, "std": std}
 
 
-def layer_group_key(name: Column) -> Column:
+def layer_group_key(name: Column, sep: str = ".") -> Column:
     """First all-digit dotted part ``d`` -> ``layer_d`` plus ``_<next part>`` if any.
 
     Names without an all-digit part give null (and are dropped by the caller).
     """
-    parts = F.split(name, r"\.")
+    import re
+    parts = F.split(name, re.escape(sep))
     idx = F.array_position(F.transform(parts, lambda p: p.rlike(r"^[0-9]+$")), True)
     digit = F.element_at(parts, idx.cast("int"))
     nxt = F.when(idx < F.size(parts), F.concat(F.lit("_"), F.element_at(parts, (idx + 1).cast("int")))).otherwise(F.lit(""))
     return F.when(idx > 0, F.concat(F.lit("layer_"), digit, nxt))
 
 
-def path_group_mean(df: DataFrame, name: str, score: str, out: str = "group_key") -> DataFrame:
+def path_group_mean(df: DataFrame, name: str, score: str, out: str = "group_key",
+                    sep: str = ".") -> DataFrame:
     """Group mean by the layer key of a dotted path; names with no key dropped."""
-    k = df.withColumn(out, layer_group_key(F.col(name))).where(F.col(out).isNotNull())
+    k = df.withColumn(out, layer_group_key(F.col(name), sep)).where(F.col(out).isNotNull())
     return k.groupBy(out).agg(F.avg(score).alias("mean_score"), F.count(F.lit(1)).alias("n_items"))
 
 

@@ -8,4 +8,5 @@ from corpusflow.plans.registry import ORACLE, QUERIES  # noqa: F401
 from corpusflow.plans import (  # noqa: F401
     q_sampling,
     q_schema,
+    q_profile,
 )
