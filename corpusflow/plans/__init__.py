@@ -9,4 +9,5 @@ from corpusflow.plans import (  # noqa: F401
     q_sampling,
     q_schema,
     q_profile,
+    q_text,
 )
