@@ -33,21 +33,27 @@ def _cols(cs):
 
 
 def class_rank(df: DataFrame, by: list[str], order: Column, key: str,
-               out: str = "rank", max_rank: int | Column | None = None,
-               bucket_hex: int = 4) -> DataFrame:
+               out: str = "rank", max_rank: int | None = None,
+               bucket_hex: int = 4, limit_col: str | None = None) -> DataFrame:
     """``row_number() over (partition by *by order by order, key)`` in two passes.
 
     ``order`` must be an md5 hex string (see ``functions.hashing.hash_order``)
     so that its first ``bucket_hex`` characters are uniform buckets.
     ``max_rank`` keeps only rows with rank <= max_rank (pruning whole buckets
-    before the row-level window).
+    before the row-level window).  ``limit_col`` names a column of ``df`` that
+    is constant within a group and gives that group's own limit.
     """
     h = df.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, bucket_hex))
-    sizes = h.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    if limit_col is not None:
+        h = h.withColumn("_lim", F.col(limit_col))
+        max_rank = F.col("_lim")
+    sizes = h.groupBy(*by, *(["_lim"] if limit_col else []), "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("bigint"))
     if max_rank is not None:
         offs = offs.where(F.col("_off") < max_rank)
+        if limit_col is not None:
+            offs = offs.drop("_lim")
     offs = offs.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_b").alias("_kb"), "_off")
     cond = F.col("_b") == F.col("_kb")
     for c in by:
@@ -57,7 +63,7 @@ def class_rank(df: DataFrame, by: list[str], order: Column, key: str,
     r = j.withColumn(out, (F.col("_off") + F.row_number().over(w2)).cast("bigint"))
     if max_rank is not None:
         r = r.where(F.col(out) <= max_rank)
-    return r.drop("_h", "_b", "_off")
+    return r.drop("_h", "_b", "_off", "_lim")
 
 
 def global_rank(df: DataFrame, order: list, key: str, out: str = "rank",

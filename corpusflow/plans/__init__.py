@@ -10,4 +10,5 @@ from corpusflow.plans import (  # noqa: F401
     q_schema,
     q_profile,
     q_text,
+    q_budget,
 )
