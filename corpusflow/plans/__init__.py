@@ -11,4 +11,5 @@ from corpusflow.plans import (  # noqa: F401
     q_profile,
     q_text,
     q_budget,
+    q_eval,
 )
