@@ -43,9 +43,12 @@ def centroid_matrix(df: DataFrame, label: str, vec: str) -> DataFrame:
                     F.transform("_m", lambda m: m["centroid"]).alias("W"))
 
 
-def probe_logits(df: DataFrame, label: str, vec: str, out: str = "logits") -> DataFrame:
-    """Centroid probe (C1): ``logits[k] = x . centroid_k`` for sorted classes."""
-    M = centroid_matrix(df, label, vec)
+def probe_logits(df: DataFrame, label: str, vec: str, out: str = "logits",
+                 fit: DataFrame | None = None) -> DataFrame:
+    """Centroid probe (C1): ``logits[k] = x . centroid_k`` for sorted classes.
+
+    Centroids come from ``fit`` (default: ``df`` itself)."""
+    M = centroid_matrix(df if fit is None else fit, label, vec)
     x = as_double_array(F.col(vec))
     # M is one row of classes x dim numbers: broadcasting it is bounded by the model size
     j = df.crossJoin(F.broadcast(M))

@@ -12,4 +12,5 @@ from corpusflow.plans import (  # noqa: F401
     q_text,
     q_budget,
     q_eval,
+    q_matrix,
 )
