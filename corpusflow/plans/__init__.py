@@ -13,4 +13,5 @@ from corpusflow.plans import (  # noqa: F401
     q_budget,
     q_eval,
     q_matrix,
+    q_analytics,
 )
