@@ -11,6 +11,7 @@ import html as _html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The named HTML entities decoded natively, in replacement
 # order.  ``&amp;`` comes last so that ``&amp;lt;`` becomes ``&lt;`` (one pass).
@@ -37,7 +38,7 @@ def html_unescape(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescape_full(s: pd.Series) -> pd.Series:
     """Full HTML5 entity table and numeric references (T1, Arrow-batched)."""
     return s.map(lambda x: None if x is None else _html.unescape(x))
