@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 # order.  ``&amp;`` comes last so that ``&amp;lt;`` becomes ``&lt;`` (one pass).
 ENTITIES = [
     ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&#60;", "<"),
-    ("&gt;", ">"), ("&#62;", ">"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
+    ("&gt;", ">"), ("&#62;", ">"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"),
     ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
     ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
     ("&euro;", "€"), ("&amp;", "&"), ("&#38;", "&"),

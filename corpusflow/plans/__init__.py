@@ -14,4 +14,5 @@ from corpusflow.plans import (  # noqa: F401
     q_eval,
     q_matrix,
     q_analytics,
+    q_stream,
 )
