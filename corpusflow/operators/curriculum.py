@@ -74,13 +74,14 @@ def argmax(arr: Column) -> Column:
 
 
 def tertiles(df: DataFrame, score: Column, key: str, digits: int = 9, out: str = "bin") -> DataFrame:
-    """Easy / medium / hard thirds by ascending score.
+    """Easy / medium / hard thirds by ascending score (C3, W4, T11): returns
+    ``key, tertile, bin``.
 
     The score is rounded to ``digits`` so the order does not depend on the
     last bits of a float sum; ties go by ``key``.  The rank is global but
     computed per range partition (``global_rank``), not in one task.
     """
-    x = df.withColumn("_sc", F.round(score, digits))
+    x = df.select(key, F.round(score, digits).alias("_sc"))
     r = global_rank(x, ["_sc"], key)
     n = x.agg(F.count(F.lit(1)).alias("_N"))
     r = r.crossJoin(F.broadcast(n))  # one-row count

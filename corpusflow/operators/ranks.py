@@ -14,9 +14,10 @@ is the job.  The two ranks here compute the same numbers in two passes:
 
 * ``global_rank`` (value order over the whole table): range-partition on
   ``(value..., key)`` (Spark samples the composite key, so heavy ties in the
-  value are split by the key), count rows per range, and add each range's
-  offset to the row number inside the range.  The offset table has one row
-  per range, so broadcasting it is bounded by ``num_ranges``.
+  value are split by the key), checkpoint that assignment, count rows per
+  range, and add each range's offset to the row number inside the range.
+  The offset table has one row per range, so broadcasting it is bounded by
+  ``num_ranges``.
 
 ``stratified_quota`` turns class counts into per-class quotas with the
 largest-remainder rule used by stratified splits.
@@ -68,11 +69,22 @@ def class_rank(df: DataFrame, by: list[str], order: Column, key: str,
 
 def global_rank(df: DataFrame, order: list, key: str, out: str = "rank",
                 num_ranges: int | None = None) -> DataFrame:
-    """``row_number() over (order by *order, key)`` without a single-task window."""
+    """``row_number() over (order by *order, key)`` without a single-task window.
+
+    The range bounds Spark samples are seeded by the RDD id, so two plan
+    branches over the same ``repartitionByRange`` may disagree on which range
+    a row is in.  The range assignment is therefore materialised once with a
+    reliable ``checkpoint()`` (in ``spark.checkpoint.dir``), and both the range
+    sizes and the in-range row numbers read that copy.  Pass only the columns
+    you need: they are what gets written.
+    """
+    from corpusflow.session import checkpoint_dir
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _cols(order) + [F.col(key)]
-    ranged = df.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id())
+    ranged = (df.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id())
+                .checkpoint(eager=True))
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     # one row per range (<= n rows): a bounded table, so the global window and
     # the broadcast below are both sized by the parameter, not by the data.

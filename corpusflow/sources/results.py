@@ -63,19 +63,31 @@ def write_results(results: DataFrame, path: str, col: str = "result") -> None:
 def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Scan a folder of result JSON; returns (good rows, corrupt rows).
 
-    A missing folder gives two empty tables (the reference prints and returns).
+    Files may hold one pretty-printed document (the reference layout) or JSON
+    Lines (this package's sink): each file is read whole, split into lines
+    only when its first line is itself a complete object, and parsed with
+    ``from_json`` in PERMISSIVE mode, so a bad document becomes a row with
+    ``_corrupt`` set instead of failing the scan.  A missing folder gives two
+    empty tables (the reference prints and returns).
     """
     from corpusflow.sources.csv_splits import _fs_exists
+    empty = spark.createDataFrame([], RESULT_SCHEMA)
     if not _fs_exists(spark, path):
-        empty = spark.createDataFrame([], RESULT_SCHEMA)
-        return empty, empty
-    df = (spark.read.schema(RESULT_SCHEMA).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt").json(path))
-    df = df.withColumn("_file", F.input_file_name())
-    # cache-free split: Spark forbids queries that only reference the corrupt column
-    # on a raw scan, so both sides keep a real field in the projection
-    good = df.where(F.col("_corrupt").isNull()).drop("_corrupt")
-    bad = df.where(F.col("_corrupt").isNotNull()).select("_file", "_corrupt", "experiment_name")
+        return empty, empty.select(F.lit(None).cast("string").alias("_file"), "_corrupt", "experiment_name")
+    # the keyword form: ``text()`` would override an earlier ``option("wholetext")``
+    t = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
+    body = F.trim(F.col("value"))
+    first = F.trim(F.element_at(F.split(body, "\n"), 1))
+    is_lines = (F.length(first) > 1) & first.endswith("}")
+    docs = F.when(is_lines, F.split(body, "\n")).otherwise(F.array(body))
+    d = t.select("_file", F.explode(docs).alias("doc")).where(F.length(F.trim("doc")) > 0)
+    parsed = d.select("_file", F.from_json("doc", RESULT_SCHEMA, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"), "doc")
+    parsed = parsed.select("_file", "r.*", F.col("doc").alias("_doc"))
+    bad_row = F.col("_corrupt").isNotNull() | F.col("experiment_name").isNull() & F.col("_doc").isNotNull() & \
+        ~F.col("_doc").startswith("{")
+    good = parsed.where(~bad_row).drop("_corrupt", "_doc")
+    bad = parsed.where(bad_row).select("_file", F.coalesce("_corrupt", "_doc").alias("_corrupt"), "experiment_name")
     return good, bad
 
 
