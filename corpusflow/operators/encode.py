@@ -29,7 +29,7 @@ def build_vocab(df: DataFrame, text: str, size: int) -> DataFrame:
 
 
 def token_ids(df: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int | None) -> DataFrame:
-    """``(key, pos, id)`` for the first ``max_length`` words (all when None).
+    """``(key, pos, term, token_id)`` for the first ``max_length`` words (all when None).
 
     The vocabulary is bounded by its ``size`` parameter, so it is broadcast;
     the long side is never shuffled for the lookup.
@@ -41,7 +41,7 @@ def token_ids(df: DataFrame, key: str, text: str, vocab: DataFrame, max_length:
     ex = df.select(key, F.posexplode_outer(w).alias("pos", "term"))
     v = F.broadcast(vocab.select("term", F.col("id").alias("_vid")))
     return ex.join(v, "term", "left").select(
-        key, "pos", "term", F.when(F.col("pos").isNotNull(), F.coalesce("_vid", F.lit(UNK))).alias("id"))
+        key, "pos", "term", F.when(F.col("pos").isNotNull(), F.coalesce("_vid", F.lit(UNK))).alias("token_id"))
 
 
 def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int) -> DataFrame:
@@ -52,9 +52,9 @@ def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int
     row, so the shuffle carries one array per row (the output itself).
     """
     ids = token_ids(df, key, text, vocab, max_length)
-    tok = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))
+    tok = F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id"))
     g = ids.groupBy(key).agg(F.array_sort(F.collect_list(tok)).alias("_s"))
-    base = g.select(key, F.transform("_s", lambda s: s["id"]).alias("_ids"))
+    base = g.select(key, F.transform("_s", lambda s: s["token_id"]).alias("_ids"))
     n = F.size("_ids")
     pad = F.array_repeat(F.lit(PAD), F.lit(max_length) - n)
     return base.select(key,
@@ -74,7 +74,7 @@ def length_profile(df: DataFrame, by, text: str, max_length: int) -> DataFrame:
 def oov_ratio(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
     """Share of tokens outside the vocabulary per row (T10); no tokens -> null."""
     ids = token_ids(df, key, text, vocab, None)
-    return ids.groupBy(key).agg(F.avg(F.when(F.col("id") == UNK, 1.0).when(F.col("id").isNotNull(), 0.0)).alias("oov_ratio"))
+    return ids.groupBy(key).agg(F.avg(F.when(F.col("token_id") == UNK, 1.0).when(F.col("token_id").isNotNull(), 0.0)).alias("oov_ratio"))
 
 
 def pad_to_batch_max(encoded: DataFrame, batch: str, n_tokens: str = "n_tokens") -> DataFrame:
