@@ -92,3 +92,8 @@ def manifest(df: DataFrame, dataset: str, split_col: str = "split", text_col: st
 
 def write_manifest(m: DataFrame, path: str) -> None:
     m.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_rows(rows: DataFrame, path: str, col: str = "row") -> None:
+    """One text line per table row (e.g. the rows from ``mean_std_rows``)."""
+    rows.select(col).write.mode("overwrite").text(path)
