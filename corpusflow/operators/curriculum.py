@@ -29,7 +29,10 @@ def dot(a: Column, b: Column) -> Column:
 
 def centroids(df: DataFrame, label: str, vec: str) -> DataFrame:
     """Per-class mean vector: ``(label, centroid array<double>)``."""
-    ex = df.select(label, F.posexplode(as_double_array(F.col(vec))).alias("pos", "x"))
+    # *_outer generators: Spark infers no size() filter for them, so the array
+    # expression is not re-evaluated in pushed-down predicates
+    ex = (df.select(label, F.posexplode_outer(as_double_array(F.col(vec))).alias("pos", "x"))
+            .where(F.col("pos").isNotNull()))
     m = ex.groupBy(label, "pos").agg(F.avg("x").alias("v"))
     return (m.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_s"))
              .select(label, F.transform("_s", lambda s: s["v"]).alias("centroid")))

@@ -21,7 +21,7 @@ def build_vocab(df: DataFrame, text: str, size: int) -> DataFrame:
     feature and bounds the vocabulary, which is what makes it safe to
     broadcast in ``encode``.
     """
-    counts = (df.select(F.explode(words(F.col(text))).alias("term"))
+    counts = (df.select(F.explode_outer(words(F.col(text))).alias("term")).where(F.col("term").isNotNull())
                 .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     top = counts.orderBy(F.col("n").desc(), F.col("term")).limit(size)
     # <= size rows after the limit: this window is bounded by the parameter

@@ -39,8 +39,9 @@ def contains_first_match(a: DataFrame, a_col: str, b: DataFrame, b_col: str, pos
     """
     av = a.select(F.col(a_col).alias("_a")).distinct()
     bv = b.select(F.col(b_col).alias("_bv"), F.col(pos).alias("_pos"))
-    a_subs = av.select("_a", F.explode(substrings(F.col("_a"))).alias("_s")).distinct()
-    b_subs = bv.select("_bv", "_pos", F.explode(substrings(F.col("_bv"))).alias("_s")).distinct()
+    a_subs = av.select("_a", F.explode_outer(substrings(F.col("_a"))).alias("_s")).where(F.col("_s").isNotNull()).distinct()
+    b_subs = (bv.select("_bv", "_pos", F.explode_outer(substrings(F.col("_bv"))).alias("_s"))
+                .where(F.col("_s").isNotNull()).distinct())
     m1 = a_subs.join(bv, a_subs["_s"] == bv["_bv"]).select("_a", "_bv", "_pos")          # b in a
     m2 = av.join(b_subs, av["_a"] == b_subs["_s"]).select("_a", "_bv", "_pos")          # a in b
     best = m1.unionByName(m2).groupBy("_a").agg(F.min_by("_bv", F.struct("_pos", "_bv")).alias(out))

@@ -35,9 +35,12 @@ def batched_probe(df: DataFrame, key: str, label: str, vec: str, n: int, batch:
 def accumulate_gradient(scored: DataFrame, vec: str) -> DataFrame:
     """``G[k, j] = sum_b 1/|b| sum_{i in b} (p_ik - y_ik) x_ij`` (sum of the
     gradients of each batch-mean loss; not divided by the number of batches)."""
-    x = scored.select(F.col("batch_n"), F.posexplode("resid").alias("k", "rk"), as_double_array(F.col(vec)).alias("_x"))
-    x = x.select("batch_n", "k", "rk", F.posexplode("_x").alias("j", "xj"))
-    return x.groupBy("k", "j").agg(F.sum(F.col("rk") * F.col("xj") / F.col("batch_n")).alias("g"))
+    # *_outer generators: no inferred size() filter that would re-run the probe
+    # expressions inside pushed-down predicates
+    x = scored.select(F.col("batch_n"), as_double_array(F.col(vec)).alias("_x"),
+                      F.posexplode_outer("resid").alias("k", "rk"))
+    x = x.select("batch_n", "k", "rk", F.posexplode_outer("_x").alias("j", "xj"))
+    return x.where(F.col("k").isNotNull() & F.col("j").isNotNull()).groupBy("k", "j").agg(F.sum(F.col("rk") * F.col("xj") / F.col("batch_n")).alias("g"))
 
 
 def batch_mean_loss(scored: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.hashing import uniform
+from corpusflow.functions.hashing import TWO_32, hash_order, uniform
 from corpusflow.functions.text import nonspace_tokens
 
 
@@ -37,18 +37,26 @@ def drop_words(df: DataFrame, text: str, key: str, p: float, seed, out: str = "t
 def typos(df: DataFrame, text: str, key: str, p: float, seed, out: str = "text_out") -> DataFrame:
     """In a ``p`` share of tokens (length >= 2) swap two adjacent characters.
 
-    The swap position ``j`` (0-based) is ``floor(u2 * (len - 1))``.
+    One md5 of ``seed|key|i`` per token gives both draws: the gate ``u`` from
+    hex digits 1-8 and the swap position ``j = floor(u2 * (len - 1))``
+    (0-based) from hex digits 9-16.  The digest is computed once per token
+    (a first ``transform`` pairs it with the token).
     """
     toks = nonspace_tokens(F.col(text))
+    hashed = F.transform(toks, lambda w, i: F.struct(w.alias("w"), hash_order(seed, key, i).alias("h")))
 
-    def swap(w, i):
+    def draw(h, start):
+        return F.conv(F.substring(h, start, 8), 16, 10).cast("bigint") / F.lit(TWO_32)
+
+    def swap(x):
+        w, h = x["w"], x["h"]
         n = F.length(w)
-        j = F.floor(uniform(f"{seed}:pos", key, i) * (n - 1)).cast("int")
+        j = F.floor(draw(h, 9) * (n - 1)).cast("int")
         swapped = F.concat(F.substring(w, 1, j), F.substring(w, j + 2, 1), F.substring(w, j + 1, 1),
                            F.substring(w, j + 3, 1 << 30))
-        return F.when((_word_u(seed, key, i) < p) & (n >= 2), swapped).otherwise(w)
+        return F.when((draw(h, 1) < p) & (n >= 2), swapped).otherwise(w)
 
-    return df.withColumn(out, F.array_join(F.transform(toks, swap), " "))
+    return df.withColumn(out, F.array_join(F.transform(hashed, swap), " "))
 
 
 def replace_from_cache(df: DataFrame, text: str, key: str, cache: DataFrame, p: float, seed,

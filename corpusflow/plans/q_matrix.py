@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import words
+from corpusflow.functions.text import bag_cosine, words
 from corpusflow.operators import curriculum as C
 from corpusflow.operators import matrix as N
 from corpusflow.operators import noise as NZ
@@ -116,11 +116,6 @@ def vector_state(spark, d):
     return g.withColumn("verdict", N.majority_verdict(F.col("n_random"), F.col("n_warm"), F.col("n")))
 
 
-def _bag(df, key, text):
-    """(key, term, tf) word counts."""
-    return df.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 @query("cosine_filter", r"""
 WITH aug AS (SELECT doc_id, text, array_to_string(list_filter(regexp_extract_all(text, '[^ \t\n\r]+'),
                lambda w, i: (('0x' || substr(md5('42|' || CAST(doc_id AS VARCHAR) || '|' || CAST(i - 1 AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0) >= 0.1), ' ') AS text_out
@@ -130,21 +125,15 @@ b AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, UNNEST(regexp_ext
 na AS (SELECT doc_id, sqrt(SUM(tf * tf)) AS n FROM a GROUP BY 1), nb AS (SELECT doc_id, sqrt(SUM(tf * tf)) AS n FROM b GROUP BY 1),
 dt AS (SELECT a.doc_id, SUM(a.tf * b.tf) AS dp FROM a JOIN b ON a.doc_id = b.doc_id AND a.term = b.term GROUP BY 1),
 cs AS (SELECT na.doc_id, COALESCE(dt.dp, 0) / (na.n * nb.n) AS cosine FROM na JOIN nb ON na.doc_id = nb.doc_id LEFT JOIN dt ON dt.doc_id = na.doc_id)
-SELECT doc_id, ROUND(cosine, 6) AS cosine, cosine > 0.85 AS kept FROM cs""")
+SELECT d.doc_id, ROUND(cs.cosine, 6) AS cosine, cs.cosine > 0.85 AS kept FROM documents d LEFT JOIN cs ON d.doc_id = cs.doc_id""")
 def cosine_filter(spark, d):
     """Keep an augmented text iff its cosine to its own source > 0.85.
 
-    The pair is (document, its augmentation): a join on the document key and
-    the shared term, never a pairing of different documents.
+    The pair is (document, its augmentation), the same row: the term-count
+    cosine is a sorted merge inside the row (``bag_cosine``), so there is no
+    pairing of different documents and no shuffle.
     """
     docs = Tables(spark, d).documents.select("doc_id", "text")
     aug = NZ.drop_words(docs, "text", "doc_id", 0.1, SEED)
-    a = _bag(aug, "doc_id", "text")
-    b = _bag(aug, "doc_id", "text_out")
-    dp = (a.join(b.withColumnRenamed("tf", "tf2"), ["doc_id", "term"])
-           .groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("tf2")).alias("dp")))
-    na = a.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("na"))
-    nb = b.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("nb"))
-    cs = na.join(nb, "doc_id").join(dp, "doc_id", "left").withColumn(
-        "cosine", F.coalesce(F.col("dp"), F.lit(0)) / (F.col("na") * F.col("nb")))
-    return cs.select("doc_id", F.round("cosine", 6).alias("cosine"), (F.col("cosine") > 0.85).alias("kept"))
+    c = aug.select("doc_id", bag_cosine(words(F.col("text")), words(F.col("text_out"))).alias("_c"))
+    return c.select("doc_id", F.round("_c", 6).alias("cosine"), (F.col("_c") > 0.85).alias("kept"))

@@ -181,13 +181,18 @@ def word_drop(spark, d):
     return NZ.drop_words(docs, "text", "doc_id", 0.1, SEED).select("doc_id", "text_out")
 
 
+def _u2_sql(seed, *keys: str) -> str:
+    """Second draw of the same digest: hex digits 9-16."""
+    return _u_sql(seed, *keys).replace(", 1, 8)", ", 9, 8)")
+
+
 @query("typo_noise", f"""
 SELECT doc_id, array_to_string(list_transform(t, lambda w, i: CASE
   WHEN {_u_sql(SEED, 'doc_id', 'i - 1')} < 0.1 AND length(w) >= 2 THEN
     substring(w, 1, j(w, i)) || substring(w, j(w, i) + 2, 1) || substring(w, j(w, i) + 1, 1) || substring(w, j(w, i) + 3, 1073741824)
   ELSE w END), ' ') AS text_out
 FROM (SELECT doc_id, {TOKS_SQL.format(c='text')} AS t FROM documents)""".replace(
-    "j(w, i)", f"CAST(FLOOR({_u_sql(f'{SEED}:pos', 'doc_id', 'i - 1')} * (length(w) - 1)) AS INTEGER)"))
+    "j(w, i)", f"CAST(FLOOR({_u2_sql(SEED, 'doc_id', 'i - 1')} * (length(w) - 1)) AS INTEGER)"))
 def typo_noise(spark, d):
     docs = Tables(spark, d).documents.select("doc_id", "text")
     return NZ.typos(docs, "text", "doc_id", 0.1, SEED).select("doc_id", "text_out")
