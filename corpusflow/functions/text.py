@@ -74,38 +74,6 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD_RE), 0)
 
 
-def bag_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the term-count vectors of two token arrays of the same row.
-
-    Both arrays are tagged, concatenated and sorted, then one ``aggregate``
-    pass counts each run of equal terms on both sides and accumulates
-    ``sum a*b``, ``sum a^2`` and ``sum b^2``.  Everything stays inside the
-    row: no explode, no shuffle.  Null when either side has no tokens.
-    """
-    ta = F.transform(a, lambda w: F.struct(w.alias("t"), F.lit(1).alias("x"), F.lit(0).alias("y")))
-    tb = F.transform(b, lambda w: F.struct(w.alias("t"), F.lit(0).alias("x"), F.lit(1).alias("y")))
-    s = F.array_sort(F.concat(ta, tb))
-    z = F.lit(0).cast("bigint")
-    init = F.struct(F.lit(None).cast("string").alias("prev"), z.alias("ca"), z.alias("cb"),
-                    z.alias("aa"), z.alias("bb"), z.alias("ab"))
-
-    def step(acc, e):
-        same = F.struct(acc["prev"].alias("prev"), (acc["ca"] + e["x"]).alias("ca"), (acc["cb"] + e["y"]).alias("cb"),
-                        acc["aa"].alias("aa"), acc["bb"].alias("bb"), acc["ab"].alias("ab"))
-        new = F.struct(e["t"].alias("prev"), e["x"].cast("bigint").alias("ca"), e["y"].cast("bigint").alias("cb"),
-                       (acc["aa"] + acc["ca"] * acc["ca"]).alias("aa"), (acc["bb"] + acc["cb"] * acc["cb"]).alias("bb"),
-                       (acc["ab"] + acc["ca"] * acc["cb"]).alias("ab"))
-        return F.when(e["t"] == acc["prev"], same).otherwise(new)
-
-    def finish(acc):
-        aa = acc["aa"] + acc["ca"] * acc["ca"]
-        bb = acc["bb"] + acc["cb"] * acc["cb"]
-        ab = acc["ab"] + acc["ca"] * acc["cb"]
-        return F.try_divide(ab.cast("double"), F.sqrt(aa.cast("double")) * F.sqrt(bb.cast("double")))
-
-    return F.aggregate(s, init, step, finish)
-
-
 def nonspace_tokens(c: Column) -> Column:
     """Whitespace-separated tokens (punctuation kept), in text order."""
     return F.regexp_extract_all(c, F.lit(NONSPACE_RE), 0)

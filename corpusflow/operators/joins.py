@@ -89,3 +89,23 @@ def template_grid(spark, templates: list[tuple[str, str]], values: dict[str, lis
             rows.append((tmpl, ph, str(v)))
     return (spark.createDataFrame(rows, "template string, placeholder string, value string")
             .withColumn("name", F.expr("replace(template, concat('{', placeholder, '}'), value)")))
+
+
+def keyed_bag_cosine(df: DataFrame, key: str, a: Column, b: Column, out: str = "cosine") -> DataFrame:
+    """Cosine of the term-count vectors of two token arrays held by the
+    same row (a text and its augmentation), for every ``key``.
+
+    The pair is keyed: each side is exploded with a literal side tag (no
+    per-element lambda), counted per (key, term) with a partial + final hash
+    aggregate, and reduced per key.  Nothing pairs different keys.  Null
+    when a side has no tokens.
+    """
+    sa = df.select(key, F.explode_outer(a).alias("t"), F.lit(1).alias("x"), F.lit(0).alias("y"))
+    sb = df.select(key, F.explode_outer(b).alias("t"), F.lit(0).alias("x"), F.lit(1).alias("y"))
+    c = (sa.unionByName(sb).groupBy(key, "t")
+           .agg(F.sum(F.when(F.col("t").isNotNull(), F.col("x"))).alias("ca"),
+                F.sum(F.when(F.col("t").isNotNull(), F.col("y"))).alias("cb")))
+    per = c.groupBy(key).agg(F.sum(F.col("ca") * F.col("cb")).alias("_ab"), F.sum(F.col("ca") * F.col("ca")).alias("_aa"),
+                             F.sum(F.col("cb") * F.col("cb")).alias("_bb"))
+    cos = F.try_divide(F.col("_ab").cast("double"), F.sqrt(F.col("_aa").cast("double")) * F.sqrt(F.col("_bb").cast("double")))
+    return per.select(key, cos.alias(out))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.hashing import TWO_32, hash_order, uniform
+from corpusflow.functions.hashing import row_hash32, sub_uniform, uniform
 from corpusflow.functions.text import nonspace_tokens
 
 
@@ -23,40 +23,36 @@ def flip_labels(df: DataFrame, label: str, key: str, p: float, num_labels: int,
                          .otherwise(F.col(label)).cast("int"))
 
 
-def _word_u(seed, key: str, i: Column) -> Column:
-    return uniform(seed, key, i)
-
-
 def drop_words(df: DataFrame, text: str, key: str, p: float, seed, out: str = "text_out") -> DataFrame:
-    """Drop each whitespace token with probability ``p``."""
+    """Drop each whitespace token with probability ``p``.
+
+    Token ``i`` of a row is dropped iff ``sub_uniform(h, i) < p`` where ``h``
+    is the row's md5 hash: one digest per row, integer mixing per token.
+    """
     toks = nonspace_tokens(F.col(text))
-    kept = F.filter(toks, lambda w, i: _word_u(seed, key, i) >= p)
-    return df.withColumn(out, F.array_join(kept, " "))
+    x = df.withColumn("_h32", row_hash32(seed, key))
+    kept = F.filter(toks, lambda w, i: sub_uniform(F.col("_h32"), i) >= p)
+    return x.withColumn(out, F.array_join(kept, " ")).drop("_h32")
 
 
 def typos(df: DataFrame, text: str, key: str, p: float, seed, out: str = "text_out") -> DataFrame:
     """In a ``p`` share of tokens (length >= 2) swap two adjacent characters.
 
-    One md5 of ``seed|key|i`` per token gives both draws: the gate ``u`` from
-    hex digits 1-8 and the swap position ``j = floor(u2 * (len - 1))``
-    (0-based) from hex digits 9-16.  The digest is computed once per token
-    (a first ``transform`` pairs it with the token).
+    Gate ``sub_uniform(h, i) < p`` with ``h`` the row hash for ``seed``; the
+    swap position ``j = floor(sub_uniform(h2, i) * (len - 1))`` (0-based) with
+    ``h2`` the row hash for ``seed:pos``.
     """
     toks = nonspace_tokens(F.col(text))
-    hashed = F.transform(toks, lambda w, i: F.struct(w.alias("w"), hash_order(seed, key, i).alias("h")))
-
-    def draw(h, start):
-        return F.conv(F.substring(h, start, 8), 16, 10).cast("bigint") / F.lit(TWO_32)
+    x = df.withColumn("_h32", row_hash32(seed, key)).withColumn("_h32b", row_hash32(f"{seed}:pos", key))
 
-    def swap(x):
-        w, h = x["w"], x["h"]
+    def swap(w, i):
         n = F.length(w)
-        j = F.floor(draw(h, 9) * (n - 1)).cast("int")
+        j = F.floor(sub_uniform(F.col("_h32b"), i) * (n - 1)).cast("int")
         swapped = F.concat(F.substring(w, 1, j), F.substring(w, j + 2, 1), F.substring(w, j + 1, 1),
                            F.substring(w, j + 3, 1 << 30))
-        return F.when((draw(h, 1) < p) & (n >= 2), swapped).otherwise(w)
+        return F.when((sub_uniform(F.col("_h32"), i) < p) & (n >= 2), swapped).otherwise(w)
 
-    return df.withColumn(out, F.array_join(F.transform(hashed, swap), " "))
+    return x.withColumn(out, F.array_join(F.transform(toks, swap), " ")).drop("_h32", "_h32b")
 
 
 def replace_from_cache(df: DataFrame, text: str, key: str, cache: DataFrame, p: float, seed,
@@ -68,10 +64,11 @@ def replace_from_cache(df: DataFrame, text: str, key: str, cache: DataFrame, p:
     otherwise), gated by the seeded draw and put back in order.  The regroup
     is partial-aggregated in the task that exploded the row.
     """
-    ex = df.select(key, F.posexplode_outer(nonspace_tokens(F.col(text))).alias("pos", "tok"))
+    ex = df.select(key, row_hash32(seed, key).alias("_h32"),
+                   F.posexplode_outer(nonspace_tokens(F.col(text))).alias("pos", "tok"))
     c = cache.select(F.col(term).alias("tok"), F.col(repl).alias("_r"))
     j = ex.join(c, "tok", "left")
-    gate = _word_u(seed, key, F.col("pos")) < p
+    gate = sub_uniform(F.col("_h32"), F.col("pos")) < p
     j = j.withColumn("_w", F.when(F.col("_r").isNotNull() & gate, F.col("_r")).otherwise(F.col("tok")))
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(),
                                                                 F.struct("pos", "_w")))).alias("_s"))

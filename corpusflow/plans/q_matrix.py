@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import bag_cosine, words
+from corpusflow.functions.hashing import sql_row_hash32, sql_sub_uniform
+from corpusflow.functions.text import words
+from corpusflow.operators.joins import keyed_bag_cosine
 from corpusflow.operators import curriculum as C
 from corpusflow.operators import matrix as N
 from corpusflow.operators import noise as NZ
@@ -118,7 +120,7 @@ def vector_state(spark, d):
 
 @query("cosine_filter", r"""
 WITH aug AS (SELECT doc_id, text, array_to_string(list_filter(regexp_extract_all(text, '[^ \t\n\r]+'),
-               lambda w, i: (('0x' || substr(md5('42|' || CAST(doc_id AS VARCHAR) || '|' || CAST(i - 1 AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0) >= 0.1), ' ') AS text_out
+               lambda w, i: """ + sql_sub_uniform(sql_row_hash32(SEED, 'doc_id'), 'i - 1') + r""" >= 0.1), ' ') AS text_out
              FROM documents),
 a AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, UNNEST(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM aug) GROUP BY 1, 2),
 b AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, UNNEST(regexp_extract_all(lower(text_out), '[\p{L}\p{N}_]+')) AS term FROM aug) GROUP BY 1, 2),
@@ -129,11 +131,12 @@ SELECT d.doc_id, ROUND(cs.cosine, 6) AS cosine, cs.cosine > 0.85 AS kept FROM do
 def cosine_filter(spark, d):
     """Keep an augmented text iff its cosine to its own source > 0.85.
 
-    The pair is (document, its augmentation), the same row: the term-count
-    cosine is a sorted merge inside the row (``bag_cosine``), so there is no
-    pairing of different documents and no shuffle.
+    The pair is (document, its augmentation), keyed by ``doc_id``: a join on
+    the document key and the shared term, never a pairing of different
+    documents (``keyed_bag_cosine``).
     """
     docs = Tables(spark, d).documents.select("doc_id", "text")
     aug = NZ.drop_words(docs, "text", "doc_id", 0.1, SEED)
-    c = aug.select("doc_id", bag_cosine(words(F.col("text")), words(F.col("text_out"))).alias("_c"))
+    c = keyed_bag_cosine(aug, "doc_id", words(F.col("text")), words(F.col("text_out")), out="_c")
+    c = docs.select("doc_id").join(c, "doc_id", "left")
     return c.select("doc_id", F.round("_c", 6).alias("cosine"), (F.col("_c") > 0.85).alias("kept"))

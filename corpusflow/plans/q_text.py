@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
+from corpusflow.functions.hashing import sql_row_hash32, sql_sub_uniform
 from corpusflow.operators import encode as EN
 from corpusflow.operators import noise as NZ
 from corpusflow.operators.ranks import global_rank, ntile_from_rank
@@ -32,6 +33,11 @@ def _u_sql(seed, *keys: str) -> str:
     return f"(('0x' || substr(md5('{seed}|' || {k}), 1, 8))::BIGINT / 4294967296.0)"
 
 
+def _tok_u(seed, key_sql: str, i_sql: str) -> str:
+    """Per-token draw: row md5 hash mixed with the 0-based token index."""
+    return sql_sub_uniform(sql_row_hash32(seed, key_sql), i_sql)
+
+
 @query("html_unescape", f"SELECT page_id, {_unescape_sql('html')} AS text_out FROM pages")
 def html_unescape(spark, d):
     return Tables(spark, d).pages.select("page_id", X.html_unescape(F.col("html")).alias("text_out"))
@@ -175,24 +181,19 @@ def label_noise(spark, d):
 
 @query("word_drop", f"""
 SELECT doc_id, array_to_string(list_filter({TOKS_SQL.format(c='text')},
-       lambda w, i: {_u_sql(SEED, 'doc_id', 'i - 1')} >= 0.1), ' ') AS text_out FROM documents""")
+       lambda w, i: {_tok_u(SEED, 'doc_id', 'i - 1')} >= 0.1), ' ') AS text_out FROM documents""")
 def word_drop(spark, d):
     docs = Tables(spark, d).documents.select("doc_id", "text")
     return NZ.drop_words(docs, "text", "doc_id", 0.1, SEED).select("doc_id", "text_out")
 
 
-def _u2_sql(seed, *keys: str) -> str:
-    """Second draw of the same digest: hex digits 9-16."""
-    return _u_sql(seed, *keys).replace(", 1, 8)", ", 9, 8)")
-
-
 @query("typo_noise", f"""
 SELECT doc_id, array_to_string(list_transform(t, lambda w, i: CASE
-  WHEN {_u_sql(SEED, 'doc_id', 'i - 1')} < 0.1 AND length(w) >= 2 THEN
+  WHEN {_tok_u(SEED, 'doc_id', 'i - 1')} < 0.1 AND length(w) >= 2 THEN
     substring(w, 1, j(w, i)) || substring(w, j(w, i) + 2, 1) || substring(w, j(w, i) + 1, 1) || substring(w, j(w, i) + 3, 1073741824)
   ELSE w END), ' ') AS text_out
 FROM (SELECT doc_id, {TOKS_SQL.format(c='text')} AS t FROM documents)""".replace(
-    "j(w, i)", f"CAST(FLOOR({_u2_sql(SEED, 'doc_id', 'i - 1')} * (length(w) - 1)) AS INTEGER)"))
+    "j(w, i)", f"CAST(FLOOR({_tok_u(f'{SEED}:pos', 'doc_id', 'i - 1')} * (length(w) - 1)) AS INTEGER)"))
 def typo_noise(spark, d):
     docs = Tables(spark, d).documents.select("doc_id", "text")
     return NZ.typos(docs, "text", "doc_id", 0.1, SEED).select("doc_id", "text_out")
@@ -201,7 +202,7 @@ def typo_noise(spark, d):
 @query("synonym_replace", f"""
 WITH v AS ({vocab_sql(200)}),
 e AS (SELECT doc_id, UNNEST(t) AS tok, UNNEST(range(len(t))) AS pos FROM (SELECT doc_id, {TOKS_SQL.format(c='text')} AS t FROM documents)),
-r AS (SELECT e.doc_id, string_agg(CASE WHEN v.term IS NOT NULL AND {_u_sql(SEED, 'e.doc_id', 'e.pos')} < 0.3
+r AS (SELECT e.doc_id, string_agg(CASE WHEN v.term IS NOT NULL AND {_tok_u(SEED, 'e.doc_id', 'e.pos')} < 0.3
                                        THEN v.term || '~syn' ELSE e.tok END, ' ' ORDER BY e.pos) AS text_out
       FROM e LEFT JOIN v ON e.tok = v.term GROUP BY e.doc_id)
 SELECT d.doc_id, COALESCE(r.text_out, '') AS text_out FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id""")
