@@ -109,10 +109,19 @@ def enforce_budget(g: DataFrame, budget, unit_cost, min_units: int, max_units: i
 
 def allocate(groups: DataFrame, *, score: str, pos: str, base: int, min_units: int, max_units: int,
              unit_cost, budget, scenario=()) -> DataFrame:
-    """B1-B4 in one plan: ``norm``, ``units_initial`` and ``units`` per group."""
+    """``norm``, ``units_initial`` and ``units`` per group.
+
+    The group table (one row per group and scenario, however large the data
+    it was aggregated from) is read by several windows and joins; it is
+    materialised once with a reliable ``checkpoint()`` so the upstream scan
+    and aggregation run once, and the allocation steps work on the small copy.
+    """
+    from corpusflow.session import checkpoint_dir
+    checkpoint_dir(groups.sparkSession)
     g = normalize_importance(groups, score, scenario)
-    g = initial_units(g, base, min_units, max_units)
-    return enforce_budget(g, budget, unit_cost, min_units, max_units, scenario=scenario, pos=pos)
+    g = initial_units(g, base, min_units, max_units).checkpoint(eager=True)
+    out = enforce_budget(g, budget, unit_cost, min_units, max_units, scenario=scenario, pos=pos)
+    return out.checkpoint(eager=True)
 
 
 def cost(units: Column, unit_cost, layers: int = 1) -> Column:
