@@ -11,12 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def substrings(s: Column) -> Column:
-    """All non-empty substrings of ``s`` (L*(L+1)/2 of them) as an array."""
+def substrings(s: Column, lengths: list[int] | None = None) -> Column:
+    """Non-empty substrings of ``s`` as an array: all ``L*(L+1)/2`` of them,
+    or only those whose length is in ``lengths``."""
     n = F.length(s)
-    return F.when(n > 0, F.flatten(F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(s, i, j - i + 1)))))
+    if lengths is None:
+        return F.when(n > 0, F.flatten(F.transform(
+            F.sequence(F.lit(1), n),
+            lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(s, i, j - i + 1)))))
+    ls = F.array(*[F.lit(int(x)) for x in sorted(set(lengths)) if x > 0])
+    ok = F.filter(ls, lambda k: k <= n)
+    return F.flatten(F.transform(ok, lambda k: F.transform(
+        F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(s, i, k))))
+
+
+def _lengths(df: DataFrame, col: str) -> list[int]:
+    """Distinct string lengths of a column (at most the longest length)."""
+    return [r[0] for r in df.select(F.length(col).alias("n")).distinct().collect() if r[0] is not None]
 
 
 def strip_affixes(c: Column, prefixes: list[str], suffixes: list[str]) -> Column:
@@ -34,13 +45,18 @@ def contains_first_match(a: DataFrame, a_col: str, b: DataFrame, b_col: str, pos
     ``a`` contains ``b`` or ``b`` contains ``a`` (J3); no match -> null.
 
     Both directions become equi-joins on generated substrings: ``b in a`` joins
-    b's value to every substring of a; ``a in b`` joins a's value to every
-    substring of b.  ``min_by`` picks the first match as a partial aggregate.
+    b's value to the substrings of a (of the lengths b values have); ``a in b``
+    joins a's value to the substrings of b.  ``min_by`` picks the first match
+    as a partial aggregate.
     """
     av = a.select(F.col(a_col).alias("_a")).distinct()
     bv = b.select(F.col(b_col).alias("_bv"), F.col(pos).alias("_pos"))
-    a_subs = av.select("_a", F.explode_outer(substrings(F.col("_a"))).alias("_s")).where(F.col("_s").isNotNull()).distinct()
-    b_subs = (bv.select("_bv", "_pos", F.explode_outer(substrings(F.col("_bv"))).alias("_s"))
+    # only substring lengths that exist on the other side can match: the
+    # distinct-length lists are bounded by the longest string
+    la, lb = _lengths(av, "_a"), _lengths(bv, "_bv")
+    a_subs = (av.select("_a", F.explode_outer(substrings(F.col("_a"), lb)).alias("_s"))
+                .where(F.col("_s").isNotNull()).distinct())
+    b_subs = (bv.select("_bv", "_pos", F.explode_outer(substrings(F.col("_bv"), la)).alias("_s"))
                 .where(F.col("_s").isNotNull()).distinct())
     m1 = a_subs.join(bv, a_subs["_s"] == bv["_bv"]).select("_a", "_bv", "_pos")          # b in a
     m2 = av.join(b_subs, av["_a"] == b_subs["_s"]).select("_a", "_bv", "_pos")          # a in b
