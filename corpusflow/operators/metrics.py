@@ -81,3 +81,19 @@ def throughput(rows: Column, seconds: Column, batch: int) -> dict[str, Column]:
     """M9: rows/s and steps/s (steps = ceil(rows / batch)); zero time -> null."""
     return {"rows_per_s": F.try_divide(rows, seconds),
             "steps_per_s": F.try_divide(F.ceil(rows / batch), seconds)}
+
+
+# metric functions by name, each (predictions DataFrame) -> one-row DataFrame
+METRIC_FUNCTIONS = {
+    "accuracy": accuracy,
+    "binary": binary_prf,
+    "weighted": weighted_prf,
+    "macro": macro_prf,
+}
+
+
+def compute_metric(df: DataFrame, name: str, label: str = "label", pred: str = "pred") -> DataFrame:
+    """Run a registered metric function by name."""
+    if name not in METRIC_FUNCTIONS:
+        raise ValueError(f"unknown metric {name!r}; available: {sorted(METRIC_FUNCTIONS)}")
+    return METRIC_FUNCTIONS[name](df, label, pred)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import hash_order, uniform
@@ -163,6 +163,3 @@ def select_split(df: DataFrame, split: str, split_col: str = "split") -> DataFra
         raise ValueError(f"unknown split {split!r}; available: {avail}")
     return df.where(F.col(split_col) == split)
 
-
-def as_column(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
