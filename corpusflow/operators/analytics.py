@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators.schema import extract_int
 
 # Two-sided 5 % critical values of Student's t by degrees of
-# freedom (a df between two entries uses the smaller one; 0 = infinity).
+# freedom (a df between two entries uses the smaller one; 1e9 stands for infinity).
 T_CRIT_05 = [
     (1, 12.706), (2, 4.303), (3, 3.182), (4, 2.776), (5, 2.571), (6, 2.447), (7, 2.365), (8, 2.306),
     (9, 2.262), (10, 2.228), (11, 2.201), (12, 2.179), (13, 2.160), (14, 2.145), (15, 2.131),
@@ -101,7 +101,7 @@ def cohens_d(df: DataFrame, method: str, metric: str, baseline: str) -> DataFram
     """``(mean - mean_base) / pooled sample std`` for every method vs the baseline."""
     g = df.groupBy(method).agg(F.count(F.lit(1)).alias("n"), F.avg(metric).alias("m"), F.var_samp(metric).alias("v"))
     b = g.where(F.col(method) == baseline).select(F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("v").alias("vb"))
-    j = g.where(F.col(method) != baseline).crossJoin(b)  # b is one row
+    j = g.where(F.col(method) != baseline).crossJoin(F.broadcast(b))  # b is one row
     pooled = F.sqrt(((F.col("n") - 1) * F.col("v") + (F.col("nb") - 1) * F.col("vb")) / (F.col("n") + F.col("nb") - 2))
     return j.select(method, F.try_divide(F.col("m") - F.col("mb"), pooled).alias("cohens_d"))
 
@@ -120,7 +120,7 @@ def ablation_delta(parts: DataFrame, part: str, num: str, den: str) -> DataFrame
     """Metric of the full set vs the set without each part (ratio metric
     ``sum(num) / sum(den)``); delta = without - full."""
     tot = parts.agg(F.sum(num).alias("_N"), F.sum(den).alias("_D"))
-    j = parts.crossJoin(tot)  # one row
+    j = parts.crossJoin(F.broadcast(tot))  # one row
     full = F.col("_N") / F.col("_D")
     wo = F.try_divide(F.col("_N") - F.col(num), F.col("_D") - F.col(den))
     return j.select(F.concat(F.lit("without_"), F.col(part)).alias("variant"), full.alias("full"),

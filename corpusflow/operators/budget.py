@@ -191,7 +191,7 @@ def candidate_grid(spark, width: int, max_r: int = 64, rfs=(2, 4, 8, 16, 32, 64)
     f = spark.createDataFrame([(int(x),) for x in rfs], "rf int")
     lora = r.select(F.lit("lora").alias("method"), "r", F.lit(None).cast("int").alias("rf"))
     ad = f.select(F.lit("adapter").alias("method"), F.lit(None).cast("int").alias("r"), "rf")
-    hy = r.crossJoin(f).select(F.lit("hybrid").alias("method"), "r", "rf")  # both sides are rule-sized
+    hy = r.crossJoin(F.broadcast(f)).select(F.lit("hybrid").alias("method"), "r", "rf")  # both sides are rule-sized
     g = lora.unionByName(ad).unionByName(hy)
     return g.withColumn("cost", approx_cost(F.col("method"), F.col("r"), F.col("rf"), width))
 

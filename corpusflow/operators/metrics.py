@@ -28,10 +28,12 @@ def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFr
 def per_class(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """Per-class tp / fp / fn / support and P, R, F1 (from the confusion table)."""
     c = confusion(df, label, pred)
-    tp = c.where(F.col(label) == F.col(pred)).select(F.col(label).alias("k"), F.col("n").alias("tp"))
-    sup = c.groupBy(F.col(label).alias("k")).agg(F.sum("n").alias("support"))
+    # tp as a conditional sum: a filter on the grouping keys would be pushed
+    # below the confusion aggregate and re-run the prediction expression
+    sup = c.groupBy(F.col(label).alias("k")).agg(
+        F.sum("n").alias("support"), F.sum(F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(0)).alias("tp"))
     pc = c.groupBy(F.col(pred).alias("k")).agg(F.sum("n").alias("predicted"))
-    t = sup.join(pc, "k", "full").join(tp, "k", "left").fillna(0, ["support", "predicted", "tp"])
+    t = sup.join(pc, "k", "full").fillna(0, ["support", "predicted", "tp"])
     p = _div0(F.col("tp"), F.col("predicted"))
     r = _div0(F.col("tp"), F.col("support"))
     return t.withColumn("precision", p).withColumn("recall", r).withColumn(
@@ -73,7 +75,7 @@ def metrics(df: DataFrame, num_labels: int, label: str = "label", pred: str = "p
         return acc.select(F.round("accuracy", digits).alias("accuracy"))
     prf = binary_prf(df, label, pred) if num_labels == 2 else weighted_prf(df, label, pred)
     avg = "binary" if num_labels == 2 else "weighted"
-    return acc.crossJoin(prf).select(  # two one-row aggregates
+    return acc.crossJoin(F.broadcast(prf)).select(  # two one-row aggregates
         F.lit(avg).alias("average"), *[F.round(c, digits).alias(c) for c in ("accuracy", "f1", "precision", "recall")])
 
 

@@ -40,7 +40,7 @@ def reduction(original: DataFrame, sampled: DataFrame) -> DataFrame:
     """Original rows, sampled rows and their ratio (A3); one row."""
     o = original.agg(F.count(F.lit(1)).alias("orig_rows"))
     s = sampled.agg(F.count(F.lit(1)).alias("sampled_rows"))
-    return o.crossJoin(s).withColumn(
+    return o.crossJoin(F.broadcast(s)).withColumn(
         "reduction", F.when(F.col("sampled_rows") > 0, F.col("orig_rows") / F.col("sampled_rows")))
 
 

@@ -278,7 +278,7 @@ def robustness_drop(spark, d):
     b = NZ.flip_labels(b, "label", "doc_id", 0.1, 2, SEED, out="noisy")
     clean = M.accuracy(b, "label", "pred").withColumnRenamed("accuracy", "c")
     noisy = M.accuracy(b, "noisy", "pred").withColumnRenamed("accuracy", "n")
-    j = clean.crossJoin(noisy)  # two one-row aggregates
+    j = clean.crossJoin(F.broadcast(noisy))  # two one-row aggregates
     return j.select(F.round("c", 6).alias("clean_accuracy"), F.round("n", 6).alias("noisy_accuracy"),
                     F.round(F.col("c") - F.col("n"), 6).alias("drop"))
 

@@ -184,7 +184,7 @@ q AS (SELECT CAST(FLOOR(SUM(used) / COUNT(*)) AS BIGINT) AS quota FROM s)"""
 def _source_chars(t: Tables):
     s = t.documents.groupBy("source").agg(F.sum("n_chars").alias("used"))
     q = s.agg(F.floor(F.sum("used") / F.count(F.lit(1))).cast("bigint").alias("quota"))
-    return s.crossJoin(q)  # q is a one-row aggregate
+    return s.crossJoin(F.broadcast(q))  # q is a one-row aggregate
 
 
 @query("budget_flags", f"""WITH {QUOTA_SQL}
@@ -217,7 +217,7 @@ def budget_report(spark, d):
                                 F.sum(F.when(F.col("_l"), F.col("n_chars"))).alias("u2"),
                                 F.sum("n_chars").alias("u3"))
     r = B.budget_report(F.col("quota"), F.col("u1"), F.col("u2"), F.col("u3"))
-    return u.crossJoin(q).select("source", r["target"].alias("target"), r["used"].alias("used"),
+    return u.crossJoin(F.broadcast(q)).select("source", r["target"].alias("target"), r["used"].alias("used"),
                                  F.round(r["usage_pct"], 6).alias("usage_pct"), r["remaining"].alias("remaining"),
                                  r["within_budget"].alias("within_budget"))
 
@@ -256,7 +256,7 @@ def issue_report(spark, d):
                   F.count_if(F.col("n_chars") < 20).alias("n_short"), F.count_if(F.col("_l").isNull()).alias("n_unlabelled")))
     cls = t.labels.groupBy("quality").agg(F.count(F.lit(1)).alias("c")).agg(
         (F.min("c") / F.sum("c")).alias("minority_share"))
-    facts = f.crossJoin(cls)  # two one-row aggregates
+    facts = f.crossJoin(F.broadcast(cls))  # two one-row aggregates
     rules = [
         (1, "CRITICAL", "More than half of the documents are unlabelled",
          "HIGH - most of the corpus cannot be used for training", F.col("n_unlabelled") > 0.5 * F.col("n_docs")),

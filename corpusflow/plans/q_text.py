@@ -163,7 +163,7 @@ def length_tertiles(spark, d):
     docs = Tables(spark, d).documents.select("doc_id", F.size(X.words(F.col("text"))).alias("n_tokens"))
     r = global_rank(docs, ["n_tokens"], "doc_id")
     n = docs.agg(F.count(F.lit(1)).alias("_N"))
-    r = r.crossJoin(n)  # one-row table
+    r = r.crossJoin(F.broadcast(n))  # one-row table
     r = r.withColumn("tertile", ntile_from_rank(F.col("rank"), F.col("_N"), 3))
     m = F.create_map(*[x for i, b in enumerate(BINS) for x in (F.lit(i + 1), F.lit(b))])
     return r.select("doc_id", "n_tokens", "tertile", F.element_at(m, F.col("tertile")).alias("bin"))
