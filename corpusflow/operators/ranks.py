@@ -5,7 +5,8 @@ class to a single task; with one class holding a third of the data that task
 is the job.  The two ranks here compute the same numbers in two passes:
 
 * ``class_rank`` (hash order inside a group): split every group into up to
-  ``16**bucket_hex`` buckets by the leading hex digits of the md5 order key.
+  ``16**bucket_hex`` buckets (default 16**5, about a million) by the leading
+  hex digits of the md5 order key.
   Bucket sizes form a small table; a running sum over it gives each bucket's
   offset, and the final rank is ``offset + row_number() over (group, bucket)``.
   Because the order key starts with the bucket digits, bucket order is rank
@@ -35,7 +36,7 @@ def _cols(cs):
 
 def class_rank(df: DataFrame, by: list[str], order: Column, key: str,
                out: str = "rank", max_rank: int | None = None,
-               bucket_hex: int = 4, limit_col: str | None = None) -> DataFrame:
+               bucket_hex: int = 5, limit_col: str | None = None) -> DataFrame:
     """``row_number() over (partition by *by order by order, key)`` in two passes.
 
     ``order`` must be an md5 hex string (see ``functions.hashing.hash_order``)

@@ -18,14 +18,38 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Partition sizing for an input of ``input_bytes`` on ``cores`` cores.
+
+    Scan splits and post-shuffle partitions aim at ``target_partition_bytes``
+    (so a task's working set fits executor memory and spills stay rare); the
+    shuffle starts with at least two partitions per core and one per target
+    size, and AQE coalesces the small ones and splits skewed ones.
+    """
+    n = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
-              app: str = "corpusflow", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with AQE on and the UI off."""
+              app: str = "corpusflow", extra: dict | None = None,
+              input_bytes: int | None = None, cores: int | None = None) -> SparkSession:
+    """Build (or reuse) a session with AQE on and the UI off.
+
+    With ``input_bytes`` (and ``cores``) the partition settings come from
+    ``scale_conf``; otherwise ``shuffle_partitions`` is used as given.
+    """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if input_bytes is not None:
+        conf.update(scale_conf(input_bytes, cores or shuffle_partitions))
     conf.setdefault("spark.driver.memory", os.environ.get("CORPUSFLOW_DRIVER_MEMORY", "16g"))
     conf.update(extra or {})
     for k, v in conf.items():
