@@ -71,3 +71,21 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,fr)]" in p
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in p
+
+
+# cap_rows / top_k: the limit is the feature (TakeOrderedAndProject merges k rows);
+# success_flags: the window runs over one row per shot count (a join of two aggregates)
+ROW_LEVEL_OK = {"cap_rows", "top_k", "success_flags"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_single_partition_only_over_aggregates(spark, name):
+    """A single-partition exchange (unpartitioned window / global sort) may
+    only sit on an aggregate, i.e. on a group-sized table, never on rows."""
+    if name in ROW_LEVEL_OK:
+        return
+    lines = _plan(QUERIES[name](spark, SF001)).split("\n")
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            below = lines[i + 1] if i + 1 < len(lines) else ""
+            assert "Aggregate" in below, f"{name}: single partition over {below.strip()[:120]}"
