@@ -37,7 +37,7 @@ def test_golden_allocations(spark, base, budget, expected, total):
 
 
 def greedy(scores, base, budget, lo, hi, u):
-    """Direct transcription of the documented greedy description."""
+    """Independent greedy loop written from the documented rules (test oracle)."""
     import math
     vals = [s for _, _, s in scores]
     mn, mx = min(vals), max(vals)
