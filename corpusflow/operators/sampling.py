@@ -155,11 +155,12 @@ def assign_batches(df: DataFrame, batch_size: int, seed: int, key: str,
 
 
 def select_split(df: DataFrame, split: str, split_col: str = "split") -> DataFrame:
-    """``all`` = every split, else one (P16); an unknown split names the available ones."""
+    """``all`` = every split, else one (P16).  A split that is not present is
+    an error naming the available ones (the check reads the distinct split
+    values, at most a handful)."""
     if split == "all":
         return df
-    if split not in SPLITS:
-        avail = sorted(r[0] for r in df.select(split_col).distinct().collect() if r[0] is not None)
-        raise ValueError(f"unknown split {split!r}; available: {avail}")
+    avail = sorted(r[0] for r in df.select(split_col).distinct().collect() if r[0] is not None)
+    if split not in avail:
+        raise ValueError(f"Split {split!r} not found. Available: {avail}")
     return df.where(F.col(split_col) == split)
-

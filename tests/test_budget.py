@@ -129,3 +129,16 @@ def test_verify_flags(spark):
     B.raise_if_invalid(B.verify_allocation(B.allocation_stats(a, 75000, U)))
     with pytest.raises(ValueError):
         B.raise_if_invalid(B.verify_allocation(B.allocation_stats(a, 50000, U)))
+
+
+def test_one_group_gets_what_fits(spark):
+    rows = _alloc(spark, [(0, "only", 0.5)], 8, 30000)
+    assert rows[0].norm == 1.0 and rows[0].units_initial == 8
+    # 8 units cost 24576 <= 30000; raising while <= 1.03 * 30000 reaches 10 units
+    assert rows[0].units == 10
+
+
+def test_tied_scores_keep_position_order(spark):
+    tied = [(0, "a", 0.1), (1, "b", 0.9), (2, "c", 0.9), (3, "d", 0.1)]
+    rows = _alloc(spark, tied, 8, 60000)
+    assert [r.units for r in rows] == greedy(tied, 8, 60000, 2, 62, U)

@@ -129,3 +129,32 @@ def test_bootstrap_mean_copies(spark):
     df = spark.range(20000).withColumnRenamed("id", "k")
     n = S.bootstrap(df, 0.2, 3, "k").count()
     assert 3600 < n < 4400
+
+
+def test_select_split_errors_on_absent_split(spark):
+    import pytest
+    df = spark.createDataFrame([(1, "train"), (2, "test")], "doc_id long, split string")
+    assert S.select_split(df, "test").count() == 1 and S.select_split(df, "all").count() == 2
+    with pytest.raises(ValueError, match="Available"):
+        S.select_split(df, "validation")
+
+
+def test_null_labels_form_their_own_class(spark):
+    rows = [(i, None if i % 4 == 0 else i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, label int")
+    sp = S.stratified_split(df, "label", 0.25, 3, "doc_id")
+    assert sp.count() == 40
+    held = {r.label: r["count"] for r in sp.where("split = 'test'").groupBy("label").count().collect()}
+    assert sum(held.values()) == 10 and held.get(None, 0) >= 2
+    fs = S.few_shot(df, 3, "label", 3, "doc_id")
+    assert fs.count() == 9
+
+
+def test_one_class_only(spark):
+    df = spark.createDataFrame([(i, 7) for i in range(10)], "doc_id long, label int")
+    assert S.few_shot(df, 4, "label", 1, "doc_id").count() == 4
+    sp = S.stratified_split3(df, "label", 0.2, 0.1, 1, "doc_id")
+    c = {r.split: r["count"] for r in sp.groupBy("split").count().collect()}
+    # 0.2 + 0.1 == 0.30000000000000004 in floating point, so ceil(0.3... * 10) = 4
+    # rows are held out (as with a float test_size); test gets ceil(1/3 * 4) = 2
+    assert c == {"train": 6, "validation": 2, "test": 2}
