@@ -156,3 +156,85 @@ def bucketed_running(df: DataFrame, by: list[str], order: list, bucket: Column,
         ws = wr.rowsBetween(Window.unboundedPreceding, 0)
         j = j.withColumn(sum_out, F.col("_soff") + F.sum(value).over(ws))
     return j.drop("_bk", *keep)
+
+
+# broadcast the checkpointed bucket-offset table only below this many rows
+OFFSETS_BROADCAST_ROWS = 2_000_000
+
+
+def _offsets(sizes: DataFrame, by: list[str], bucket: str, base: Column | None) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    off = F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("bigint")
+    return sizes.withColumn("_off", off if base is None else base + off)
+
+
+def _states(limit_cols: list[str]) -> list[Column]:
+    # 2 = the whole bucket is within the limit, 0 = none of it, 1 = straddles
+    return [F.when(F.col("_off") + F.col("_n") <= F.col(L), 2).when(F.col("_off") >= F.col(L), 0)
+             .otherwise(1).alias(f"_st_{i}") for i, L in enumerate(limit_cols)]
+
+
+def _small(small: DataFrame) -> DataFrame:
+    """Materialise a group-level table (checkpoint) and mark it for broadcast
+    only after its row count is checked."""
+    small = small.checkpoint(eager=True)
+    return F.broadcast(small) if small.count() <= OFFSETS_BROADCAST_ROWS else small
+
+
+def _key_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    ren = small.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in small.columns])
+    cond = None
+    for c in keys:
+        e = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        cond = e if cond is None else cond & e
+    return big.join(ren, cond, how).drop(*[f"_k_{c}" for c in keys])
+
+
+def within_rank_limits(df: DataFrame, by: list[str], order: Column, key: str, limit_cols: list[str],
+                       hex1: int = 3, hex2: int = 3, prefix: str = "_le_") -> DataFrame:
+    """For each limit column ``L`` (constant within a group), add the boolean
+    ``{prefix}{i}`` = ``rank <= L`` where rank is
+    ``row_number() over (partition by *by order by order, key)``, without
+    ranking every row.
+
+    Buckets (first ``hex1`` hex digits of the md5 order) that lie wholly
+    before ``L`` are in, wholly after are out; the bucket that straddles ``L``
+    is refined by the next ``hex2`` digits, and only rows of the straddling
+    sub-bucket are ranked with a window.  Both offset tables are group-level
+    (checkpointed, broadcast after a row-count check), so the rows flow
+    through map-side joins and only the boundary rows reach a shuffle.
+    """
+    from corpusflow.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    n = len(limit_cols)
+    h = df.withColumn("_h", order).withColumn("_b1", F.substring("_h", 1, hex1)) \
+          .withColumn("_b2", F.substring("_h", 1 + hex1, hex2))
+    s1 = h.groupBy(*by, *limit_cols, "_b1").agg(F.count(F.lit(1)).alias("_n"))
+    o1 = _small(_offsets(s1, by, "_b1", None).select(*by, "_b1", "_off", *_states(limit_cols)))
+    j1 = _key_join(h, o1, [*by, "_b1"])
+
+    def any_state(prefix_st: str) -> Column:
+        c = F.lit(False)
+        for i in range(n):
+            c = c | (F.col(f"{prefix_st}{i}") == 1)
+        return c
+
+    # level 2, on the rows of straddling buckets only (a small aggregate)
+    p = j1.where(any_state("_st_")).withColumnRenamed("_off", "_off1")
+    s2 = p.groupBy(*by, *limit_cols, "_b1", "_off1", "_b2").agg(F.count(F.lit(1)).alias("_n"))
+    o2 = _offsets(s2, [*by, "_b1"], "_b2", F.col("_off1")).select(
+        *by, "_b1", "_b2", F.col("_off").alias("_off2"),
+        *[c.alias(f"_s2_{i}") for i, c in enumerate(_states(limit_cols))])
+    j2 = _key_join(j1, _small(o2), [*by, "_b1", "_b2"], "left")
+    j2 = j2.select("*", *[F.coalesce(f"_s2_{i}", f"_st_{i}").alias(f"_fs_{i}") for i in range(n)])
+    straddle = any_state("_fs_")
+
+    settled = j2.where(~straddle).select(
+        *df.columns, *[(F.col(f"_fs_{i}") == 2).alias(f"{prefix}{i}") for i in range(n)])
+    rest = j2.where(straddle)
+    w = Window.partitionBy(*by, "_b1", "_b2").orderBy("_h", key)
+    rest = rest.withColumn("_rk", F.col("_off2") + F.row_number().over(w))
+    ranked = rest.select(*df.columns, *[F.when(F.col(f"_fs_{i}") == 1, F.col("_rk") <= F.col(L))
+                                         .otherwise(F.col(f"_fs_{i}") == 2).alias(f"{prefix}{i}")
+                                         for i, L in enumerate(limit_cols)])
+    return settled.unionByName(ranked)

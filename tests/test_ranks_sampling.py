@@ -158,3 +158,18 @@ def test_one_class_only(spark):
     # 0.2 + 0.1 == 0.30000000000000004 in floating point, so ceil(0.3... * 10) = 4
     # rows are held out (as with a float test_size); test gets ceil(1/3 * 4) = 2
     assert c == {"train": 6, "validation": 2, "test": 2}
+
+
+def test_within_rank_limits_equals_window(spark):
+    from corpusflow.operators.ranks import within_rank_limits
+    df = _skewed(spark, 4000)
+    lim = df.groupBy("label").count().select("label", (F.col("count") * 0.3).cast("bigint").alias("L1"),
+                                                      (F.col("count") * 0.05 + 1).cast("bigint").alias("L2"))
+    x = df.join(lim, "label")
+    for h1, h2 in [(1, 1), (2, 1), (3, 3)]:
+        got = within_rank_limits(x, ["label"], hash_order(5, "id"), "id", ["L1", "L2"], hex1=h1, hex2=h2)
+        rk = F.row_number().over(Window.partitionBy("label").orderBy(hash_order(5, "id"), "id"))
+        ref = x.withColumn("_r", rk).select(*x.columns, (F.col("_r") <= F.col("L1")).alias("_le_0"),
+                                            (F.col("_r") <= F.col("L2")).alias("_le_1"))
+        assert got.count() == x.count()
+        assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0, (h1, h2)
