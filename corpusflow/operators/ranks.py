@@ -174,11 +174,17 @@ def _states(limit_cols: list[str]) -> list[Column]:
              .otherwise(1).alias(f"_st_{i}") for i, L in enumerate(limit_cols)]
 
 
-def _small(small: DataFrame) -> DataFrame:
-    """Materialise a group-level table (checkpoint) and mark it for broadcast
-    only after its row count is checked."""
+def bounded_broadcast(small: DataFrame, max_rows: int = OFFSETS_BROADCAST_ROWS) -> DataFrame:
+    """Materialise a group-level table (reliable checkpoint) and mark it for
+    broadcast only after its row count is checked against ``max_rows``;
+    larger tables are left to the planner."""
+    from corpusflow.session import checkpoint_dir
+    checkpoint_dir(small.sparkSession)
     small = small.checkpoint(eager=True)
-    return F.broadcast(small) if small.count() <= OFFSETS_BROADCAST_ROWS else small
+    return F.broadcast(small) if small.count() <= max_rows else small
+
+
+_small = bounded_broadcast
 
 
 def _key_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

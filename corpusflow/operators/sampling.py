@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import hash_order, uniform
-from corpusflow.operators.ranks import class_rank, stratified_quota, within_rank_limits
+from corpusflow.operators.ranks import bounded_broadcast, class_rank, stratified_quota, within_rank_limits
 
 SPLITS = ("train", "validation", "test")
 
@@ -57,8 +57,8 @@ def stratified_split(df: DataFrame, label: str, frac: float, seed: int, key: str
     from corpusflow.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     q = stratified_quota(_class_counts(df, label), label, "_c", frac).select(label, "quota")
-    q = q.withColumnRenamed(label, "_k1").checkpoint(eager=True)  # one row per class, computed once
-    x = df.join(F.broadcast(q), F.col(label).eqNullSafe(F.col("_k1"))).drop("_k1")
+    q = bounded_broadcast(q.withColumnRenamed(label, "_k1"))  # one row per class, computed once
+    x = df.join(q, F.col(label).eqNullSafe(F.col("_k1"))).drop("_k1")
     r = within_rank_limits(x, [label], hash_order(seed, key), key, ["quota"])
     return r.withColumn(out, F.when(F.col("_le_0"), F.lit(held)).otherwise(F.lit(kept))).drop("_le_0", "quota")
 
@@ -80,8 +80,8 @@ def stratified_split3(df: DataFrame, label: str, val: float, test: float, seed:
                           1 - val / (val + test)).select(label, F.col("quota").alias("_q2"))
     q2 = q2.select(F.col(label).alias("_k2"), "_q2")
     q = q1.join(q2, F.col(label).eqNullSafe(F.col("_k2"))).drop("_k2").withColumnRenamed(label, "_k1")
-    q = q.checkpoint(eager=True)  # one row per class, computed once
-    x = df.join(F.broadcast(q), F.col(label).eqNullSafe(F.col("_k1"))).drop("_k1")
+    q = bounded_broadcast(q)  # one row per class, computed once
+    x = df.join(q, F.col(label).eqNullSafe(F.col("_k1"))).drop("_k1")
     r = within_rank_limits(x, [label], hash_order(seed, key), key, ["_q1", "_q2"])
     s = (F.when(F.col("_le_1"), F.lit("test"))
           .when(F.col("_le_0"), F.lit("validation"))
