@@ -1,8 +1,11 @@
 """Classification metrics from (label, prediction) tables (M1-M9).
 
-Every metric is an aggregate: confusion counts are one grouped count
-(classes^2 rows), and the per-class / averaged numbers are computed on that
-small table.  Division by zero gives 0, like the common metric libraries.
+Every metric is derived from the confusion counts: one grouped count over
+the predictions (classes^2 rows, partial aggregation), after which accuracy,
+per-class and averaged numbers are computed on that small table.  The
+predictions are therefore read once, however many metrics are asked for
+(Spark reuses the identical confusion exchange).  Division by zero gives 0,
+like the common metric libraries.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ def _div0(a: Column, b: Column) -> Column:
 
 
 def accuracy(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
-    """M2 / M8: share of rows with pred == label."""
-    return df.agg(F.avg(F.when(F.col(pred) == F.col(label), 1.0).otherwise(0.0)).alias("accuracy"))
+    """M2 / M8: share of rows with pred == label (from the confusion counts)."""
+    c = confusion(df, label, pred)
+    hit = F.sum(F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(0))
+    return c.agg(F.try_divide(hit.cast("double"), F.sum("n").cast("double")).alias("accuracy"))
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
@@ -42,10 +47,15 @@ def per_class(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFr
 
 def binary_prf(df: DataFrame, label: str = "label", pred: str = "pred", positive: int = 1) -> DataFrame:
     """M4: precision / recall / F1 of the positive class."""
-    tp = F.count_if((F.col(pred) == positive) & (F.col(label) == positive))
-    pp = F.count_if(F.col(pred) == positive)
-    ap = F.count_if(F.col(label) == positive)
-    s = df.agg(tp.alias("_tp"), pp.alias("_pp"), ap.alias("_ap"))
+    c = confusion(df, label, pred)
+
+    def cnt(cond):
+        return F.sum(F.when(cond, F.col("n")).otherwise(0))
+
+    tp = cnt((F.col(pred) == positive) & (F.col(label) == positive))
+    pp = cnt(F.col(pred) == positive)
+    ap = cnt(F.col(label) == positive)
+    s = c.agg(tp.alias("_tp"), pp.alias("_pp"), ap.alias("_ap"))
     p = _div0(F.col("_tp"), F.col("_pp"))
     r = _div0(F.col("_tp"), F.col("_ap"))
     return s.select(p.alias("precision"), r.alias("recall"),

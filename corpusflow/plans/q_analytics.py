@@ -19,7 +19,7 @@ from corpusflow.operators import noise as NZ
 from corpusflow.operators.ranks import class_rank
 from corpusflow.operators.schema import iso_string, json_field, seconds_between
 from corpusflow.plans.registry import query
-from corpusflow.session import scratch_dir
+from corpusflow.session import checkpoint_dir, scratch_dir
 from corpusflow.sources import results as R
 from corpusflow.sources.tables import Tables
 
@@ -61,11 +61,15 @@ def runs(spark, d):
     rc = F.coalesce(F.try_divide(F.col("tp"), F.col("ap")), F.lit(0.0))
     mth = F.create_map(*[x for k, v in METHODS for x in (F.lit(k), F.lit(v))])
     dur = seconds_between(F.col("t0"), F.col("t1"))
-    return u.select(
+    out = u.select(
         "experiment_name", "n_shots", "n", F.element_at(mth, F.col("event_type")).alias("peft_method"),
         (F.col("correct") / F.col("n")).alias("eval_accuracy"), p.alias("eval_precision"), rc.alias("eval_recall"),
         F.coalesce(F.try_divide(2 * p * rc, p + rc), F.lit(0.0)).alias("eval_f1"),
         iso_string(F.col("t0")).alias("timestamp"), dur.alias("duration_seconds"))
+    # one row per run: a run-level table read by several branches of each
+    # analytics query, so it is materialised once (reliable checkpoint)
+    checkpoint_dir(spark)
+    return out.checkpoint(eager=True)
 
 
 def results(spark, d):
