@@ -14,14 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.operators.curriculum import as_double_array, dot, probe_logits, softmax
-from corpusflow.operators.sampling import assign_batches, sample_exact
+from corpusflow.operators.sampling import sample_exact
 
 
 def batched_probe(df: DataFrame, key: str, label: str, vec: str, n: int, batch: int, seed) -> DataFrame:
     """Sample ``n`` rows, assign batches of ``batch`` in sample order, score the
     probe.  Adds ``batch_id``, ``batch_n`` (rows in the batch), ``probs``,
     ``resid`` (p - onehot) and ``ce`` (-ln p_y)."""
-    s = sample_exact(df, n, seed, key, out="sample_rank")
+    from corpusflow.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    # the sample has at most n rows (a parameter) and is read by several
+    # branches below: materialise it once
+    s = sample_exact(df, n, seed, key, out="sample_rank").checkpoint(eager=True)
     s = s.withColumn("batch_id", F.floor((F.col("sample_rank") - 1) / batch).cast("bigint"))
     sizes = s.groupBy("batch_id").agg(F.count(F.lit(1)).alias("batch_n"))  # n / batch rows
     s = s.join(F.broadcast(sizes), "batch_id")
