@@ -109,36 +109,59 @@ def json_field(c: Column, path: str, cast: str | None = None) -> Column:
 
 
 def merge_config(*layers: Column) -> Column:
-    """Layered map merge: a later layer wins even when its value is null, then
-    null-valued keys are dropped (P13).  Written without duplicate keys, so it
-    needs no ``mapKeyDedupPolicy`` setting."""
-    def without(layer: Column, keys: Column) -> Column:
-        return F.map_filter(layer, lambda k, v: ~F.array_contains(keys, k))
-
-    out = None
-    for i, layer in enumerate(layers):
-        later = layers[i + 1:]
-        if later:
-            part = without(layer, F.array_distinct(F.flatten(F.array(*[F.map_keys(x) for x in later]))))
-        else:
-            part = layer
-        out = part if out is None else F.map_concat(out, part)
-    return F.map_filter(out, lambda k, v: v.isNotNull())
-
-
-def flatten_config(cfg: Column, exclude: list[str]) -> Column:
-    """Flatten a ``map<string, string>`` config into CLI-style tokens.
-
-    Excluded keys are dropped, ``false`` flags are dropped, ``true`` flags
-    become bare ``--key``; other values become ``--key value``.  Comma-separated
-    list values become repeated values.  The result is an array of tokens.
+    """Layered map merge like a dict merge ``{**g, **b, **e}`` (P13): a later
+    layer wins even when its value is null, keys keep the position of their
+    first appearance, then null-valued keys are dropped.  Built from the key
+    arrays, so no duplicate keys ever reach ``map_concat`` (no dedup setting)."""
+    keys = F.array_distinct(F.concat(*[F.map_keys(x) for x in layers]))
+
+    def value(k):
+        v = F.element_at(layers[0], k) if len(layers) == 1 else None
+        out = None
+        for layer in reversed(layers):
+            has = F.array_contains(F.map_keys(layer), k)
+            out = F.when(has, F.element_at(layer, k)) if out is None else out.when(has, F.element_at(layer, k))
+        return out if v is None else v
+
+    merged = F.map_from_arrays(keys, F.transform(keys, value))
+    return F.map_filter(merged, lambda k, v: v.isNotNull())
+
+
+# Config keys that are not command-line arguments
+NOT_ARGS = ["name", "description", "experiments", "base_config"]
+
+
+def flatten_config(cfg: Column, exclude: list[str] | None = None) -> Column:
+    """Command-line tokens from a merged config (P14), in key order.
+
+    Values are JSON text: ``true``/``false`` (flag / dropped), ``[..]`` lists
+    (``--key v1 v2``; an empty top-level list is dropped), ``{..}`` nested
+    configs flattened one level with their own keys (``--sub v``; nested
+    nulls dropped, nested lists kept even when empty), anything else
+    ``--key value``.  Excluded keys and null values are skipped.
     """
-    ex = F.array(*[F.lit(k) for k in exclude]) if exclude else F.array().cast("array<string>")
-    kept = F.map_filter(cfg, lambda k, v: ~F.array_contains(ex, k) & (F.lower(v) != "false"))
-    entries = F.sort_array(F.map_entries(kept))
-    return F.flatten(F.transform(entries, lambda e: F.when(
-        F.lower(e["value"]) == "true", F.array(F.concat(F.lit("--"), e["key"])))
-        .otherwise(F.concat(F.array(F.concat(F.lit("--"), e["key"])), F.split(e["value"], ",")))))
+    ex = F.array(*[F.lit(k) for k in (NOT_ARGS if exclude is None else exclude)])
+    kept = F.map_filter(cfg, lambda k, v: ~F.array_contains(ex, k) & v.isNotNull())
+    entries = F.map_entries(kept)
+
+    def scalar(name, v, top: bool):
+        flag = F.concat(F.lit("--"), name)
+        lst = F.from_json(v, "array<string>")
+        as_list = F.concat(F.array(flag), lst)
+        if top:
+            as_list = F.when(F.size(lst) > 0, as_list).otherwise(F.array().cast("array<string>"))
+        return (F.when(F.lower(v) == "true", F.array(flag))
+                 .when(F.lower(v) == "false", F.array().cast("array<string>"))
+                 .when(F.trim(v).startswith("["), as_list)
+                 .otherwise(F.array(flag, F.regexp_replace(v, '^"|"$', ""))))
+
+    def one(e):
+        k, v = e["key"], e["value"]
+        nested = F.map_entries(F.map_filter(F.from_json(v, "map<string,string>"), lambda a, b: b.isNotNull()))
+        flat_nested = F.flatten(F.transform(nested, lambda x: scalar(x["key"], x["value"], False)))
+        return F.when(F.trim(v).startswith("{"), flat_nested).otherwise(scalar(k, v, True))
+
+    return F.flatten(F.transform(entries, one))
 
 
 def iso_string(ts: Column) -> Column:

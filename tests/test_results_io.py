@@ -69,12 +69,25 @@ def test_merge_and_flatten_config(spark):
     g = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"), F.lit("c"), F.lit("3"))
     b = F.create_map(F.lit("b"), F.lit(None).cast("string"), F.lit("d"), F.lit("true"))
     e = F.create_map(F.lit("c"), F.lit("9"), F.lit("e"), F.lit("false"), F.lit("name"), F.lit("run1"))
-    m = df.select(P.merge_config(g, b, e).alias("m")).collect()[0].m
-    assert m == {"a": "1", "c": "9", "d": "true", "e": "false", "name": "run1"}  # null override drops b
-    toks = df.select(P.flatten_config(P.merge_config(g, b, e), ["name"]).alias("t")).collect()[0].t
+    r = df.select(F.map_keys(P.merge_config(g, b, e)).alias("k"), F.map_values(P.merge_config(g, b, e)).alias("v")).collect()[0]
+    # dict-merge semantics: b's null override removes "b"; "c" keeps its first position
+    # (order read through map_keys: collecting a map into Python loses it)
+    assert list(zip(r.k, r.v)) == [("a", "1"), ("c", "9"), ("d", "true"), ("e", "false"), ("name", "run1")]
+    toks = df.select(P.flatten_config(P.merge_config(g, b, e)).alias("t")).collect()[0].t
     assert toks == ["--a", "1", "--c", "9", "--d"]
 
 
+def test_flatten_nested_lists_and_flags(spark):
+    cfg = F.create_map(
+        F.lit("model"), F.lit("distilbert"), F.lit("epochs"), F.lit("3"),
+        F.lit("lora_config"), F.lit('{"r": 8, "use_rslora": true, "fan_in": false, "modules": ["q", "v"], "skip": null}'),
+        F.lit("seeds"), F.lit("[1, 2]"), F.lit("tags"), F.lit("[]"), F.lit("fp16"), F.lit("true"),
+        F.lit("description"), F.lit("x"), F.lit("warm"), F.lit(None).cast("string"))
+    t = spark.range(1).select(P.flatten_config(cfg).alias("t")).collect()[0].t
+    assert t == ["--model", "distilbert", "--epochs", "3", "--r", "8", "--use_rslora", "--modules", "q", "v",
+                 "--seeds", "1", "2", "--fp16"]
+
+
 def test_registry_lookup(spark):
     assert P.dataset_info(spark, "sst2").collect()[0].text_column == "sentence"
     with pytest.raises(ValueError):
