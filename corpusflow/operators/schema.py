@@ -116,12 +116,11 @@ def merge_config(*layers: Column) -> Column:
     keys = F.array_distinct(F.concat(*[F.map_keys(x) for x in layers]))
 
     def value(k):
-        v = F.element_at(layers[0], k) if len(layers) == 1 else None
-        out = None
+        out = None  # the last layer that has the key decides, even with a null value
         for layer in reversed(layers):
             has = F.array_contains(F.map_keys(layer), k)
             out = F.when(has, F.element_at(layer, k)) if out is None else out.when(has, F.element_at(layer, k))
-        return out if v is None else v
+        return out
 
     merged = F.map_from_arrays(keys, F.transform(keys, value))
     return F.map_filter(merged, lambda k, v: v.isNotNull())
