@@ -90,7 +90,20 @@ def manifest(df: DataFrame, dataset: str, split_col: str = "split", text_col: st
               .withColumn("with_label_text", F.lit(with_label_text)))
 
 
+def manifest_document(per_split: DataFrame, outdir: str, num_samples: int = -1) -> DataFrame:
+    """The one-object manifest (S6): dataset, splits, outdir, files,
+    num_samples (the row cap that was asked for, -1 = all), with_label_text,
+    plus the rows per split.  One row, aggregated from the per-split table."""
+    return per_split.groupBy("dataset", "with_label_text").agg(
+        F.sort_array(F.collect_list("split")).alias("splits"),
+        F.sort_array(F.flatten(F.collect_list("files"))).alias("files"),
+        F.map_from_entries(F.collect_list(F.struct("split", "num_samples"))).alias("rows_per_split"),
+    ).select("dataset", "splits", F.lit(outdir).alias("outdir"), "files",
+             F.lit(num_samples).alias("num_samples"), "with_label_text", "rows_per_split")
+
+
 def write_manifest(m: DataFrame, path: str) -> None:
+    """Write the (one-row) manifest as JSON."""
     m.coalesce(1).write.mode("overwrite").json(path)
 
 

@@ -92,3 +92,16 @@ def test_registry_lookup(spark):
     assert P.dataset_info(spark, "sst2").collect()[0].text_column == "sentence"
     with pytest.raises(ValueError):
         P.dataset_info(spark, "nope")
+
+
+def test_manifest_document(spark):
+    base = scratch_dir(spark, "t-man")
+    df = spark.createDataFrame([(1, "a", 0, "train"), (2, "b", 1, "train"), (3, "c", 0, "test")],
+                               "doc_id bigint, text string, label int, split string")
+    out = CSV.write_split_csv(df, base, "x")
+    back = CSV.load_split_csv(spark, base, "x", "doc_id bigint, text string, label int")
+    doc = CSV.manifest_document(CSV.manifest(back, "x"), out).collect()[0]
+    assert doc.splits == ["test", "train"] and doc.rows_per_split == {"train": 2, "test": 1}
+    assert doc.num_samples == -1 and len(doc.files) >= 2 and doc.outdir == out
+    CSV.write_manifest(CSV.manifest_document(CSV.manifest(back, "x"), out), base + "/manifest")
+    assert spark.read.json(base + "/manifest").count() == 1
