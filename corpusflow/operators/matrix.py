@@ -104,6 +104,20 @@ def unit_rows(r: int, k: int) -> np.ndarray:
     return A
 
 
+def random_rows(r: int, k: int, seed: int, mode: str = "kaiming") -> np.ndarray:
+    """A seeded ``r x k`` projection basis (N5): ``kaiming`` = uniform in
+    ``[-1/sqrt(k), 1/sqrt(k)]`` (Kaiming-uniform with a = sqrt(5) for fan-in
+    k), ``normal`` = N(0, 1) * 0.01.  It is ``r x k`` numbers, built on the
+    driver and used as a literal."""
+    rng = np.random.default_rng(seed)
+    if mode == "kaiming":
+        b = 1.0 / np.sqrt(k)
+        return rng.uniform(-b, b, size=(r, k))
+    if mode == "normal":
+        return rng.standard_normal((r, k)) * 0.01
+    raise ValueError(f"unknown init mode {mode!r}")
+
+
 def classify_vectors(mean: Column, std: Column) -> Column:
     """Random (|mean| < 1e-6 and std < 0.02), warm (|mean| > 1e-4 or
     std > 0.05), else unclear."""
