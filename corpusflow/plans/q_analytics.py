@@ -95,7 +95,7 @@ def scanned(spark, d):
     """Write the results as JSON plus one corrupt file, then scan them back."""
     path = scratch_dir(spark, "results")
     R.write_results(results(spark, d), path)
-    spark.createDataFrame([("{\"experiment_name\": broken",)], "value string").write.mode("append").text(path)
+    spark.createDataFrame([(CORRUPT_DOC,)], "value string").write.mode("append").text(path)
     return R.read_results(spark, path)
 
 
@@ -129,9 +129,15 @@ def results_scan(spark, d):
                        F.round("duration_seconds", 6).alias("duration_s"), "timestamp")
 
 
-@query("results_corrupt")
+CORRUPT_DOC = '{"experiment_name": broken'
+
+
+@query("results_corrupt", """
+SELECT '{"experiment_name": broken' AS _corrupt, CAST(NULL AS VARCHAR) AS experiment_name
+WHERE EXISTS (SELECT 1 FROM events)""")
 def results_corrupt(spark, d):
-    """The corrupt result file is reported, not fatal (rows-only check)."""
+    """The corrupt result file is reported, not fatal: exactly one bad row
+    next to all the good ones, whatever the data."""
     _, bad = scanned(spark, d)
     # Spark refuses a raw-JSON query that reads only the corrupt-record column
     return bad.select("_corrupt", "experiment_name")

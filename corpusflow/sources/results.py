@@ -76,11 +76,15 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         return empty, empty.select(F.lit(None).cast("string").alias("_file"), "_corrupt", "experiment_name")
     # the keyword form: ``text()`` would override an earlier ``option("wholetext")``
     t = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
-    body = F.trim(F.col("value"))
-    first = F.trim(F.element_at(F.split(body, "\n"), 1))
+    def strip(c):  # ``trim`` removes spaces only; documents may end with newlines
+        return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+    body = strip(F.col("value"))
+    first = strip(F.element_at(F.split(body, "\n"), 1))
     is_lines = (F.length(first) > 1) & first.endswith("}")
     docs = F.when(is_lines, F.split(body, "\n")).otherwise(F.array(body))
-    d = t.select("_file", F.explode(docs).alias("doc")).where(F.length(F.trim("doc")) > 0)
+    d = (t.select("_file", F.explode(docs).alias("doc")).withColumn("doc", strip(F.col("doc")))
+          .where(F.length("doc") > 0))
     parsed = d.select("_file", F.from_json("doc", RESULT_SCHEMA, {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"), "doc")
     parsed = parsed.select("_file", "r.*", F.col("doc").alias("_doc"))
