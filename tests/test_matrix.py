@@ -1,7 +1,6 @@
 """Low-rank projection against numpy on a small distributed matrix."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from corpusflow.operators import matrix as N
 
