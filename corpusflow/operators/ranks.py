@@ -196,27 +196,42 @@ def _key_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
     return big.join(ren, cond, how).drop(*[f"_k_{c}" for c in keys])
 
 
-def within_rank_limits(df: DataFrame, by: list[str], order: Column, key: str, limit_cols: list[str],
+def within_rank_limits(df: DataFrame, by: list[str], order: Column, key: str, limits,
                        hex1: int = 3, hex2: int = 3, prefix: str = "_le_") -> DataFrame:
-    """For each limit column ``L`` (constant within a group), add the boolean
-    ``{prefix}{i}`` = ``rank <= L`` where rank is
+    """Add booleans ``{prefix}{i}`` = ``rank <= L_i`` where rank is
     ``row_number() over (partition by *by order by order, key)``, without
     ranking every row.
 
+    ``limits`` is either a list of column names of ``df`` (constant within a
+    group) or a function from the group sizes ``(*by, _c)`` to a table
+    ``(*by, L_0, L_1, ...)``; the function form derives the limits from the
+    bucket sizes already being counted, so no extra pass over the data.
+
     Buckets (first ``hex1`` hex digits of the md5 order) that lie wholly
-    before ``L`` are in, wholly after are out; the bucket that straddles ``L``
-    is refined by the next ``hex2`` digits, and only rows of the straddling
-    sub-bucket are ranked with a window.  Both offset tables are group-level
+    before a limit are in, wholly after are out; a bucket that straddles one
+    is refined by the next ``hex2`` digits, and only rows of straddling
+    sub-buckets are ranked with a window.  Both offset tables are group-level
     (checkpointed, broadcast after a row-count check), so the rows flow
     through map-side joins and only the boundary rows reach a shuffle.
     """
     from corpusflow.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
-    n = len(limit_cols)
     h = df.withColumn("_h", order).withColumn("_b1", F.substring("_h", 1, hex1)) \
           .withColumn("_b2", F.substring("_h", 1 + hex1, hex2))
-    s1 = h.groupBy(*by, *limit_cols, "_b1").agg(F.count(F.lit(1)).alias("_n"))
-    o1 = _small(_offsets(s1, by, "_b1", None).select(*by, "_b1", "_off", *_states(limit_cols)))
+    if callable(limits):
+        s1 = h.groupBy(*by, "_b1").agg(F.count(F.lit(1)).alias("_n"))
+        counts = s1.groupBy(*by).agg(F.sum("_n").alias("_c"))
+        lim = limits(counts)
+        limit_cols = [c for c in lim.columns if c not in by]
+        s1 = _key_join(s1, lim, list(by))
+        base_cols = list(df.columns)
+    else:
+        limit_cols = list(limits)
+        s1 = h.groupBy(*by, *limit_cols, "_b1").agg(F.count(F.lit(1)).alias("_n"))
+        base_cols = [c for c in df.columns if c not in limit_cols]
+        h = h.drop(*limit_cols)  # they come back with the offset table
+    n = len(limit_cols)
+    o1 = _small(_offsets(s1, by, "_b1", None).select(*by, "_b1", "_off", *limit_cols, *_states(limit_cols)))
     j1 = _key_join(h, o1, [*by, "_b1"])
 
     def any_state(prefix_st: str) -> Column:
@@ -234,13 +249,14 @@ def within_rank_limits(df: DataFrame, by: list[str], order: Column, key: str, li
     j2 = _key_join(j1, _small(o2), [*by, "_b1", "_b2"], "left")
     j2 = j2.select("*", *[F.coalesce(f"_s2_{i}", f"_st_{i}").alias(f"_fs_{i}") for i in range(n)])
     straddle = any_state("_fs_")
+    keep = base_cols + ([] if callable(limits) else limit_cols)
 
     settled = j2.where(~straddle).select(
-        *df.columns, *[(F.col(f"_fs_{i}") == 2).alias(f"{prefix}{i}") for i in range(n)])
+        *keep, *[(F.col(f"_fs_{i}") == 2).alias(f"{prefix}{i}") for i in range(n)])
     rest = j2.where(straddle)
     w = Window.partitionBy(*by, "_b1", "_b2").orderBy("_h", key)
     rest = rest.withColumn("_rk", F.col("_off2") + F.row_number().over(w))
-    ranked = rest.select(*df.columns, *[F.when(F.col(f"_fs_{i}") == 1, F.col("_rk") <= F.col(L))
-                                         .otherwise(F.col(f"_fs_{i}") == 2).alias(f"{prefix}{i}")
-                                         for i, L in enumerate(limit_cols)])
+    ranked = rest.select(*keep, *[F.when(F.col(f"_fs_{i}") == 1, F.col("_rk") <= F.col(L))
+                                   .otherwise(F.col(f"_fs_{i}") == 2).alias(f"{prefix}{i}")
+                                   for i, L in enumerate(limit_cols)])
     return settled.unionByName(ranked)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import hash_order, uniform
-from corpusflow.operators.ranks import bounded_broadcast, class_rank, stratified_quota, within_rank_limits
+from corpusflow.operators.ranks import class_rank, stratified_quota, within_rank_limits
 
 SPLITS = ("train", "validation", "test")
 
@@ -44,23 +44,18 @@ def reduction(original: DataFrame, sampled: DataFrame) -> DataFrame:
         "reduction", F.when(F.col("sampled_rows") > 0, F.col("orig_rows") / F.col("sampled_rows")))
 
 
-def _class_counts(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-
-
 def stratified_split(df: DataFrame, label: str, frac: float, seed: int, key: str,
                      held: str = "test", kept: str = "train", out: str = "split") -> DataFrame:
     """Stratified two-way split (A4): ``frac`` of every class goes to ``held``.
 
-    Only "seeded rank <= quota" is needed, so ``within_rank_limits`` decides
-    whole hash buckets at once and ranks only the boundary rows."""
-    from corpusflow.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    q = stratified_quota(_class_counts(df, label), label, "_c", frac).select(label, "quota")
-    q = bounded_broadcast(q.withColumnRenamed(label, "_k1"))  # one row per class, computed once
-    x = df.join(q, F.col(label).eqNullSafe(F.col("_k1"))).drop("_k1")
-    r = within_rank_limits(x, [label], hash_order(seed, key), key, ["quota"])
-    return r.withColumn(out, F.when(F.col("_le_0"), F.lit(held)).otherwise(F.lit(kept))).drop("_le_0", "quota")
+    Only "seeded rank <= quota" is needed: ``within_rank_limits`` derives the
+    quotas from its bucket sizes, decides whole hash buckets at once and ranks
+    only the boundary rows."""
+    def quotas(counts):
+        return stratified_quota(counts, label, "_c", frac).select(label, F.col("quota").alias("_q"))
+
+    r = within_rank_limits(df, [label], hash_order(seed, key), key, quotas)
+    return r.withColumn(out, F.when(F.col("_le_0"), F.lit(held)).otherwise(F.lit(kept))).drop("_le_0")
 
 
 def stratified_split3(df: DataFrame, label: str, val: float, test: float, seed: int,
@@ -72,21 +67,17 @@ def stratified_split3(df: DataFrame, label: str, val: float, test: float, seed:
     same seeded order, so one rank serves both: rank <= q2 is test,
     q2 < rank <= q1 is validation, the rest is train.
     """
-    from corpusflow.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    counts = _class_counts(df, label)
-    q1 = stratified_quota(counts, label, "_c", val + test).select(label, F.col("quota").alias("_q1"))
-    q2 = stratified_quota(q1.select(label, F.col("_q1").alias("_c")), label, "_c",
-                          1 - val / (val + test)).select(label, F.col("quota").alias("_q2"))
-    q2 = q2.select(F.col(label).alias("_k2"), "_q2")
-    q = q1.join(q2, F.col(label).eqNullSafe(F.col("_k2"))).drop("_k2").withColumnRenamed(label, "_k1")
-    q = bounded_broadcast(q)  # one row per class, computed once
-    x = df.join(q, F.col(label).eqNullSafe(F.col("_k1"))).drop("_k1")
-    r = within_rank_limits(x, [label], hash_order(seed, key), key, ["_q1", "_q2"])
+    def quotas(counts):
+        q1 = stratified_quota(counts, label, "_c", val + test).select(label, F.col("quota").alias("_q1"))
+        q2 = stratified_quota(q1.select(label, F.col("_q1").alias("_c")), label, "_c",
+                              1 - val / (val + test)).select(F.col(label).alias("_k2"), F.col("quota").alias("_q2"))
+        return q1.join(q2, F.col(label).eqNullSafe(F.col("_k2"))).drop("_k2")
+
+    r = within_rank_limits(df, [label], hash_order(seed, key), key, quotas)
     s = (F.when(F.col("_le_1"), F.lit("test"))
           .when(F.col("_le_0"), F.lit("validation"))
           .otherwise(F.lit("train")))
-    return r.withColumn(out, s).drop("_le_0", "_le_1", "_q1", "_q2")
+    return r.withColumn(out, s).drop("_le_0", "_le_1")
 
 
 def ensure_splits(df: DataFrame, label: str, val: float, test: float, seed: int, key: str,
