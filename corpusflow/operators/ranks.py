@@ -57,6 +57,11 @@ def class_rank(df: DataFrame, by: list[str], order: Column, key: str,
         if limit_col is not None:
             offs = offs.drop("_lim")
     offs = offs.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_b").alias("_kb"), "_off")
+    if max_rank is not None:
+        # pruned to the buckets that hold the first max_rank rows of each
+        # group: materialise it and broadcast after a size check, so the rows
+        # meet it map-side and only the kept rows reach the window shuffle
+        offs = bounded_broadcast(offs)
     cond = F.col("_b") == F.col("_kb")
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
