@@ -124,6 +124,39 @@ def allocate(groups: DataFrame, *, score: str, pos: str, base: int, min_units: i
     return out.checkpoint(eager=True)
 
 
+# Parameter-name keywords that mark adapter (PEFT) parameters
+PEFT_KEYWORDS = ["lora", "adapter", "prefix", "prompt"]
+
+
+def model_info(inventory: DataFrame, budget: int | None = None, name: str = "name", numel: str = "numel",
+               trainable: str = "trainable") -> DataFrame:
+    """Parameter accounting over an inventory ``(name, numel, trainable)``.
+
+    total, trainable, frozen, PEFT (trainable and a keyword in the lower-cased
+    name), added (= PEFT), task head (trainable - PEFT), trainable % and
+    efficiency %, and with a budget: usage %, remaining, within.  One
+    aggregate row (partial sums, however many parameters are listed).
+    """
+    low = F.lower(F.col(name))
+    is_peft = F.col(trainable) & F.exists(F.array(*[F.lit(k) for k in PEFT_KEYWORDS]), lambda k: F.instr(low, k) > 0)
+    s = inventory.agg(F.sum(numel).cast("bigint").alias("total_parameters"),
+                      F.sum(F.when(F.col(trainable), F.col(numel)).otherwise(0)).cast("bigint").alias("trainable_parameters"),
+                      F.sum(F.when(is_peft, F.col(numel)).otherwise(0)).cast("bigint").alias("peft_parameters"))
+    out = s.select(
+        "total_parameters", "trainable_parameters",
+        (F.col("total_parameters") - F.col("trainable_parameters")).alias("frozen_parameters"),
+        "peft_parameters", F.col("peft_parameters").alias("added_parameters"),
+        (F.col("trainable_parameters") - F.col("peft_parameters")).alias("task_head_parameters"),
+        (F.col("trainable_parameters") / F.col("total_parameters") * 100).alias("trainable_percentage"),
+        ((F.col("total_parameters") - F.col("trainable_parameters")) / F.col("total_parameters") * 100)
+        .alias("parameter_efficiency"))
+    if budget is not None:
+        out = out.select("*", (F.col("peft_parameters") / F.lit(budget) * 100).alias("budget_usage_percentage"),
+                         (F.lit(budget) - F.col("peft_parameters")).cast("bigint").alias("budget_remaining"),
+                         (F.col("peft_parameters") <= F.lit(budget)).alias("within_budget"))
+    return out
+
+
 def cost(units: Column, unit_cost, layers: int = 1) -> Column:
     """``modules * 2 * units * width`` = ``units * unit_cost`` (x layers)."""
     return (units * _lit(unit_cost) * layers).cast("bigint")

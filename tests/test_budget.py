@@ -142,3 +142,26 @@ def test_tied_scores_keep_position_order(spark):
     tied = [(0, "a", 0.1), (1, "b", 0.9), (2, "c", 0.9), (3, "d", 0.1)]
     rows = _alloc(spark, tied, 8, 60000)
     assert [r.units for r in rows] == greedy(tied, 8, 60000, 2, 62, U)
+
+
+def test_model_info_reproduces_stored_budgeted_run(spark):
+    """Accounting over a parameter inventory built from the model structure
+    reproduces the stored run's model_info: a frozen base, rank-2 low-rank
+    factors on q/v of six layers (width 768), and the classification head."""
+    rows = [("distilbert.base.frozen", 66955010, False)]
+    for layer in range(6):
+        for mod in ("q_lin", "v_lin"):
+            for part in ("lora_A", "lora_B"):
+                rows.append((f"base_model.model.distilbert.transformer.layer.{layer}.attention.{mod}.{part}.default.weight",
+                             2 * 768, True))
+    rows += [("pre_classifier.weight", 768 * 768, True), ("pre_classifier.bias", 768, True),
+             ("classifier.weight", 768 * 2, True), ("classifier.bias", 2, True)]
+    inv = spark.createDataFrame(rows, "name string, numel bigint, trainable boolean")
+    m = B.model_info(inv, budget=37500).collect()[0]
+    assert (m.total_parameters, m.trainable_parameters, m.frozen_parameters) == (67584004, 628994, 66955010)
+    assert (m.peft_parameters, m.added_parameters, m.task_head_parameters) == (36864, 36864, 592130)
+    assert abs(m.trainable_percentage - 0.9306847223789818) < 1e-12
+    assert abs(m.parameter_efficiency - 99.06931527762102) < 1e-10
+    assert abs(m.budget_usage_percentage - 98.304) < 1e-9 and m.budget_remaining == 636 and m.within_budget
+    # the same 36,864 is the allocation cost of the golden case "base 4, budget 37,500 -> all 2"
+    assert sum(r.units for r in _alloc(spark, SCORES, 4, 37500)) * U == 36864
