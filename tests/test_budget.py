@@ -165,3 +165,25 @@ def test_model_info_reproduces_stored_budgeted_run(spark):
     assert abs(m.budget_usage_percentage - 98.304) < 1e-9 and m.budget_remaining == 636 and m.within_budget
     # the same 36,864 is the allocation cost of the golden case "base 4, budget 37,500 -> all 2"
     assert sum(r.units for r in _alloc(spark, SCORES, 4, 37500)) * U == 36864
+
+
+def _inventory(spark, rank):
+    rows = [("distilbert.base.frozen", 66955010, False)]
+    for layer in range(6):
+        for mod in ("q_lin", "v_lin"):
+            for part in ("lora_A", "lora_B"):
+                rows.append((f"base_model.model.distilbert.transformer.layer.{layer}.attention.{mod}.{part}.default.weight",
+                             rank * 768, True))
+    rows += [("pre_classifier.weight", 768 * 768, True), ("pre_classifier.bias", 768, True),
+             ("classifier.weight", 768 * 2, True), ("classifier.bias", 2, True)]
+    return spark.createDataFrame(rows, "name string, numel bigint, trainable boolean")
+
+
+@pytest.mark.parametrize("rank,trainable", [(4, 665858), (8, 739586), (12, 813314)])
+def test_model_info_fixed_ranks_match_stored_summary(spark, rank, trainable):
+    m = B.model_info(_inventory(spark, rank)).collect()[0]
+    assert m.trainable_parameters == trainable and m.task_head_parameters == 592130
+    if rank == 4:  # the stored fixed-rank-4 result
+        assert m.total_parameters == 67620868 and m.peft_parameters == 73728
+        assert abs(m.trainable_percentage - 0.9846930684178736) < 1e-12
+        assert abs(m.parameter_efficiency - 99.01530693158213) < 1e-10
