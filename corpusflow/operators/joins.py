@@ -39,6 +39,14 @@ def strip_affixes(c: Column, prefixes: list[str], suffixes: list[str]) -> Column
     return c
 
 
+def remove_substrings(c: Column, parts: list[str]) -> Column:
+    """Remove every occurrence of each fixed fragment, in the given order
+    (how parameter names are reduced to their core module path before J3)."""
+    for x in parts:
+        c = F.replace(c, F.lit(x), F.lit(""))
+    return c
+
+
 def contains_first_match(a: DataFrame, a_col: str, b: DataFrame, b_col: str, pos: str,
                          out: str = "match") -> DataFrame:
     """For each ``a`` value, the ``b`` value with the smallest ``pos`` such that

@@ -57,3 +57,23 @@ def test_layer_token_join_last_match_wins(spark):
     got = {r.name: (r.layer, r.units) for r in J.layer_token_join(m, "name", g, "layer", "pos", ["q_lin", "ffn"], "units", out="units").collect()}
     assert got == {"enc.layer.1.attn.q_lin.weight": (1, 10), "enc.layer.11.ffn.weight": (11, 110),
                    "enc.layer.2.x.layer.1.q_lin": (2, 20)}
+
+
+def test_warm_start_name_matching(spark):
+    """J3 on parameter names: adapter weights are reduced to their core module
+    path and matched to the first warm-start key (in insertion order) whose
+    core contains it or is contained in it."""
+    mods = [(f"base_model.model.distilbert.transformer.layer.{l}.attention.{m}.lora_{p}.default.weight",)
+            for l in (0, 1, 11) for m in ("q_lin", "v_lin") for p in ("A", "B")]
+    a = spark.createDataFrame(mods, "name string").withColumn("core", J.remove_substrings(
+        F.col("name"), ["base_model.model.", ".lora_A.default.weight", ".lora_B.default.weight",
+                        ".lora_A.weight", ".lora_B.weight"]))
+    keys = [(f"distilbert.transformer.layer.{l}.attention.{m}.weight", i)
+            for i, (l, m) in enumerate((l, m) for l in (0, 1, 11) for m in ("q_lin", "v_lin"))]
+    b = (spark.createDataFrame(keys, "ws_key string, pos int")
+              .withColumn("ws_core", J.remove_substrings(F.col("ws_key"), [".weight", ".bias"])))
+    got = {r.core: r.match for r in J.contains_first_match(a, "core", b, "ws_core", "pos").collect()}
+    for name, in mods:
+        core = name.replace("base_model.model.", "").replace(".lora_A.default.weight", "").replace(".lora_B.default.weight", "")
+        exp = next(k.replace(".weight", "") for k, _ in keys if k.replace(".weight", "") in core or core in k.replace(".weight", ""))
+        assert got[core] == exp
