@@ -49,3 +49,27 @@ def test_softmax_sums_to_one_and_smoothing(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0], 1)], "l array<double>, y int")
     r = df.select(softmax(F.col("l")).alias("p"), label_smoothing(F.col("y"), 3, 0.1).alias("s")).collect()[0]
     assert abs(sum(r.p) - 1) < 1e-12 and abs(sum(r.s) - 1) < 1e-12 and abs(r.s[1] - (0.9 + 0.1 / 3)) < 1e-12
+
+
+def test_layer_group_key_on_parameter_names(spark):
+    from corpusflow.operators.profile import layer_group_key, path_group_mean
+    rows = [("distilbert.transformer.layer.0.attention.q_lin.weight", 0.2),
+            ("distilbert.transformer.layer.0.attention.v_lin.weight", 0.4),
+            ("distilbert.transformer.layer.3.ffn.lin1.weight", 1.0),
+            ("classifier.weight", 9.0), ("enc.7", 5.0)]
+    df = spark.createDataFrame(rows, "name string, score double")
+    keys = [r.k for r in df.select(layer_group_key(F.col("name")).alias("k")).collect()]
+    assert keys == ["layer_0_attention", "layer_0_attention", "layer_3_ffn", None, "layer_7"]
+    g = {r.group_key: (r.mean_score, r.n_items) for r in path_group_mean(df, "name", "score").collect()}
+    assert g == {"layer_0_attention": (0.30000000000000004, 2), "layer_3_ffn": (1.0, 1), "layer_7": (5.0, 1)}
+
+
+def test_mean_std_rows(spark):
+    from corpusflow.operators.analytics import mean_std_rows
+    df = spark.createDataFrame([("lora", 90.06, 91.0), ("lora", 91.51, 91.7), ("ADAPTER", 88.0, 87.25)],
+                               "method string, accuracy double, f1 double")
+    rows = {r.method: r.row for r in mean_std_rows(df, ["accuracy", "f1"]).collect()}
+    # capitalised name, "mean \\pm std" with one decimal, std omitted for a single run;
+    # one decimal = round half-up on the shortest decimal form (91.35 -> 91.4)
+    assert rows["lora"] == "Lora & $90.8 \\pm 1.0$ & $91.4 \\pm 0.5$ \\\\"
+    assert rows["ADAPTER"] == "Adapter & $88.0$ & $87.3$ \\\\"
