@@ -2,7 +2,7 @@
 
 ``row_number() over (partition by label order by h)`` sends every row of a
 class to a single task; with one class holding a third of the data that task
-is the job.  The two ranks here compute the same numbers in two passes:
+is the job.  The ranks here compute the same numbers in two passes:
 
 * ``class_rank`` (hash order inside a group): split every group into up to
   ``16**bucket_hex`` buckets (default 16**5, about a million) by the leading
@@ -20,8 +20,17 @@ is the job.  The two ranks here compute the same numbers in two passes:
   The offset table has one row per range, so broadcasting it is bounded by
   ``num_ranges``.
 
+* ``within_rank_limits`` answers only "rank <= L" (what a split needs):
+  buckets wholly before or after a limit are decided from the offset table,
+  and only the straddling (sub-)bucket is ranked, so the bulk of the rows
+  never reaches a shuffle.
+
+* ``bucketed_running`` ranks and running sums per group for an order with a
+  monotone bucket (hour of a timestamp), split the same way.
+
 ``stratified_quota`` turns class counts into per-class quotas with the
-largest-remainder rule used by stratified splits.
+largest-remainder rule used by stratified splits; ``bounded_broadcast``
+materialises a group-level table and broadcasts it after a row-count check.
 """
 
 from __future__ import annotations
