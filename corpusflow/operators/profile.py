@@ -71,8 +71,28 @@ def group_by_value(df: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def median_int(df: DataFrame, by, col: str) -> DataFrame:
-    """Exact interpolated median, truncated to int."""
-    return df.groupBy(by).agg(F.percentile(col, 0.5).cast("int").alias("median_int"))
+    """Exact interpolated median, truncated to int.
+
+    Computed from the value histogram per group: counts per (group, value)
+    are a partial + final aggregate, a running count over the histogram
+    locates the two middle values (0-based positions floor((N-1)/2) and
+    ceil((N-1)/2)), and the median is their mean.  A group holding a third of
+    the rows costs as many histogram entries as it has distinct values, not
+    rows.  Nulls are ignored, as ``percentile`` does.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    # null values stay as a zero-weight entry, so an all-null group still
+    # yields a (null) row, like percentile
+    h = (df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
+           .withColumn("_c", F.when(F.col(col).isNotNull(), F.col("_c")).otherwise(0)))
+    w = Window.partitionBy(*by).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    h = h.withColumn("_cum", F.sum("_c").over(w)).withColumn("_N", F.sum("_c").over(Window.partitionBy(*by)))
+    lo = F.floor((F.col("_N") - 1) / 2)
+    hi = F.ceil((F.col("_N") - 1) / 2)
+    ok = F.col(col).isNotNull()
+    g = h.groupBy(*by).agg(F.min(F.when(ok & (F.col("_cum") > lo), F.col(col))).alias("_lo"),
+                          F.min(F.when(ok & (F.col("_cum") > hi), F.col(col))).alias("_hi"))
+    return g.select(*by, ((F.col("_lo") + F.col("_hi")) / 2).cast("int").alias("median_int"))
 
 
 def top_k(df: DataFrame, score: str, tie: str, k: int) -> DataFrame:

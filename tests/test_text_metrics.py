@@ -73,3 +73,15 @@ def test_mean_std_rows(spark):
     # one decimal = round half-up on the shortest decimal form (91.35 -> 91.4)
     assert rows["lora"] == "Lora & $90.8 \\pm 1.0$ & $91.4 \\pm 0.5$ \\\\"
     assert rows["ADAPTER"] == "Adapter & $88.0$ & $87.3$ \\\\"
+
+
+def test_median_int_equals_percentile(spark):
+    import random
+    from corpusflow.operators.profile import median_int
+    rnd = random.Random(2)
+    rows = [(g, rnd.choice([None] + list(range(50)))) for g in range(9) for _ in range(rnd.randint(1, 40))]
+    rows += [(99, None), (99, None), (100, 7)]  # an all-null group and a one-row group
+    df = spark.createDataFrame(rows, "g int, v int")
+    a = {r.g: r.median_int for r in median_int(df, "g", "v").collect()}
+    b = {r.g: r.m for r in df.groupBy("g").agg(F.percentile("v", 0.5).cast("int").alias("m")).collect()}
+    assert a == b and a[99] is None and a[100] == 7
