@@ -43,6 +43,13 @@ def html_unescape(spark, d):
     return Tables(spark, d).pages.select("page_id", X.html_unescape(F.col("html")).alias("text_out"))
 
 
+@query("html_unescape_full", f"SELECT page_id, {_unescape_sql('html')} AS text_out FROM pages")
+def html_unescape_full(spark, d):
+    """T1 through the Arrow-batched pandas UDF (full entity table, numeric
+    references): on these pages it must agree with the native decoder."""
+    return Tables(spark, d).pages.select("page_id", X.html_unescape_full(F.col("html")).alias("text_out"))
+
+
 @query("strip_tags", "SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS text_out FROM pages")
 def strip_tags(spark, d):
     return Tables(spark, d).pages.select("page_id", X.strip_tags(F.col("html")).alias("text_out"))
