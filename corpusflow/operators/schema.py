@@ -7,26 +7,27 @@ from pyspark.sql import functions as F
 
 # Label id -> label text per dataset, and the dataset registry
 # (name, hub id, hub config, text column, label column, number of labels,
-# sub-tasks).  Downloaded copies normalise the text column to ``text``.
+# has a validation split, task type, sub-tasks).  Downloaded copies
+# normalise the text column to ``text``.
 LABEL_MAPS = {
     "sst2": {0: "negative", 1: "positive"},
     "ag_news": {0: "World", 1: "Sports", 2: "Business", 3: "Sci/Tech"},
-    "tweeteval-sentiment": {0: "negative", 1: "neutral", 2: "positive"},
     "imdb": {0: "negative", 1: "positive"},
+    "tweeteval-sentiment": {0: "negative", 1: "neutral", 2: "positive"},
 }
 
 REGISTRY = [
-    # name, hub_id, hub_config, text_column, label_column, num_labels, subtasks
-    ("sst2", "glue", "sst2", "sentence", "label", 2, None),
-    ("ag_news", "ag_news", None, "text", "label", 4, None),
-    ("imdb", "imdb", None, "text", "label", 2, None),
-    ("tweet_eval", "tweet_eval", "sentiment", "text", "label", 3,
-     ["sentiment", "emotion", "hate", "irony", "offensive"]),
-    ("yelp", "yelp_polarity", None, "text", "label", 5, None),
+    ("sst2", "glue", "sst2", "sentence", "label", 2, True, "sentiment", None),
+    ("ag_news", "ag_news", None, "text", "label", 4, False, "topic_classification", None),
+    ("imdb", "imdb", None, "text", "label", 2, False, "sentiment", None),
+    ("tweet_eval", "tweet_eval", "sentiment", "text", "label", 3, True, "sentiment",
+     ["emotion", "sentiment", "offensive"]),
+    ("yelp", "yelp_polarity", None, "text", "label", 5, False, "sentiment", None),
 ]
 
 REGISTRY_SCHEMA = ("name string, hub_id string, hub_config string, text_column string, "
-                   "label_column string, num_labels int, subtasks array<string>")
+                   "label_column string, num_labels int, has_validation boolean, task_type string, "
+                   "subtasks array<string>")
 
 
 def registry(spark) -> DataFrame:
