@@ -26,7 +26,8 @@ ENTITIES = [
 TAG_RE = r"<[^>]+>"
 URL_RE = r"http\S+|www.\S+"
 USER_RE = r"(?U)@\w+"
-WS_RE = r"(?U)\s+"
+# Python's str.split() also splits on \x1c-\x1f, which Unicode \s does not include
+WS_RE = r"(?U)[\s\x{1c}-\x{1f}]+"
 WORD_RE = r"[\p{L}\p{N}_]+"
 NONSPACE_RE = r"[^ \t\n\r]+"
 
