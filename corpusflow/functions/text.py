@@ -24,8 +24,9 @@ ENTITIES = [
 ]
 
 TAG_RE = r"<[^>]+>"
-URL_RE = r"http\S+|www.\S+"
-USER_RE = r"(?U)@\w+"
+# Python's \s on str also covers \x1c-\x1f; its \w is letters, numbers, underscore
+URL_RE = r"http[^\s\x{1c}-\x{1f}]+|www.[^\s\x{1c}-\x{1f}]+"
+USER_RE = r"@[\p{L}\p{N}_]+"
 # Python's str.split() also splits on \x1c-\x1f, which Unicode \s does not include
 WS_RE = r"(?U)[\s\x{1c}-\x{1f}]+"
 WORD_RE = r"[\p{L}\p{N}_]+"
@@ -51,12 +52,13 @@ def strip_tags(c: Column) -> Column:
 
 
 def mask_urls(c: Column) -> Column:
-    """``http\\S+`` or ``www.\\S+`` -> ``[URL]`` (T3; the dot is any character)."""
+    """``http\\S+`` or ``www.\\S+`` -> ``[URL]`` (T3; the dot is any character;
+    ``\\S`` with Python's whitespace set)."""
     return F.regexp_replace(c, "(?U)" + URL_RE, "[URL]")
 
 
 def mask_users(c: Column) -> Column:
-    """``@`` mentions -> ``[USER]`` with Unicode word characters (T4)."""
+    """``@`` mentions -> ``[USER]`` with Python's word characters (T4)."""
     return F.regexp_replace(c, USER_RE, "[USER]")
 
 
