@@ -119,11 +119,14 @@ def keyed_bag_cosine(df: DataFrame, key: str, a: Column, b: Column, out: str = "
     """Cosine of the term-count vectors of two token arrays held by the
     same row (a text and its augmentation), for every ``key``.
 
-    The pair is keyed: each side is exploded with a literal side tag (no
-    per-element lambda), counted per (key, term) with a partial + final hash
-    aggregate, and reduced per key.  Nothing pairs different keys.  Null
-    when a side has no tokens.
+    The pair is keyed: rows are hash-partitioned by ``key`` once (each row
+    moves once; keys are unique, so no skew), then each side is exploded
+    with a literal side tag (no per-element lambda), counted per
+    (key, term) and reduced per key.  Both aggregations are satisfied by the
+    key partitioning, so they run without further shuffles.  Nothing pairs
+    different keys.  Null when a side has no tokens.
     """
+    df = df.repartition(key)
     sa = df.select(key, F.explode_outer(a).alias("t"), F.lit(1).alias("x"), F.lit(0).alias("y"))
     sb = df.select(key, F.explode_outer(b).alias("t"), F.lit(0).alias("x"), F.lit(1).alias("y"))
     c = (sa.unionByName(sb).groupBy(key, "t")
