@@ -83,7 +83,7 @@ def class_rank(df: DataFrame, by: list[str], order: Column, key: str,
 
 
 def global_rank(df: DataFrame, order: list, key: str, out: str = "rank",
-                num_ranges: int | None = None) -> DataFrame:
+                num_ranges: int | None = None, materialize_input: bool = True) -> DataFrame:
     """``row_number() over (order by *order, key)`` without a single-task window.
 
     The range bounds Spark samples are seeded by the RDD id, so two plan
@@ -98,6 +98,10 @@ def global_rank(df: DataFrame, order: list, key: str, out: str = "rank",
     checkpoint_dir(spark)
     n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _cols(order) + [F.col(key)]
+    if materialize_input:
+        # the range sampler evaluates the input once and the shuffle again;
+        # for an expensive input (e.g. regex over texts) write it once first
+        df = df.checkpoint(eager=True)
     ranged = (df.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id())
                 .checkpoint(eager=True))
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
