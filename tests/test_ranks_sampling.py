@@ -173,3 +173,14 @@ def test_within_rank_limits_equals_window(spark):
                                             (F.col("_r") <= F.col("L2")).alias("_le_1"))
         assert got.count() == x.count()
         assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0, (h1, h2)
+
+
+def test_hot_class_is_spread_over_buckets(spark):
+    """A class holding a third of the rows is ranked in (class, bucket)
+    windows of about N/3/16**hex rows, not in one window."""
+    n = 30000
+    df = spark.range(n).select(F.col("id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 97 + 1).alias("label"))
+    b = df.select("label", F.substring(hash_order(1, "id"), 1, 2).alias("b"))
+    sizes = b.where("label = 0").groupBy("b").count()
+    mx = sizes.agg(F.max("count")).collect()[0][0]
+    assert sizes.count() == 256 and mx <= 3 * (n / 3 / 256)
