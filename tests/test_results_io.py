@@ -128,8 +128,8 @@ STORED_ROWS = [("lora_r4_baseline", "lora", "sst2", 0.8911, 0.8943, 665858, 35.5
 def test_summary_rows_reproduce_stored_csv(spark, tmp_path):
     d = tmp_path / "stored"
     d.mkdir()
-    (d / "lora_r4_baseline_20251016_204713.json").write_text(json.dumps(FIXED_FULL, indent=2))
-    (d / "ba_lora_37k_20251016_225416.json").write_text(json.dumps(BUDGETED, indent=2))
+    (d / "fixed_rank_run.json").write_text(json.dumps(FIXED_FULL, indent=2))
+    (d / "budgeted_run.json").write_text(json.dumps(BUDGETED, indent=2))
     good, bad = R.read_results(spark, str(d))
     assert bad.select("_corrupt", "experiment_name").count() == 0
     rows = sorted(tuple(r) for r in R.summary_row(good).collect())
