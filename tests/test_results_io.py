@@ -140,3 +140,27 @@ def test_summary_rows_reproduce_stored_csv(spark, tmp_path):
     new = R.summary_row(good).where("experiment = 'ba_lora_37k'")
     both = P.union_tolerant(old, new)
     assert sorted(tuple(r) for r in both.collect()) == sorted(STORED_ROWS)
+
+
+def test_compiled_result_layout(spark):
+    """A compiled result carries the method-specific block of its method only,
+    and the budget block only when there is a target (nulls are omitted in JSON)."""
+    rows = [("lora_r4", "lora", None), ("budget_37k", "ba_lora", 37500)]
+    df = spark.createDataFrame(rows, "experiment_name string, peft_method string, target bigint")
+    c = {"experiment_name": F.col("experiment_name"), "peft_method": F.col("peft_method"),
+         "timestamp": F.lit("2025-01-01T00:00:00.000000"), "duration_seconds": F.lit(60.0),
+         "model": F.lit("m"), "dataset": F.lit("sst2"), "epochs": F.lit(3), "batch_size": F.lit(32),
+         "learning_rate": F.lit(5e-4), "seed": F.lit(42), "max_length": F.lit(128), "lora_r": F.lit(4),
+         "base_rank": F.lit(4), "gradient_samples": F.lit(2000), "eval_loss": F.lit(0.3),
+         "eval_accuracy": F.lit(0.9), "eval_f1": F.lit(0.9), "eval_precision": F.lit(0.9), "eval_recall": F.lit(0.9),
+         "eval_runtime": F.lit(6.0), "eval_samples_per_second": F.lit(135.0), "eval_steps_per_second": F.lit(4.3),
+         "epoch": F.lit(3.0), "trainable_parameters": F.lit(628994).cast("bigint"), "target": F.col("target"),
+         "used": F.lit(36864).cast("bigint")}
+    docs = {r.experiment_name: json.loads(r.j) for r in
+            df.select("experiment_name", F.to_json(R.compile_result(c)).alias("j")).collect()}
+    lo, ba = docs["lora_r4"], docs["budget_37k"]
+    assert lo["config"]["lora_config"] == {"r": 4, "lora_alpha": 8, "lora_dropout": 0.1}
+    assert "ba_lora_config" not in lo["config"] and "parameter_budget" not in lo
+    assert ba["config"]["ba_lora_config"] == {"base_rank": 4, "gradient_samples": 2000, "use_warmstart": True, "alpha": 8}
+    assert "lora_config" not in ba["config"]
+    assert ba["parameter_budget"] == {"target": 37500, "used": 36864, "usage_percentage": 98.304, "within_budget": True}
