@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import text_or_empty, word_count
+from corpusflow.llm.common import cut, text_or_empty, word_count
 
 
 def source_key(col: str) -> Column:
@@ -68,7 +68,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         F.substring(F.md5(F.concat(F.lit(f"{seed}|"), ident, F.lit("|"), F.md5(text_or_empty(text).cast("binary"))).cast("binary")), 1, 16).alias("_h"),
     ).withColumn("_b", F.substring("_h", 1, bucket_hex))
     # one row per (source, bucket): at most 16**bucket_hex per source
-    sums = rows.groupBy("_sk", "_b").agg(F.sum("size").alias("_n"))
+    sums = cut(rows.groupBy("_sk", "_b").agg(F.sum("size").alias("_n")))
     targets = source_targets(sums.groupBy("_sk").agg(F.sum("_n").alias("source_size")), weights, share, max_epochs)
     before = Window.partitionBy("_sk").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(targets, "_sk")
