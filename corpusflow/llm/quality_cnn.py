@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
             weights[y == c] = share.get(c, 0) / max(1, (y == c).sum())
         return pa.table({"net": [train(t["_text"].to_pylist(), y, weights / weights.mean()).pack()]})
 
-    found = sample.groupBy(F.lit(0)).applyInArrow(learn, "net binary").collect()
+    found = sample.groupBy(F.lit("all").alias("_all")).applyInArrow(learn, "net binary").collect()
     if not found:
         return Network(np.zeros((WIDTH, SYMBOLS, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS), 0.0)
     return Network.unpack(found[0]["net"])
