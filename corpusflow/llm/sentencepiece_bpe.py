@@ -9,9 +9,9 @@ open pair is merged in every step.
 A piece holds the space mark only at its front, so a text falls apart into
 stretches (space marks with what follows up to the next) that are encoded on
 their own.  Each worker keeps the stretches it has met, up to a fixed number;
-new ones are encoded by the agenda, checked against the library and decoded
-again by the piece tables, a batch at a time, before use.  Whole texts are then
-put together, decoded by the library, and compared with what went in.
+new ones are encoded by the agenda and checked against the library, a batch at
+a time, before use.  Whole texts are then put together, decoded by the library,
+and compared with what went in.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import hashlib
 import heapq
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,11 @@ from corpusflow.llm.arrow import arrow_udf, parts, struct
 
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
+#: Marks that often close a word.
+MARKS = ",.;:!?*$%&#|"
 #: Stretches up to this many symbols are merged in numpy, longer ones on a heap.
 SHORT = 24
-#: Stretches that a worker keeps; the store is emptied when it is full.
+#: Stretches that a worker keeps, half of them recent; the older half goes when the recent one is full.
 KEPT = 600_000
 _NONE = np.iinfo(np.int32).max
 
@@ -74,8 +77,9 @@ class Vocabulary:
             while self.keys[at] != -1:
                 at = (at + 1) & ((1 << self.bits) - 1)
             self.keys[at], self.values[at] = key, value
-        # a character that no longer piece holds never merges, so stretches end around it
-        self.loose_newline = not any("\n" in w and len(w) > 1 for w in self.ids)
+        # no merge spans two neighbours that no piece holds side by side
+        self.bigrams = {w[i:i + 2] for w in self.ids for i in range(len(w) - 1)}
+        self.newline_apart = not any("\n" in b for b in self.bigrams)
         self.symbol = -np.arange(0x110000, dtype=np.int32) - 1
         for w, i in self.ids.items():
             if len(w) == 1:
@@ -138,7 +142,7 @@ class Vocabulary:
                 offer(left[a], a)
         return self.finish([s for s in sym if s != gone])
 
-    def by_rows(self, stretches: list[str]) -> list[list[int]]:
+    def by_rows(self, stretches: list[str]) -> list[bytes]:
         """The same agenda for many short stretches: each step merges every row's best open pair."""
         rows, width = len(stretches), max(map(len, stretches))
         sym = np.full((rows, width + 1), -_NONE, dtype=np.int32)
@@ -174,18 +178,26 @@ class Vocabulary:
                 piece = self.pair(sym[r, c], sym[r, c + 1])
                 make[r, c] = piece
                 best[r, c] = np.where(piece >= 0, self.rank[piece], _NONE)
-        return [self.finish(row[:n]) for row, n in zip(done_sym.tolist(), done_size.tolist())]
+        filled = column[None, :] < done_size[:, None]
+        flat = done_sym[filled].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(done_size)).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        for i in np.flatnonzero(((done_sym < 0) & filled).any(axis=1)):
+            out[i] = array("I", self.finish(done_sym[i, :done_size[i]].tolist())).tobytes()
+        return out
 
-    def agenda(self, stretches: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in stretches]
-        short = sorted((i for i, s in enumerate(stretches) if 0 < len(s) <= SHORT), key=lambda i: len(stretches[i]))
+    def agenda(self, stretches: list[str]) -> list[bytes]:
+        """Ids of each stretch as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(stretches)
+        size = np.fromiter(map(len, stretches), dtype=np.int64, count=len(stretches))
+        order = np.argsort(size, kind="stable")
+        short = order[(size[order] > 0) & (size[order] <= SHORT)].tolist()
         for k in range(0, len(short), 8192):
             some = short[k:k + 8192]
             for i, ids in zip(some, self.by_rows([stretches[i] for i in some])):
                 out[i] = ids
-        for i, s in enumerate(stretches):
-            if len(s) > SHORT:
-                out[i] = self.by_heap(s)
+        for i in np.flatnonzero(size > SHORT):
+            out[i] = array("I", self.by_heap(stretches[i])).tobytes()
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -226,46 +238,57 @@ class Encoder:
     """A worker's vocabulary and the stretches it has met, with their ids as bytes."""
 
     def __init__(self, path: str):
-        self.vocabulary, self.met = Vocabulary(path), {}
-
-    def _ids(self, stretches: list[str]) -> list[list[int]]:
-        """Ids of whole stretches (with the space mark), newlines apart where nothing merges over them."""
-        v = self.vocabulary
-        if not v.loose_newline:
-            return v.agenda(stretches)
-        pieces = {p for s in stretches for p in s.split("\n") if p}
-        order = sorted(pieces)
-        ids = dict(zip(order, v.agenda(order)))
-        newline = v.agenda(["\n"])[0]
-        out = []
-        for s in stretches:
-            row: list[int] = []
-            for k, p in enumerate(s.split("\n")):
-                if k:
-                    row += newline
-                if p:
-                    row += ids[p]
-            out.append(row)
+        self.vocabulary = Vocabulary(path)
+        self.met: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
+
+    def units(self, stretch: str) -> list[str]:
+        """The stretch in parts that no piece spans: apart at newlines, and before closing marks."""
+        out: list[str] = []
+        vocabulary = self.vocabulary
+        for k, line in enumerate(stretch.split("\n") if vocabulary.newline_apart else [stretch]):
+            if k:
+                out.append("\n")
+            core = line.rstrip(MARKS)
+            if core and core != line and line[len(core) - 1:len(core) + 1] not in vocabulary.bigrams:
+                out += [core, line[len(core):]]
+            elif line or not k:
+                out.append(line)
         return out
 
     def learn(self, words: set[str]) -> None:
         """Encode new stretches by the agenda and check them against the library."""
-        new = [w for w in words if w not in self.met]
-        if not new:
-            return
-        if len(self.met) + len(new) > KEPT:
-            self.met = {w: self.met[w] for w in words if w in self.met}
-        for i in range(0, len(new), 20_000):
-            some = new[i:i + 20_000]
-            own = self._ids([SPACE + w for w in some])
+        if len(self.met) > KEPT // 2:  # what is still in use comes back from the older half
+            self.met, self.older = {}, self.met
+        if len(self.inner) > KEPT // 8:
+            self.inner = {}
+        met, inner = self.met, self.inner
+        new = words - met.keys()
+        known = new & self.older.keys()
+        met.update((w, self.older[w]) for w in known)
+        new -= known
+        mixed = {w: self.units(w) for w in new if not w.isalpha()}
+        # first units follow a space mark, the others nothing
+        first = list((new - mixed.keys()).union(u[0] for u in mixed.values()) - met.keys())
+        later = list({x for u in mixed.values() for x in u[1:]} - inner.keys())
+        for at in range(0, len(first), 50_000):
+            some = first[at:at + 50_000]
+            met.update(zip(some, self.vocabulary.agenda([SPACE + w for w in some])))
+        inner.update(zip(later, self.vocabulary.agenda(later)))
+        for w, u in mixed.items():
+            if len(u) > 1:
+                met[w] = met[u[0]] + b"".join([inner[x] for x in u[1:]])
+        new.discard("")  # the library gives no ids at all for an empty text
+        names = list(new)
+        for at in range(0, len(names), 50_000):
+            some = names[at:at + 50_000]
             library = self.vocabulary.library.encode([w.replace(SPACE, " ") for w in some], num_threads=1)
-            for w, ids, other in zip(some, own, library):
-                # the library gives no ids at all for an empty text
-                if ids != other and w:
-                    raise ValueError(f"encoding of {w[:80]!r} differs from the library's")
-                if self.vocabulary.decode(ids) != " " + w.replace(SPACE, " "):
-                    raise ValueError(f"the pieces of {w[:80]!r} do not give it back")
-                self.met[w] = array("I", ids).tobytes()
+            sizes = np.fromiter(map(len, library), dtype=np.int64, count=len(some))
+            flat = np.fromiter(chain.from_iterable(library), dtype="<u4", count=int(sizes.sum()))
+            own = [met[w] for w in some]
+            if flat.tobytes() != b"".join(own) or [4 * n for n in sizes.tolist()] != [len(x) for x in own]:
+                raise ValueError(f"encoding of a stretch differs from the library's, among {some[0][:80]!r} and others")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without begin and end."""
