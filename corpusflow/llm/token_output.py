@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,13 +33,19 @@ from corpusflow.llm.arrow import on_workers, parts
 from corpusflow.llm.common import stored, text_or_empty
 from corpusflow.session import scratch_dir
 
-#: Chunks whose ids a worker keeps; the store is emptied when it is full.
+#: Chunks whose ids a worker keeps, half of them recent; the older half goes when the recent one is full.
 KEPT = 600_000
 #: Letters that every Unicode version knows, and marks that never join them in a piece of the pre-tokenizer.
 STEM = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 MARKS = ",.;:!?*$%&#|"
-#: White space before a space, or at either end, where a text can't be divided at single spaces.
-UNEVEN = re.compile(r"[\s\x1c-\x1f\x85​᠎] |^[\s\x1c-\x1f]|[\s\x1c-\x1f]$")
+#: White space before a space: there a text can't be divided at single spaces.
+UNEVEN = [chr(c) + " " for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C),
+                                 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+
+
+def even(text: str) -> bool:
+    """No white space meets a space, nor begins or ends the text."""
+    return not text[:1].isspace() and not text[-1:].isspace() and not any(p in text for p in UNEVEN)
 
 
 class Encoder:
@@ -60,42 +67,53 @@ class Encoder:
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
         self.met: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: set[str]) -> None:
-        new = chunks - self.met.keys()
-        if len(self.met) + len(new) > KEPT:
-            self.met = {c: self.met[c] for c in chunks - new}
-        rest, model, letters = [], self.model, self.letters
-        for c in new:
+        """Encode new chunks, each standing after a space."""
+        if len(self.met) > KEPT // 2:  # what is still in use comes back from the older half
+            self.met, self.older = {}, self.met
+        if len(self.ends) > 10_000:
+            self.ends = {}
+        met, model, letters, make = self.met, self.model, self.letters, self._bytes
+        new = chunks - met.keys()
+        known = new & self.older.keys()
+        met.update((c, self.older[c]) for c in known)
+        new -= known
+        is_stem = STEM.fullmatch
+        stems = {c for c in new if is_stem(c) and len(c) <= 64}
+        rest, closed = [], []
+        for c in new - stems:
             stem = c.rstrip(MARKS)
-            if len(stem) > 64 or not STEM.fullmatch(stem):
+            if is_stem(stem) and stem != c and len(stem) <= 64:
+                closed.append((c, stem, c[len(stem):]))
+            else:
                 rest.append(c)
-                continue
-            end = c[len(stem):]
-            if end not in self.ends:
-                self.ends[end] = self.whole([end])[0]
-            ids = [t.id for t in model.tokenize((" " + stem).encode().decode("latin-1").translate(letters))]
-            self.met[c] = self._bytes(ids) + self.ends[end]
-        self.met.update(zip(rest, self.whole([" " + c for c in rest])))
-        if len(self.ends) > 10_000:
-            self.ends = {"": b""}
+        stems.update([x[1] for x in closed])
+        for stem in stems - met.keys():
+            met[stem] = make([t.id for t in model.tokenize((" " + stem).encode().decode("latin-1").translate(letters))])
+        ends = list({x[2] for x in closed} - self.ends.keys())
+        self.ends.update(zip(ends, self.whole(ends)))
+        for c, stem, end in closed:
+            met[c] = met[stem] + self.ends[end]
+        met.update(zip(rest, self.whole([" " + c for c in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian integers of ``dtype``."""
-        even = [not UNEVEN.search(t) for t in texts]
-        odd = iter(self.whole([t for t, e in zip(texts, even) if not e]))
-        split = [t.split(" ") if e else [] for t, e in zip(texts, even)]
+        fine = [even(t) for t in texts]
+        odd = iter(self.whole([t for t, e in zip(texts, fine) if not e]))
+        split = [t.split(" ") if e else [] for t, e in zip(texts, fine)]
         first = iter(self.whole([s[0] for s in split if s]))  # no space before it
         self.learn(set().union(*(s[1:] for s in split)))
         met = self.met
-        return [next(first) + b"".join([met[c] for c in s[1:]]) if e else next(odd) for s, e in zip(split, even)]
+        return [next(first) + b"".join([met[c] for c in s[1:]]) if e else next(odd) for s, e in zip(split, fine)]
 
 
 @lru_cache(maxsize=2)
