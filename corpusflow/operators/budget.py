@@ -25,8 +25,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_STEPS = 1000
-
 
 def _w(scn) -> Window:
     return Window.partitionBy(*scn) if scn else Window.partitionBy()
@@ -79,7 +77,7 @@ def enforce_budget(g: DataFrame, budget, unit_cost, min_units: int, max_units: i
     k1 = F.ceil((F.col("_t") - F.col("_B")) / F.col("_u"))
     k2 = _largest_steps(F.col("_t"), F.col("_u"), -1, F.col("_B") * 0.97)
     k = F.when(F.col("_t") > F.col("_B"),
-               F.greatest(F.lit(0), F.least(k1, k2, F.col("_slack"), F.lit(MAX_STEPS)))).otherwise(F.lit(0))
+               F.greatest(F.lit(0), F.least(k1, k2, F.col("_slack")))).otherwise(F.lit(0))
     g = g.withColumn("_k", k.cast("bigint"))
 
     # removal: levels min+1..r, first k by (level desc, pos)
@@ -95,7 +93,7 @@ def enforce_budget(g: DataFrame, budget, unit_cost, min_units: int, max_units: i
     g = (g.withColumn("_t1", F.sum("_r1").over(w) * F.col("_u"))
           .withColumn("_room", F.sum(max_units - F.col("_r1")).over(w)))
     j = F.greatest(F.lit(0), F.least(_largest_steps(F.col("_t1"), F.col("_u"), 1, F.col("_B") * 1.03),
-                                     F.col("_room"), F.lit(MAX_STEPS)))
+                                     F.col("_room")))
     g = g.withColumn("_j", j.cast("bigint"))
     la = (g.where(F.col("_r1") < max_units)
            .select(*scn, pos, "_j", F.explode(F.sequence(F.col("_r1") + 1, F.lit(max_units))).alias("_lv")))

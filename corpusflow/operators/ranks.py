@@ -30,7 +30,7 @@ is the job.  The ranks here compute the same numbers in two passes:
 
 ``stratified_quota`` turns class counts into per-class quotas with the
 largest-remainder rule used by stratified splits; ``bounded_broadcast``
-materialises a group-level table and broadcasts it after a row-count check.
+materialises a group-level table and broadcasts it after a size check.
 """
 
 from __future__ import annotations
@@ -176,8 +176,8 @@ def bucketed_running(df: DataFrame, by: list[str], order: list, bucket: Column,
     return j.drop("_bk", *keep)
 
 
-# broadcast the checkpointed bucket-offset table only below this many rows
-OFFSETS_BROADCAST_ROWS = 2_000_000
+# broadcast a checkpointed group-level table only below this many bytes
+BROADCAST_BYTES = 64 << 20
 
 
 def _offsets(sizes: DataFrame, by: list[str], bucket: str, base: Column | None) -> DataFrame:
@@ -192,14 +192,25 @@ def _states(limit_cols: list[str]) -> list[Column]:
              .otherwise(1).alias(f"_st_{i}") for i, L in enumerate(limit_cols)]
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = OFFSETS_BROADCAST_ROWS) -> DataFrame:
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of a table's rows: 16 a row, 8 a field, and what its texts and nested values hold."""
+    size = F.lit(16 + 8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    return df.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
+
+
+def bounded_broadcast(small: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Materialise a group-level table (reliable checkpoint) and mark it for
-    broadcast only after its row count is checked against ``max_rows``;
-    larger tables are left to the planner."""
+    broadcast only after its size is checked against ``max_bytes``; larger
+    tables are left to the planner."""
     from corpusflow.session import checkpoint_dir
     checkpoint_dir(small.sparkSession)
     small = small.checkpoint(eager=True)
-    return F.broadcast(small) if small.count() <= max_rows else small
+    return F.broadcast(small) if table_bytes(small) <= max_bytes else small
 
 
 _small = bounded_broadcast

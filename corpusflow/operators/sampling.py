@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import hash_order, uniform
@@ -94,7 +94,7 @@ def ensure_splits(df: DataFrame, label: str, val: float, test: float, seed: int,
     if "train" not in present:
         raise ValueError("Dataset must have at least a 'train' split")
     train = df.where(F.col(split_col) == "train").drop(split_col)
-    rest = df.where(F.col(split_col) != "train")
+    rest = df.where(~F.col(split_col).eqNullSafe("train"))  # rows without a split stay as they are
     if "validation" not in present and "test" not in present:
         made = stratified_split3(train, label, val, test, seed, key, out=split_col)
     elif "validation" not in present:
@@ -104,16 +104,37 @@ def ensure_splits(df: DataFrame, label: str, val: float, test: float, seed: int,
     return made.unionByName(rest.select(*made.columns))
 
 
-def poisson_cdf(lam: float, kmax: int = 30) -> list[float]:
-    """Cumulative Poisson(lam) probabilities P(X <= k), k = 0..kmax."""
-    out, p, acc = [], math.exp(-lam), 0.0
-    for k in range(kmax + 1):
+#: Largest rate that one draw serves; a larger one is the sum of independent draws.
+MAX_RATE = 16.0
+
+
+def poisson_cdf(lam: float) -> list[float]:
+    """Cumulative Poisson(lam) probabilities P(X <= k) for k = 0, 1, ..., until
+    the tail is below the resolution of a 32-bit uniform draw."""
+    out, p, acc, k = [], math.exp(-lam), 0.0, 0
+    while 1 - acc > 2.0 ** -33 or k <= lam:
         acc += p
         out.append(acc)
-        p *= lam / (k + 1)
+        k += 1
+        p *= lam / k
+        if p < 1e-18 and k > lam:
+            break
     return out
 
 
+def poisson_draw(lam: float, seed, key: str) -> Column:
+    """Poisson(lam) count per row: the inverse CDF of a seeded uniform, or the
+    sum of several independent ones where the rate is large."""
+    n = max(1, math.ceil(lam / MAX_RATE))
+    cdf = poisson_cdf(lam / n)
+    total = None
+    for i in range(n):
+        u = uniform(seed if i == 0 else f"{seed}:part{i}", key)
+        k = F.size(F.filter(F.array(*[F.lit(c) for c in cdf]), lambda c: c <= u))
+        total = k if total is None else total + k
+    return total
+
+
 def bootstrap(df: DataFrame, frac: float, seed: int, key: str, out: str = "replica") -> DataFrame:
     """Poisson bootstrap (A7): each row appears ``Poisson(frac)`` times.
 
@@ -122,10 +143,7 @@ def bootstrap(df: DataFrame, frac: float, seed: int, key: str, out: str = "repli
     ``explode(sequence)``.  Expected size ``frac * rows``, drawn with
     replacement.
     """
-    cdf = F.array(*[F.lit(c) for c in poisson_cdf(frac)])
-    u = uniform(seed, key)
-    copies = F.size(F.filter(cdf, lambda c: c <= u))
-    return (df.withColumn("_k", copies).where(F.col("_k") > 0)
+    return (df.withColumn("_k", poisson_draw(frac, seed, key)).where(F.col("_k") > 0)
               .withColumn(out, F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k"))
 
 

@@ -307,7 +307,8 @@ def ablation_delta(spark, d):
 
 
 # Sweep name templates and their placeholder
-TEMPLATES = [("sst2_{n}shot_lora", "n"), ("sst2_{n}shot_adapter", "n"), ("ba_lora_{budget}", "budget")]
+TEMPLATES = [("E2_sst2_fewshot_{n}shot_lora", "n"), ("E2_sst2_fewshot_{n}shot_adapter", "n"), ("E2_sst2_fewshot_{n}shot_hybrid", "n"),
+             ("E4_budget_{budget}_lora", "budget"), ("E4_budget_{budget}_adapter", "budget"), ("E4_budget_{budget}_hybrid", "budget")]
 SWEEP_VALUES = {"n": [8, 16, 32, 64, 128], "budget": [25000, 37500, 75000, 150000, 300000]}
 
 

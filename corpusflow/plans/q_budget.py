@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import hash_order
 from corpusflow.operators import budget as B
-from corpusflow.operators.ranks import class_rank
+from corpusflow.operators.ranks import bounded_broadcast, class_rank
 from corpusflow.plans.registry import query
 from corpusflow.sources.tables import Tables
 
@@ -59,11 +59,11 @@ init AS (SELECT b.budget, list(units_initial ORDER BY pos) AS r, list(source ORD
          FROM g2, (SELECT UNNEST([{bl}]) AS budget) b GROUP BY b.budget),
 red(budget, it, r) AS (SELECT budget, 0, r FROM init UNION ALL
   SELECT budget, it + 1, list_transform(range(1, len(r) + 1), lambda i: CASE WHEN i = list_position(r, list_max(r)) THEN r[i] - 1 ELSE r[i] END)
-  FROM red WHERE it < 1000 AND list_sum(r) * {u} > budget AND list_max(r) > {MIN_U} AND list_sum(r) * {u} - {u} >= budget * 0.97),
+  FROM red WHERE list_sum(r) * {u} > budget AND list_max(r) > {MIN_U} AND list_sum(r) * {u} - {u} >= budget * 0.97),
 r1 AS (SELECT budget, arg_max(r, it) AS r FROM red GROUP BY budget),
 ad(budget, it, r) AS (SELECT budget, 0, r FROM r1 UNION ALL
   SELECT budget, it + 1, list_transform(range(1, len(r) + 1), lambda i: CASE WHEN i = list_position(r, list_min(r)) THEN r[i] + 1 ELSE r[i] END)
-  FROM ad WHERE it < 1000 AND list_sum(r) * {u} + {u} <= budget * 1.03 AND list_min(r) < {MAX_U}),
+  FROM ad WHERE list_sum(r) * {u} + {u} <= budget * 1.03 AND list_min(r) < {MAX_U}),
 fin AS (SELECT budget, arg_max(r, it) AS r FROM ad GROUP BY budget),
 alloc AS (SELECT fin.budget, init.src[i] AS source, fin.r[i] AS units
           FROM fin JOIN init ON fin.budget = init.budget, range(1, len(init.src) + 1) t(i))"""
@@ -143,7 +143,8 @@ def budget_sweep(spark, d):
 def budgeted_mixture_df(spark, d):
     t = Tables(spark, d)
     a = allocation(t).select("source", (F.col("units") * UNIT_DOCS).cast("bigint").alias("quota"))
-    docs = t.documents.select("doc_id", "source").join(a, "source")
+    # one row per source: broadcast after a size check, so documents are not shuffled on a hot source
+    docs = t.documents.select("doc_id", "source").join(bounded_broadcast(a), "source")
     r = class_rank(docs, ["source"], hash_order(SEED, "doc_id"), "doc_id", limit_col="quota")
     return r.select("doc_id", "source", "rank")
 

@@ -157,9 +157,9 @@ def assign_batches(spark, d):
 
 
 def _poisson_case(u_sql: str, lam: float) -> str:
-    cdf = S.poisson_cdf(lam)
-    # copies = number of CDF points <= u
-    return "(" + " + ".join(f"CASE WHEN {c!r} <= {u_sql} THEN 1 ELSE 0 END" for c in cdf) + ")"
+    # copies = number of points of the cumulative Poisson probabilities that are <= u
+    terms = f"list_transform(range(0, 20), lambda i: exp(-{lam}) * pow({lam}, i) / factorial(i::INTEGER))"
+    return f"(len(list_filter(list_transform(range(1, 21), lambda k: list_sum(list_slice({terms}, 1, k))), lambda c: c <= {u_sql})))"
 
 
 @query("bootstrap_split", f"""

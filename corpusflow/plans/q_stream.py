@@ -35,7 +35,9 @@ def stream_progress(spark, d):
     src, schema = _event_files(spark, d)
     sink, ckpt = scratch_dir(spark, "progress-sink"), scratch_dir(spark, "progress-ckpt")
     s = ST.file_stream(spark, src, schema)
-    agg = ST.progress_counts(s, "ts", "event_type", "1 day", "40 days")
+    # files may arrive in any order, so no row is late within the span of the data
+    span = spark.read.parquet(src).agg(F.date_diff(F.max("ts"), F.min("ts"))).first()[0] or 0
+    agg = ST.progress_counts(s, "ts", "event_type", "1 day", f"{span + 2} days")
     ST.run_available_now(agg.select("event_type", F.col("w.start").alias("ws"), "n"), sink, ckpt, "update")
     r = ST.latest_updates(spark, sink, ["event_type", "ws"])
     return r.select("event_type", F.date_format("ws", "yyyy-MM-dd").alias("day"), "n")

@@ -52,7 +52,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if input_bytes is not None:
         conf.update(scale_conf(input_bytes, cores or shuffle_partitions))
-    conf.setdefault("spark.driver.memory", os.environ.get("CORPUSFLOW_DRIVER_MEMORY", "16g"))
+    conf.setdefault("spark.driver.memory", os.environ.get("CORPUSFLOW_DRIVER_MEMORY", "8g"))
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

@@ -63,11 +63,12 @@ def write_results(results: DataFrame, path: str, col: str = "result") -> None:
 def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Scan a folder of result JSON; returns (good rows, corrupt rows).
 
-    Files may hold one pretty-printed document (the reference layout) or JSON
-    Lines (this package's sink): each file is read whole, split into lines
-    only when its first line is itself a complete object, and parsed with
-    ``from_json`` in PERMISSIVE mode, so a bad document becomes a row with
-    ``_corrupt`` set instead of failing the scan.  A missing folder gives two
+    Files may hold one pretty-printed document or JSON Lines (this package's
+    sink): each file is read whole and split into lines when any of its lines
+    is a complete object that starts at the margin (a pretty-printed document
+    has only its braces there), so a broken line loses itself alone.  Every
+    document is parsed with ``from_json`` in PERMISSIVE mode; a bad one becomes
+    a row with ``_corrupt`` set instead of failing the scan.  A missing folder gives two
     empty tables (the reference prints and returns).
     """
     from corpusflow.sources.csv_splits import _fs_exists
@@ -80,8 +81,7 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         return F.regexp_replace(c, r"^\s+|\s+$", "")
 
     body = strip(F.col("value"))
-    first = strip(F.element_at(F.split(body, "\n"), 1))
-    is_lines = (F.length(first) > 1) & first.endswith("}")
+    is_lines = F.exists(F.split(body, "\r?\n"), lambda x: x.rlike(r"^\{.*\}\s*$"))
     docs = F.when(is_lines, F.split(body, "\n")).otherwise(F.array(body))
     d = (t.select("_file", F.explode(docs).alias("doc")).withColumn("doc", strip(F.col("doc")))
           .where(F.length("doc") > 0))

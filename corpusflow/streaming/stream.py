@@ -13,9 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int = 4) -> DataFrame:
-    """A streaming scan of a folder with an explicit schema."""
-    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(path)
+def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_bytes: int = 256 << 20,
+                max_files: int | None = None) -> DataFrame:
+    """A streaming scan of a folder with an explicit schema.
+
+    A micro-batch takes files up to ``max_bytes``, so the number of batches
+    follows the data and not the number of files; ``max_files`` bounds the
+    files of a batch instead (for tests, or arrival one by one).
+    """
+    r = spark.readStream.format(fmt).schema(schema)
+    r = r.option("maxBytesPerTrigger", max_bytes) if max_files is None else r.option("maxFilesPerTrigger", max_files)
+    return r.load(path)
 
 
 def _batch_writer(sink: str, per_batch=None):

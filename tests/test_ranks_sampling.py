@@ -184,3 +184,17 @@ def test_hot_class_is_spread_over_buckets(spark):
     sizes = b.where("label = 0").groupBy("b").count()
     mx = sizes.agg(F.max("count")).collect()[0][0]
     assert sizes.count() == 256 and mx <= 3 * (n / 3 / 256)
+
+
+def test_ensure_splits_keeps_rows_without_a_split(spark):
+    df = spark.createDataFrame([(i, i % 2, "train" if i < 40 else None if i < 45 else "test") for i in range(50)],
+                               "doc_id bigint, label int, split string")
+    out = S.ensure_splits(df, "label", 0.1, 0.1, 1, "doc_id")
+    assert out.count() == 50 and out.where("split IS NULL").count() == 5
+
+
+def test_bootstrap_of_large_rates_is_not_capped(spark):
+    df = spark.range(2000).withColumnRenamed("id", "doc_id")
+    n = S.bootstrap(df, 50, 1, "doc_id").count()
+    assert abs(n - 100_000) < 4 * (50 * 2000) ** 0.5
+    assert S.poisson_cdf(0.2)[-1] > 1 - 2.0 ** -33 and S.poisson_cdf(16.0)[-1] > 1 - 1e-9
