@@ -22,9 +22,13 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# the references that the pages hold, with their texts; the ampersand last, so that nothing is decoded twice
+PAGE_REFERENCES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
 def _unescape_sql(c: str) -> str:
-    for ent, ch in X.ENTITIES:
-        c = f"replace({c}, {_sql_str(ent)}, {_sql_str(ch)})"
+    for ref, text in PAGE_REFERENCES:
+        c = f"replace({c}, {_sql_str(ref)}, {_sql_str(text)})"
     return c
 
 

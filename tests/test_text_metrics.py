@@ -85,3 +85,14 @@ def test_median_int_equals_percentile(spark):
     a = {r.g: r.median_int for r in median_int(df, "g", "v").collect()}
     b = {r.g: r.m for r in df.groupBy("g").agg(F.percentile("v", 0.5).cast("int").alias("m")).collect()}
     assert a == b and a[99] is None and a[100] == 7
+
+
+def test_html_unescape_follows_the_standard_library(spark):
+    import html
+    from corpusflow.functions.text import html_unescape
+    some = ["caf&eacute; &#8217; &amp;#38; &amp;amp; &lt;b&gt;", "&notit; &notin; &ampx &am &copy2 &;& &#; &#x;", "&#0; &#128; &#x9f; &#x81; &#55296; &#x110000; &#99999999999;",
+            "&#1; &#11; &#13; &#x7f; &#xfdd0; &#x1ffff; &#x1F600; &#0065;", "&NotEqualTilde; &fjlig; &nbsp &quotx;&quot", "", "plain", "a & b && c &", None,
+            "&" + "x" * 40 + "; &ngE; &unknownname; &LT&GT", "&#000000000000065; &#x0000000000041 &Aacute"]
+    df = spark.createDataFrame(list(enumerate(some)), "i int, t string")
+    got = [r.o for r in df.select("i", html_unescape(F.col("t")).alias("o")).orderBy("i").collect()]
+    assert got == [None if t is None else html.unescape(t) for t in some]
