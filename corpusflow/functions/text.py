@@ -121,6 +121,11 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD_RE), 0)
 
 
+def n_words(c: Column) -> Column:
+    """Number of ``words`` without building them; null for null."""
+    return F.regexp_count(F.lower(c), F.lit(WORD_RE))
+
+
 def nonspace_tokens(c: Column) -> Column:
     """Whitespace-separated tokens (punctuation kept), in text order."""
     return F.regexp_extract_all(c, F.lit(NONSPACE_RE), 0)

@@ -160,7 +160,10 @@ def mixup_pairs(df: DataFrame, key: str, vec: str, label: str, seed, block: list
     j = r.join(p, [*block, "_pr"])
     if lam is None:
         table = F.array(*[F.lit(x) for x in beta_inverse_cdf_table(alpha, alpha)])
-        lam_c = F.element_at(table, (F.floor(uniform(f"{seed}:lam", key) * 1000) + 1).cast("int"))
+        at = uniform(f"{seed}:lam", key) * 1000  # between two points of the table
+        low = F.element_at(table, (F.floor(at) + 1).cast("int"))
+        high = F.element_at(table, (F.floor(at) + 2).cast("int"))
+        lam_c = low + (high - low) * (at - F.floor(at))
     else:
         lam_c = F.lit(float(lam))
     j = j.withColumn("lam", lam_c)

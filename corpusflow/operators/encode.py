@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import words
+from corpusflow.functions.text import n_words, words
 
 PAD, UNK = 0, 1
 
@@ -65,8 +65,7 @@ def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int
 
 def length_profile(df: DataFrame, by, text: str, max_length: int) -> DataFrame:
     """Mean tokens and share truncated at ``max_length``."""
-    n = F.size(words(F.col(text)))
-    return (df.withColumn("_n", n).groupBy(by)
+    return (df.withColumn("_n", n_words(F.col(text))).groupBy(by)
               .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("_n").alias("mean_tokens"),
                    F.avg(F.when(F.col("_n") > max_length, 1.0).otherwise(0.0)).alias("truncated_share")))
 

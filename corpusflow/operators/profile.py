@@ -19,8 +19,8 @@ def group_mean(df: DataFrame, by, cols: list[str]) -> DataFrame:
 
 
 def group_mean_std(df: DataFrame, by, cols: list[str]) -> DataFrame:
-    """Mean and sample std (ddof=1; one row -> null) of many metrics."""
-    aggs = []
+    """Rows, and mean and sample std (ddof=1; one row -> null) of many metrics."""
+    aggs = [F.count(F.lit(1)).alias("n")]
     for c in cols:
         aggs += [F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"std_{c}")]
     return df.groupBy(by).agg(*aggs)

@@ -217,24 +217,33 @@ def seed_stats(spark, d):
     return g.select("method", "n_seeds", F.round("m", 6).alias("mean_accuracy"), F.round("s", 6).alias("std_accuracy"))
 
 
-T_TABLE_SQL = "(VALUES " + ", ".join(f"({d}, {v})" for d, v in A.T_CRIT_05) + ") AS tt(df, t)"
+# Student's t in SQL by Simpson's rule over its density: P(|T| <= x) for df degrees of freedom
+def _t_inside_sql(x: str, df: str, steps: int = 2000) -> str:
+    density = (f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) "
+               f"* pow(1 + pow({x} * i / {steps}.0, 2) / {df}, -({df} + 1) / 2.0)")
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(2 * {x} / {steps}.0 / 3 * list_sum(list_transform(range(0, {steps} + 1), lambda i: {weight} * {density})))"
 
 
-@query("paired_t", f"""WITH {PCT_SQL},
+@query("paired_t", f"""WITH RECURSIVE {PCT_SQL},
 a AS (SELECT regexp_extract(experiment, '_u(\\d+)$', 1) AS u, accuracy FROM pct WHERE method = 'ba_lora' AND NOT contains(experiment, 'shot')),
 b AS (SELECT regexp_extract(experiment, '_u(\\d+)$', 1) AS u, accuracy FROM pct WHERE method = 'lora' AND NOT contains(experiment, 'shot')),
 d AS (SELECT a.accuracy - b.accuracy AS d FROM a JOIN b ON a.u = b.u),
 s AS (SELECT COUNT(*) AS n_pairs, AVG(d) AS mean_diff, STDDEV_SAMP(d) AS sd_diff FROM d),
-t AS (SELECT *, CASE WHEN sd_diff > 0 THEN mean_diff / (sd_diff / sqrt(n_pairs)) END AS t_stat, CAST(n_pairs - 1 AS INTEGER) AS df FROM s)
+t AS (SELECT *, CASE WHEN sd_diff > 0 THEN mean_diff / (sd_diff / sqrt(n_pairs)) END AS t_stat, CAST(n_pairs - 1 AS INTEGER) AS df FROM s),
+-- the critical value by halving: where the two-sided tail is 5 %
+crit(lo, hi, it) AS (SELECT 0.0::DOUBLE, 700.0::DOUBLE, 0 UNION ALL
+  SELECT CASE WHEN inside < 0.95 THEN mid ELSE lo END, CASE WHEN inside < 0.95 THEN hi ELSE mid END, it + 1
+  FROM (SELECT lo, hi, it, (lo + hi) / 2 AS mid, {_t_inside_sql('((lo + hi) / 2)', 't.df')} AS inside FROM crit, t) WHERE it < 40)
 SELECT 'ba_lora' AS method_a, 'lora' AS method_b, n_pairs, ROUND(mean_diff, 6) AS mean_diff, ROUND(t_stat, 6) AS t_stat, df,
-       CAST((SELECT t FROM {T_TABLE_SQL} WHERE tt.df <= t.df ORDER BY tt.df DESC LIMIT 1) AS DOUBLE) AS t_crit,
-       COALESCE(abs(t_stat) > (SELECT t FROM {T_TABLE_SQL} WHERE tt.df <= t.df ORDER BY tt.df DESC LIMIT 1), false) AS significant
-FROM t""")
+       ROUND(1 - {_t_inside_sql('abs(t_stat)', 'df')}, 6) AS p_value,
+       ROUND(crit.lo, 3) AS t_crit, COALESCE(abs(t_stat) > ROUND(crit.lo, 3), false) AS significant
+FROM t, (SELECT lo FROM crit WHERE it = 40) AS crit""")
 def paired_t(spark, d):
     s = A.single_task(_runs_pct(spark, d)).withColumn("u", F.regexp_extract("experiment", r"_u(\d+)$", 1))
     t = A.paired_t(s, "u", "method", "accuracy", "ba_lora", "lora")
     return t.select("method_a", "method_b", "n_pairs", F.round("mean_diff", 6).alias("mean_diff"),
-                    F.round("t_stat", 6).alias("t_stat"), "df", "t_crit", "significant")
+                    F.round("t_stat", 6).alias("t_stat"), "df", F.round("p_value", 6).alias("p_value"), "t_crit", "significant")
 
 
 @query("cohens_d", f"""WITH {PCT_SQL},
@@ -286,9 +295,8 @@ def robustness_drop(spark, d):
     b = t.documents.join(t.labels, "doc_id").select("doc_id", F.col("quality").alias("label"),
                                                    F.when(F.col("n_chars") >= 1000, 1).otherwise(0).alias("pred"))
     b = NZ.flip_labels(b, "label", "doc_id", 0.1, 2, SEED, out="noisy")
-    clean = M.accuracy(b, "label", "pred").withColumnRenamed("accuracy", "c")
-    noisy = M.accuracy(b, "noisy", "pred").withColumnRenamed("accuracy", "n")
-    j = clean.crossJoin(F.broadcast(noisy))  # two one-row aggregates
+    hit = lambda truth: F.avg(F.when(F.col("pred") == F.col(truth), 1.0).otherwise(0.0))
+    j = b.agg(hit("label").alias("c"), hit("noisy").alias("n"))
     return j.select(F.round("c", 6).alias("clean_accuracy"), F.round("n", 6).alias("noisy_accuracy"),
                     F.round(F.col("c") - F.col("n"), 6).alias("drop"))
 

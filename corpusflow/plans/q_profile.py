@@ -31,8 +31,6 @@ FROM events GROUP BY user_id, event_type""")
 def group_mean_std(spark, d):
     e = _events_k(Tables(spark, d))
     g = G.group_mean_std(e, ["user_id", "event_type"], ["value", "k"])
-    n = e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    g = g.join(n, ["user_id", "event_type"])
     return g.select("user_id", "event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean_value", "std_value", "mean_k", "std_k")])
 
 

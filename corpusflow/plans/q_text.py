@@ -157,7 +157,7 @@ SELECT batch_id, COUNT(*) AS n_rows, MAX(n) AS padded_len,
   SELECT CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY md5('{SEED}|' || CAST(doc_id AS VARCHAR)), doc_id) - 1) / 8) AS BIGINT) AS batch_id,
          CAST(LEAST(len({WORDS_SQL.format(c='text')}), 128) AS INTEGER) AS n FROM documents) GROUP BY batch_id""")
 def dynamic_padding(spark, d):
-    docs = Tables(spark, d).documents.withColumn("n_tokens", F.least(F.size(X.words(F.col("text"))), F.lit(128)))
+    docs = Tables(spark, d).documents.withColumn("n_tokens", F.least(X.n_words(F.col("text")), F.lit(128)))
     b = assign_batches(docs.select("doc_id", "n_tokens"), 8, SEED, "doc_id")
     p = EN.pad_to_batch_max(b, "batch_id")
     return p.select("batch_id", "n_rows", "padded_len", F.round("waste_share", 6).alias("waste_share"))
@@ -171,7 +171,7 @@ SELECT doc_id, n_tokens, tertile, CASE tertile WHEN 1 THEN 'easy' WHEN 2 THEN 'm
   SELECT doc_id, n_tokens, CAST(NTILE(3) OVER (ORDER BY n_tokens, doc_id) AS INTEGER) AS tertile FROM (
     SELECT doc_id, CAST(len({WORDS_SQL.format(c='text')}) AS INTEGER) AS n_tokens FROM documents))""")
 def length_tertiles(spark, d):
-    docs = Tables(spark, d).documents.select("doc_id", F.size(X.words(F.col("text"))).alias("n_tokens"))
+    docs = Tables(spark, d).documents.select("doc_id", X.n_words(F.col("text")).alias("n_tokens"))
     r = global_rank(docs, ["n_tokens"], "doc_id")
     n = docs.agg(F.count(F.lit(1)).alias("_N"))
     r = r.crossJoin(F.broadcast(n))  # one-row table
