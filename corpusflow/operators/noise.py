@@ -55,21 +55,30 @@ def typos(df: DataFrame, text: str, key: str, p: float, seed, out: str = "text_o
     return x.withColumn(out, F.array_join(F.transform(toks, swap), " ")).drop("_h32", "_h32b")
 
 
+# marks that may stand around a token's word
+MARKS = ".,;:!?*$%&#|()[]{}<>"
+
+
 def replace_from_cache(df: DataFrame, text: str, key: str, cache: DataFrame, p: float, seed,
                        term: str = "term", repl: str = "replacement", out: str = "text_out") -> DataFrame:
     """Replace tokens found in a cache table with probability ``p``.
 
-    Tokens are exploded, looked up with a join against the cache (broadcast
-    only when the caller knows the cache is bounded; Spark/AQE decides
-    otherwise), gated by the seeded draw and put back in order.  The regroup
-    is partial-aggregated in the task that exploded the row.
+    A token is looked up by its word, lower-cased and without the marks around
+    it, which stay.  Tokens are exploded; only those that the seeded draw picks
+    have a word to look up, so the others pass the join with the cache by
+    (broadcast only when the caller knows its bound; Spark/AQE decides
+    otherwise).  The regroup is partial-aggregated in the task that exploded
+    the row.
     """
     ex = df.select(key, row_hash32(seed, key).alias("_h32"),
                    F.posexplode_outer(nonspace_tokens(F.col(text))).alias("pos", "tok"))
-    c = cache.select(F.col(term).alias("tok"), F.col(repl).alias("_r"))
-    j = ex.join(c, "tok", "left")
-    gate = sub_uniform(F.col("_h32"), F.col("pos")) < p
-    j = j.withColumn("_w", F.when(F.col("_r").isNotNull() & gate, F.col("_r")).otherwise(F.col("tok")))
+    picked = sub_uniform(F.col("_h32"), F.col("pos")) < p
+    word = F.when(picked, F.lower(F.btrim("tok", F.lit(MARKS))))
+    c = cache.select(F.col(term).alias("_term"), F.col(repl).alias("_r"))
+    j = ex.withColumn("_term", word).join(c, "_term", "left")
+    front = F.length("tok") - F.length(F.ltrim("tok", F.lit(MARKS)))
+    new = F.concat(F.left("tok", front), F.col("_r"), F.right("tok", F.length("tok") - F.length(F.rtrim("tok", F.lit(MARKS)))))
+    j = j.withColumn("_w", F.when(F.col("_r").isNotNull(), new).otherwise(F.col("tok")))
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(),
                                                                 F.struct("pos", "_w")))).alias("_s"))
     return g.select(key, F.array_join(F.transform("_s", lambda s: s["_w"]), " ").alias(out))

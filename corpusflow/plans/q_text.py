@@ -210,17 +210,24 @@ def typo_noise(spark, d):
     return NZ.typos(docs, "text", "doc_id", 0.1, SEED).select("doc_id", "text_out")
 
 
+# words of the paraphrase cache
+CACHE_WORDS = 2000
+
+
 @query("synonym_replace", f"""
-WITH v AS ({vocab_sql(200)}),
+WITH v AS ({vocab_sql(CACHE_WORDS)}),
 e AS (SELECT doc_id, UNNEST(t) AS tok, UNNEST(range(len(t))) AS pos FROM (SELECT doc_id, {TOKS_SQL.format(c='text')} AS t FROM documents)),
-r AS (SELECT e.doc_id, string_agg(CASE WHEN v.term IS NOT NULL AND {_tok_u(SEED, 'e.doc_id', 'e.pos')} < 0.3
-                                       THEN v.term || '~syn' ELSE e.tok END, ' ' ORDER BY e.pos) AS text_out
-      FROM e LEFT JOIN v ON e.tok = v.term GROUP BY e.doc_id)
+m AS (SELECT *, '{NZ.MARKS}' AS marks FROM e),
+r AS (SELECT m.doc_id, string_agg(CASE WHEN v.term IS NOT NULL AND {_tok_u(SEED, 'm.doc_id', 'm.pos')} < 0.3
+                                       THEN left(m.tok, length(m.tok) - length(ltrim(m.tok, marks))) || v.term || '~syn'
+                                            || right(m.tok, length(m.tok) - length(rtrim(m.tok, marks)))
+                                       ELSE m.tok END, ' ' ORDER BY m.pos) AS text_out
+      FROM m LEFT JOIN v ON lower(trim(m.tok, marks)) = v.term GROUP BY m.doc_id)
 SELECT d.doc_id, COALESCE(r.text_out, '') AS text_out FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id""")
 def synonym_replace(spark, d):
     t = Tables(spark, d)
-    v = EN.build_vocab(t.documents, "text", 200)
-    # the cache is the top-200 vocabulary: a parameter-bounded table, so broadcast
+    v = EN.build_vocab(t.documents, "text", CACHE_WORDS)
+    # the cache stands for a table of paraphrases; its size is a parameter, so broadcast
     cache = F.broadcast(v.select("term", F.concat("term", F.lit("~syn")).alias("replacement")))
     return NZ.replace_from_cache(t.documents.select("doc_id", "text"), "text", "doc_id", cache, 0.3, SEED)
 
