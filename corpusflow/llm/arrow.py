@@ -36,12 +36,21 @@ def struct(columns: dict[str, pa.Array]) -> pa.StructArray:
     return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
 
+#: Bytes of an Arrow batch, which stands in the executor's and the worker's memory at once.
+BATCH_BYTES = 8 << 20
+
+
 def on_workers() -> None:
-    """Let Python workers started from here import this package where it lies at the same path.
+    """Let Python workers started from here import this package where it lies at the same path,
+    and send them batches of at most ``BATCH_BYTES``.
 
     On a cluster without such a path, ship the package with ``--py-files``.
     """
-    env = SparkSession.getActiveSession().sparkContext.environment
+    spark = SparkSession.getActiveSession()
+    limit = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b"))
+    if limit <= 0 or limit > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
