@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import cut, row_digest, text_or_empty
+from corpusflow.operators.ranks import bounded_broadcast
 
 #: Bits of the HyperLogLog index; the relative standard error is 1.04 / sqrt(2**LG_K).
 LG_K = 8
@@ -36,7 +37,7 @@ def boilerplate_lines(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> Dat
     spread = cut(sketches.select("_h1", "_h2", F.hll_sketch_estimate("_sketch").alias("_est"))
                  .where(F.col("_est") >= min_sites * (1 - band)))
     sure = spread.where(F.col("_est") > min_sites * (1 + band)).select("_h1", "_h2")
-    near = spread.where(F.col("_est") <= min_sites * (1 + band)).select("_h1", "_h2")
+    near = bounded_broadcast(spread.where(F.col("_est") <= min_sites * (1 + band)).select("_h1", "_h2"))
     exact = (lines.where(F.col("_site").isNotNull()).join(near, ["_h1", "_h2"]).select("_h1", "_h2", "_site").distinct()
              .groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_sites).select("_h1", "_h2"))
     return sure.unionByName(exact)
@@ -53,9 +54,10 @@ def remove_boilerplate(docs: DataFrame, *, min_sites: int = 10, doc_id: str = "d
     lines; a null id counts as smaller than any other.
     """
     lines = site_lines(docs, doc_id, text, site)
-    hits = cut(lines.join(cut(boilerplate_lines(lines, min_sites, lg_k)), ["_h1", "_h2"])
+    # sent to the lines where its checked size allows; beyond it AQE splits the frequent lines of the join
+    hits = cut(lines.join(bounded_broadcast(boilerplate_lines(lines, min_sites, lg_k)), ["_h1", "_h2"])
                .select("_h1", "_h2", F.struct("_id", "_d1", "_d2", "_pos").alias("_at")))
-    first = hits.groupBy("_h1", "_h2").agg(F.min("_at").alias("_first"))
+    first = bounded_broadcast(hits.groupBy("_h1", "_h2").agg(F.min("_at").alias("_first")))
     gone = (hits.join(first, ["_h1", "_h2"]).where(F.col("_at") != F.col("_first"))
             .groupBy(F.col("_at._d1").alias("_d1"), F.col("_at._d2").alias("_d2"))
             .agg(F.collect_set("_at._pos").alias("_gone")))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from corpusflow.llm.arrow import arrow_udf, parts
 from corpusflow.llm.common import cut, row_digest, text_or_empty
 from corpusflow.llm.components import connected_components
+from corpusflow.operators.ranks import bounded_broadcast
 
 CODE_BITS, CHECK_BITS, RADIUS = 23, 11, 3
 #: Generator of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -151,8 +152,8 @@ def links(fps: DataFrame, n: int, threshold: int = 3, codes: int | None = None,
     codes = codes or (1 if n <= ONE_CODE_MAX else 2)
     rows = near_anchors(fps, threshold, codes)
     homes = near_anchors(fps, 0, codes)  # one row for each fingerprint
-    hot = cut(homes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
-              .select("anchor", F.ceil(F.col("_n") / block).cast("int").alias("_salts")))
+    hot = bounded_broadcast(homes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+                            .select("anchor", F.ceil(F.col("_n") / block).cast("int").alias("_salts")))
     # a hot anchor's home rows are dealt over salts; all that reached it meets every salt
     rows = rows.join(hot, "anchor", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
     rows = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
