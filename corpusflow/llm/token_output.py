@@ -34,7 +34,9 @@ from corpusflow.llm.common import stored, text_or_empty
 from corpusflow.session import scratch_dir
 
 #: Chunks whose ids a worker keeps, half of them recent; the older half goes when the recent one is full.
-KEPT = 600_000
+KEPT = 1_000_000
+#: Bytes of text that are encoded together: the more, the fewer chunks are looked up twice.
+PART_BYTES = 4 << 20
 #: Letters that every Unicode version knows, and marks that never join them in a piece of the pre-tokenizer.
 STEM = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 MARKS = ",.;:!?*$%&#|"
@@ -62,7 +64,8 @@ class Encoder:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.size = self.tokenizer.model, self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.kind = "H" if self.size <= 1 << 16 else "I"
+        self.dtype = np.dtype(f"<u{array(self.kind).itemsize}")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
@@ -71,7 +74,7 @@ class Encoder:
         self.ends: dict[str, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
+        return array(self.kind, ids).tobytes()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,38 +85,45 @@ class Encoder:
             self.met, self.older = {}, self.met
         if len(self.ends) > 10_000:
             self.ends = {}
-        met, model, letters, make = self.met, self.model, self.letters, self._bytes
+        met, model, letters, make = self.met, self.model, self.letters, self.kind
         new = chunks - met.keys()
         known = new & self.older.keys()
         met.update((c, self.older[c]) for c in known)
         new -= known
         is_stem = STEM.fullmatch
         stems = {c for c in new if is_stem(c) and len(c) <= 64}
-        rest, closed = [], []
+        rest, closed = [], {}
         for c in new - stems:
             stem = c.rstrip(MARKS)
             if is_stem(stem) and stem != c and len(stem) <= 64:
-                closed.append((c, stem, c[len(stem):]))
+                closed[c] = stem
             else:
                 rest.append(c)
-        stems.update([x[1] for x in closed])
+        stems.update(closed.values())
+        space = chr(letters[0x20])
         for stem in stems - met.keys():
-            met[stem] = make([t.id for t in model.tokenize((" " + stem).encode().decode("latin-1").translate(letters))])
-        ends = list({x[2] for x in closed} - self.ends.keys())
+            shown = space + stem if stem.isascii() else (" " + stem).encode().decode("latin-1").translate(letters)
+            met[stem] = array(make, [t.id for t in model.tokenize(shown)]).tobytes()
+        ends = list({c[len(stem):] for c, stem in closed.items()} - self.ends.keys())
         self.ends.update(zip(ends, self.whole(ends)))
-        for c, stem, end in closed:
-            met[c] = met[stem] + self.ends[end]
+        for c, stem in closed.items():
+            met[c] = met[stem] + self.ends[c[len(stem):]]
         met.update(zip(rest, self.whole([" " + c for c in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian integers of ``dtype``."""
         fine = [even(t) for t in texts]
         odd = iter(self.whole([t for t, e in zip(texts, fine) if not e]))
-        split = [t.split(" ") if e else [] for t, e in zip(texts, fine)]
-        first = iter(self.whole([s[0] for s in split if s]))  # no space before it
-        self.learn(set().union(*(s[1:] for s in split)))
+        heads, split = [], []
+        for t, e in zip(texts, fine):
+            if e:
+                head, space, tail = t.partition(" ")
+                heads.append(head)  # no space before it
+                split.append(tail.split(" ") if space else [])
+        first, rest = iter(self.whole(heads)), iter(split)
+        self.learn(set().union(*split))
         met = self.met
-        return [next(first) + b"".join([met[c] for c in s[1:]]) if e else next(odd) for s, e in zip(split, fine)]
+        return [next(first) + b"".join([met[c] for c in next(rest)]) if e else next(odd) for e in fine]
 
 
 @lru_cache(maxsize=2)
@@ -224,7 +234,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, *, doc_id: str
                 sink = place(f"{name}.docs.arrow")[0].open_output_stream(place(f"{name}.docs.arrow")[1])
                 index = pa.ipc.new_stream(sink, PLACES)
             sizes = []
-            for some in parts(batch.column("_text")):
+            for some in parts(batch.column("_text"), PART_BYTES):
                 for ids in e.encode(some):
                     out.add(ids + end)
                     sizes.append(len(ids) // e.dtype.itemsize + 1)
