@@ -1,5 +1,6 @@
 """Text cleaning, encoding and metrics on tiny inputs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
@@ -43,6 +44,11 @@ def test_metrics_properties(spark):
     assert b.precision == 0.0 and b.recall == 0.0 and b.f1 == 0.0
     m = M.metrics(df, 3).collect()[0]
     assert m.average == "weighted" and m.accuracy == round(5 / 7, 4)
+    assert M.metrics(df, 3, mode="accuracy").collect()[0].accuracy == round(5 / 7, 4)
+    for name in M.METRIC_FUNCTIONS:
+        assert len(M.compute_metric(df, name).collect()) == 1
+    with pytest.raises(ValueError):
+        M.compute_metric(df, "nothing")
 
 
 def test_softmax_sums_to_one_and_smoothing(spark):
@@ -96,3 +102,20 @@ def test_html_unescape_follows_the_standard_library(spark):
     df = spark.createDataFrame(list(enumerate(some)), "i int, t string")
     got = [r.o for r in df.select("i", html_unescape(F.col("t")).alias("o")).orderBy("i").collect()]
     assert got == [None if t is None else html.unescape(t) for t in some]
+
+
+def test_t_distribution_against_known_values(spark):
+    from corpusflow.operators.analytics import t_critical, t_p_value
+    rows = [(1, 12.706), (2, 4.303), (5, 2.571), (30, 2.042), (40, 2.021), (60, 2.000), (121, 1.980), (400, 1.966)]
+    got = spark.createDataFrame(rows, "df int, t double").select(
+        "df", "t", t_critical(F.col("df")).alias("c"), t_p_value(F.col("t"), F.col("df")).alias("p")).collect()
+    for r in got:
+        assert abs(r.c - r.t) < 0.0011 and abs(r.p - 0.05) < 2e-4, r
+
+
+def test_replacement_looks_through_case_and_marks(spark):
+    from corpusflow.operators.noise import replace_from_cache
+    df = spark.createDataFrame([(1, "Big dogs, (big) DOGS! bigger"), (2, ""), (3, None)], "k int, text string")
+    cache = spark.createDataFrame([("big", "large"), ("dogs", "hounds")], "term string, replacement string")
+    got = {r.k: r.text_out for r in replace_from_cache(df, "text", "k", cache, 1.1, 1).collect()}
+    assert got == {1: "large hounds, (large) hounds! bigger", 2: "", 3: ""}
