@@ -96,7 +96,7 @@ def scanned(spark, d):
     path = scratch_dir(spark, "results")
     R.write_results(results(spark, d), path)
     spark.createDataFrame([(CORRUPT_DOC,)], "value string").write.mode("append").text(path)
-    return R.read_results(spark, path)
+    return R.read_results(spark, path, lines=True)
 
 
 RUNS_SQL = f"""

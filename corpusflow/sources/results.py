@@ -60,7 +60,7 @@ def write_results(results: DataFrame, path: str, col: str = "result") -> None:
     results.select(f"{col}.*").write.mode("append").option("ignoreNullFields", "true").json(path)
 
 
-def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_results(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Scan a folder of result JSON; returns (good rows, corrupt rows).
 
     Files may hold one pretty-printed document or JSON Lines (this package's
@@ -68,7 +68,9 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     is a complete object that starts at the margin (a pretty-printed document
     has only its braces there), so a broken line loses itself alone.  Every
     document is parsed with ``from_json`` in PERMISSIVE mode; a bad one becomes
-    a row with ``_corrupt`` set instead of failing the scan.  A missing folder gives two
+    a row with ``_corrupt`` set instead of failing the scan.  With ``lines``
+    (every file is JSON Lines, as the sink writes them) files are read by line,
+    so a large one is split over tasks.  A missing folder gives two
     empty tables (the reference prints and returns).
     """
     from corpusflow.sources.csv_splits import _fs_exists
@@ -76,13 +78,13 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if not _fs_exists(spark, path):
         return empty, empty.select(F.lit(None).cast("string").alias("_file"), "_corrupt", "experiment_name")
     # the keyword form: ``text()`` would override an earlier ``option("wholetext")``
-    t = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
+    t = spark.read.text(path, wholetext=not lines).withColumn("_file", F.input_file_name())
     def strip(c):  # ``trim`` removes spaces only; documents may end with newlines
         return F.regexp_replace(c, r"^\s+|\s+$", "")
 
     body = strip(F.col("value"))
     is_lines = F.exists(F.split(body, "\r?\n"), lambda x: x.rlike(r"^\{.*\}\s*$"))
-    docs = F.when(is_lines, F.split(body, "\n")).otherwise(F.array(body))
+    docs = F.array(body) if lines else F.when(is_lines, F.split(body, "\n")).otherwise(F.array(body))
     d = (t.select("_file", F.explode(docs).alias("doc")).withColumn("doc", strip(F.col("doc")))
           .where(F.length("doc") > 0))
     parsed = d.select("_file", F.from_json("doc", RESULT_SCHEMA, {

@@ -55,6 +55,9 @@ def test_a_broken_line_loses_only_itself(spark, tmp_path):
     good, bad = R.read_results(spark, str(d))
     assert sorted(r.experiment_name for r in good.collect()) == sorted(["r0", "r1", "r2"] * 3 + ["spread"])
     assert bad.select("_corrupt", "_file", "experiment_name").count() == 2
+    (d / "pretty.json").unlink()
+    good, bad = R.read_results(spark, str(d), lines=True)
+    assert good.count() == 9 and bad.select("_corrupt", "_file", "experiment_name").count() == 2
 
 
 def test_missing_results_dir_is_empty(spark, tmp_path):
