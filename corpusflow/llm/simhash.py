@@ -11,7 +11,7 @@ compared with everything that reached it, on all 64 bits.
 The codewords near a fingerprint depend only on its syndrome, so they come from
 a fixed table of error patterns (145,499 rows for t = 3, by construction) that
 is joined on the syndrome.  Copies collapse to one fingerprint first; an anchor
-with many home fingerprints is salted into blocks; a block returns a spanning
+with many home fingerprints is divided into blocks; a block returns a spanning
 forest of the links it found instead of all pairs.
 """
 
@@ -154,19 +154,23 @@ def links(fps: DataFrame, n: int, threshold: int = 3, codes: int | None = None,
     homes = near_anchors(fps, 0, codes)  # one row for each fingerprint
     hot = bounded_broadcast(homes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
                             .select("anchor", F.ceil(F.col("_n") / block).cast("int").alias("_salts")))
-    # a hot anchor's home rows are dealt over salts; all that reached it meets every salt
-    rows = rows.join(hot, "anchor", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
-    rows = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    rows = rows.withColumn("home", F.col("home") & (F.pmod(F.xxhash64("fp"), F.col("_salts")) == F.col("_salt")))
+    # a hot anchor becomes blocks (i, j): its home rows of share i meet what reached it of share j
+    own = F.pmod(F.xxhash64("fp"), F.col("_salts")).cast("int")
+    shares = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
+    reached = rows.join(hot, "anchor", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1))).withColumn("_i", shares).select(
+        "anchor", "_i", own.alias("_j"), "fp", (F.col("home") & (F.col("_i") == own)).alias("home"))
+    at_home = homes.join(hot, "anchor").withColumn("_j", shares).where(F.col("_j") != own).select(
+        "anchor", own.alias("_i"), "_j", "fp", "home")
     groups = max(1, -(-n * 71 // ROWS_PER_GROUP)) if codes == 1 else max(1, -(-n * 301 // ROWS_PER_GROUP))
-    rows = rows.select(F.pmod(F.xxhash64("anchor", "_salt"), F.lit(groups)).alias("_g"),
-                       (F.col("anchor") * 1024 + F.pmod(F.col("_salt"), F.lit(1024))).alias("anchor"), "home", "fp", "_salt")
+    rows = reached.unionByName(at_home).select(
+        F.when((F.col("_i") == 0) & (F.col("_j") == 0), F.pmod(F.xxhash64("anchor"), F.lit(groups))).otherwise(
+            F.xxhash64("anchor", "_i", "_j")).alias("_g"), "anchor", "_i", "_j", "home", "fp")
 
     def compare(t: pa.Table) -> pa.Table:
         a, b = forest_at_anchors(t["anchor"].to_numpy(), t["home"].to_numpy(), t["fp"].to_numpy(), threshold)
         return pa.table({"a": a, "b": b})
 
-    return rows.groupBy("_g", F.floor(F.col("_salt") / 1024)).applyInArrow(compare, "a long, b long")
+    return rows.groupBy("_g", "_i", "_j").applyInArrow(compare, "a long, b long")
 
 
 def fingerprint_groups(prints: DataFrame, *, threshold: int = 3, id_col: str = "id", codes: int | None = None,
