@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import cut, row_digest, text_or_empty
+from corpusflow.llm.common import cut, row_digest, stored, text_or_empty
 from corpusflow.operators.ranks import bounded_broadcast
 
 #: Bits of the HyperLogLog index; the relative standard error is 1.04 / sqrt(2**LG_K).
@@ -53,7 +53,7 @@ def remove_boilerplate(docs: DataFrame, *, min_sites: int = 10, doc_id: str = "d
     removed like others.  Rows with equal id and text keep or lose the same
     lines; a null id counts as smaller than any other.
     """
-    lines = site_lines(docs, doc_id, text, site)
+    lines = stored(site_lines(docs, doc_id, text, site), "lines")  # narrow; the texts are read once here and once below
     # sent to the lines where its checked size allows; beyond it AQE splits the frequent lines of the join
     hits = cut(lines.join(bounded_broadcast(boilerplate_lines(lines, min_sites, lg_k)), ["_h1", "_h2"])
                .select("_h1", "_h2", F.struct("_id", "_d1", "_d2", "_pos").alias("_at")))

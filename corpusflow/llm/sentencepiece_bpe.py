@@ -37,7 +37,7 @@ MARKS = ",.;:!?*$%&#|"
 #: Stretches up to this many symbols are merged in numpy, longer ones on a heap.
 SHORT = 24
 #: Stretches that a worker keeps, half of them recent; the older half goes when the recent one is full.
-KEPT = 600_000
+KEPT = 300_000
 _NONE = np.iinfo(np.int32).max
 
 

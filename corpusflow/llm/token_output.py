@@ -252,6 +252,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, *, doc_id: str
     rows = rows.withColumn("_h", F.xxhash64("_text")).repartitionByRange("_id", "_h").sortWithinPartitions("_id", "_h")
     manifest = stored(rows.select("_id", "_text").mapInArrow(
         write, "part long, ids_path string, docs_path string, n_docs long, n_tokens long"), "manifest")
+    manifest = manifest.groupBy("part", "ids_path", "docs_path").agg(F.max("n_docs").alias("n_docs"), F.max("n_tokens").alias("n_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
