@@ -175,24 +175,26 @@ def links(fps: DataFrame, n: int, threshold: int = 3, codes: int | None = None,
 
 def fingerprint_groups(prints: DataFrame, *, threshold: int = 3, id_col: str = "id", codes: int | None = None,
                        block: int = BLOCK) -> DataFrame:
-    """``prints`` (an id column and ``fp``; a checkpointed or stored table) with ``component_id``.
+    """``prints`` (an id column and ``fp``; a checkpointed or stored table) with ``component_id`` and ``_root``.
 
     Fingerprints that differ in at most ``threshold`` bits link, and
     ``component_id`` is the smallest id that links reach (null ids never are,
-    unless a component has no other).
+    unless a component has no other).  Ids may be null or repeat in unrelated
+    components; ``_root``, a fingerprint, tells these apart.
     """
     fps = cut(prints.groupBy("fp").agg(F.min(id_col).alias("_first")))
     roots = connected_components(links(fps.select("fp"), fps.count(), threshold, codes, block))
     named = roots.join(fps, roots["node"] == fps["fp"]).select("fp", "root", "_first")
     lowest = named.groupBy("root").agg(F.min("_first").alias("_lowest"))
-    merged = named.join(lowest, "root").select("fp", "_lowest")
-    label = fps.join(merged, "fp", "left").select("fp", F.coalesce("_lowest", "_first").alias("component_id"))
+    merged = named.join(lowest, "root").select("fp", "root", "_lowest")
+    label = fps.join(merged, "fp", "left").select(
+        "fp", F.coalesce("_lowest", "_first").alias("component_id"), F.coalesce("root", "fp").alias("_root"))
     return prints.join(label, "fp")
 
 
 def simhash_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, threshold: int = 3,
                    seed: int = 42, **options) -> DataFrame:
-    """One row per input row: ``id``, ``fp`` (signed long), ``component_id`` and the row's digest ``_d1``, ``_d2``.
+    """One row per input row: ``id``, ``fp`` (signed long), ``component_id``, ``_root`` and the row's digest ``_d1``, ``_d2``.
 
     Texts without words have fingerprint 0 and link like any other; null texts
     count as empty.  Repeated rows share a fingerprint and so a component.
@@ -206,7 +208,7 @@ def simhash_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 def simhash_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each SimHash group: the one with the smallest id (null last)."""
     groups = simhash_groups(docs, doc_id=doc_id, text=text, **options)
-    best = groups.groupBy("component_id").agg(
+    best = groups.groupBy("_root").agg(
         F.min(F.struct(F.col("id").isNull(), "id", "_d1", "_d2")).alias("_best")).select("_best._d1", "_best._d2")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *row_digest(doc_id, text))
     kept = rows.join(best, ["_d1", "_d2"]).dropDuplicates(["_d1", "_d2"])  # equal rows share a digest

@@ -99,6 +99,14 @@ def test_simhash_of_messy_rows(messy, empty):
     assert simhash_groups(empty).count() == 0 and simhash_dedup(empty).count() == 0
 
 
+def test_simhash_dedup_keeps_unrelated_texts_of_null_and_repeated_ids(spark):
+    rows = [(None, "one text of its own without any id"), (None, "quite another story, told by nobody at all"),
+            (None, "a third page that names no number either"), (7, "seven is the id of these words here"),
+            (7, "and seven again for something wholly different"), (8, "twice the same"), (9, "twice the same")]
+    kept = simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, rows[:6]))
+
+
 def brute_links(rows, threshold=0.95):
     ok, unit = [], []
     for _, v in rows:
