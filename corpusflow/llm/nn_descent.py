@@ -3,12 +3,15 @@
 Equal vectors collapse to one node first.  Neighbour lists start from random
 hyperplane leaves and are refined by neighbours-of-neighbours joins: around each
 node, the vectors that it lists and that list it are compared with one another,
-and every pair better than the end of a list enters it.  Listed pairs at the
-threshold link nodes into components.  A list whose last entry is at the
-threshold is saturated: it is enlarged to its whole component, as counts, block
-against block, so that no group is written out as pairs.  An audit then compares
-a bounded sample of vectors with all others; while its recall is below the
-target, fresh leaves and further rounds follow.
+and every pair better than the end of a list enters it, until the lists hardly
+change.  Every comparison also returns a spanning forest of all its pairs at the
+threshold, listed or not; these edges link nodes into components.  Later rounds
+compare across components only: lists that were full of their own component
+search beyond it, with fresh leaves, until no round merges any.  Links are then
+counted within components, block against block, so that no group is written out
+as pairs.  An audit compares a bounded sample of vectors with all others; while
+its recall is below the target, further rounds follow, and after the last round
+all vectors are compared across components, block against block.
 
 Vectors travel to where they are compared, a bounded number per call; crowded
 leaves, popular nodes and large components are dealt over several calls.
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from corpusflow.llm.arrow import arrow_udf, on_workers
 from corpusflow.llm.common import cut
 from corpusflow.llm.components import connected_components
+from corpusflow.llm.simhash import hook
 
 #: Neighbours listed, leaf tables per round, pairs a leaf or join offers to each vector.
 LISTED, TABLES, OFFERED = 16, 8, 6
@@ -33,6 +37,9 @@ LISTED, TABLES, OFFERED = 16, 8, 6
 LEAF, CROWD, BLOCK, ROWS_PER_CALL = 128, 64, 2048, 20_000
 #: Vectors that the audit compares with all others, the recall it asks for, and most rounds.
 AUDITED, RECALL, ROUNDS = 512, 0.99, 4
+#: Share of list entries below whose change lists count as settled; links of an audited vector that part its size classes.
+SETTLED, SIZES = 0.001, (3, 16)
+FOUND = "u long, v long, sim double, tree boolean"
 
 
 def usable(vec: Column) -> Column:
@@ -65,8 +72,8 @@ def calls(rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_CALL))
 
 
-def leaf_pairs(nodes: DataFrame, n: int, seed: int) -> DataFrame:
-    """(u, v, sim): the best pairs of each vector within its leaf of every table."""
+def leaf_pairs(nodes: DataFrame, n: int, threshold: float, seed: int) -> DataFrame:
+    """``FOUND``: the best pairs of each vector within its leaf of every table, and forests (``tree``)."""
     bits = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
 
     @arrow_udf("array<bigint>")
@@ -85,25 +92,28 @@ def leaf_pairs(nodes: DataFrame, n: int, seed: int) -> DataFrame:
     size = keyed.groupBy("table", "leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * LEAF)
     dealt = keyed.join(size, ["table", "leaf"], "left")
     dealt = dealt.withColumn("_deal", F.pmod(F.xxhash64("nid", "table", F.lit(seed)), F.ceil(F.coalesce("_n", F.lit(1)) / LEAF)))
-    placed = dealt.select("nid", F.xxhash64("table", "leaf", "_deal").alias("place")).join(nodes.select("nid", "vec"), "nid")
+    placed = dealt.select("nid", F.xxhash64("table", "leaf", "_deal").alias("place")).join(nodes.select("nid", "root", "vec"), "nid")
 
     def best(t: pa.Table) -> pa.Table:
-        nid, place = t["nid"].to_numpy(), t["place"].to_numpy()
+        nid, root, place = (t[c].to_numpy() for c in ("nid", "root", "place"))
         vec = t["vec"].combine_chunks()
         size = np.asarray(pa.compute.list_value_length(vec))
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], []]
         for at in sections(place, size):
             if len(at) > 1:
-                top_pairs(nid[at], matrix(vec.take(pa.array(at))), np.full(len(at), -2.0), out)
+                top_pairs(nid[at], root[at], matrix(vec.take(pa.array(at))), np.full(len(at), -2.0), threshold, out)
         return pairs(out)
 
-    return placed.groupBy(F.pmod("place", F.lit(calls(n * TABLES)))).applyInArrow(best, "u long, v long, sim double")
+    return placed.groupBy(F.pmod("place", F.lit(calls(n * TABLES)))).applyInArrow(best, FOUND)
 
 
-def top_pairs(nid: np.ndarray, x: np.ndarray, bar: np.ndarray, out: list[list[np.ndarray]]) -> None:
-    """For each vector its best ``OFFERED`` partners among the others that exceed its bar."""
+def top_pairs(nid: np.ndarray, root: np.ndarray, x: np.ndarray, bar: np.ndarray, threshold: float, out: list[list[np.ndarray]]) -> None:
+    """For each vector its best ``OFFERED`` partners outside its component that exceed its bar; the forest of all links."""
     sim = x @ x.T
-    sim[nid[:, None] == nid[None, :]] = -3
+    sim[root[:, None] == root[None, :]] = -3
+    parent = np.arange(len(nid))
+    hook(parent, *np.nonzero(sim >= threshold))
+    forest(nid, parent, out)
     k = min(OFFERED, len(nid) - 1)
     best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
     value = np.take_along_axis(sim, best, axis=1)
@@ -111,22 +121,33 @@ def top_pairs(nid: np.ndarray, x: np.ndarray, bar: np.ndarray, out: list[list[np
     out[0].append(nid[r])
     out[1].append(nid[best[r, c]])
     out[2].append(value[r, c])
+    out[3].append(np.zeros(len(r), dtype=bool))
+
+
+def forest(nid: np.ndarray, parent: np.ndarray, out: list[list[np.ndarray]]) -> None:
+    moved = np.flatnonzero(parent != np.arange(len(parent)))
+    for o, x in zip(out, (nid[moved], nid[parent[moved]], np.full(len(moved), np.nan), np.ones(len(moved), dtype=bool))):
+        o.append(x)
 
 
 def pairs(out: list[list[np.ndarray]]) -> pa.Table:
-    kinds = (np.int64, np.int64, np.float64)
-    return pa.table({n: np.concatenate([np.zeros(0, k), *o]) for n, k, o in zip(("u", "v", "sim"), kinds, out)})
+    kinds = (np.int64, np.int64, np.float64, bool)
+    return pa.table({n: np.concatenate([np.zeros(0, k), *o]) for n, k, o in zip(("u", "v", "sim", "tree"), kinds, out)})
 
 
 def best_lists(found: DataFrame) -> DataFrame:
-    """The ``LISTED`` best distinct neighbours of each node."""
+    """The ``LISTED`` best distinct neighbours of each node; ``old``: listed before."""
     order = Window.partitionBy("u").orderBy(F.col("sim").desc(), "v")
-    return (found.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    return (found.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
             .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= LISTED).drop("_r"))
 
 
-def refine(nodes: DataFrame, graph: DataFrame, n: int, threshold: float) -> DataFrame:
-    """One neighbours-of-neighbours join; saturated lists get no more offers."""
+def listable(found: DataFrame) -> DataFrame:
+    return found.where(~F.col("tree")).select("u", "v", "sim", F.lit(False).alias("old"))
+
+
+def refine(nodes: DataFrame, graph: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Lists after one neighbours-of-neighbours join, and its forest; saturated lists get no more offers."""
     ends = graph.groupBy("u").agg(F.count(F.lit(1)).alias("_k"), F.min("sim").alias("_low"))
     bar = ends.select(F.col("u").alias("nid"), F.when(F.col("_k") < LISTED, F.lit(-2.0)).when(
         F.col("_low") >= threshold, F.lit(2.0)).otherwise(F.col("_low")).alias("bar"))
@@ -136,27 +157,50 @@ def refine(nodes: DataFrame, graph: DataFrame, n: int, threshold: float) -> Data
         "w", "nid", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)).alias("share"))
     listing = graph.select(F.col("v").alias("w"), F.col("u").alias("nid")).join(popular, "w").select(
         "w", "nid", F.pmod(F.xxhash64("nid"), F.col("_shares")).cast("int").alias("share"))
-    around = listed.unionByName(listing).distinct().join(nodes.select("nid", "vec").join(bar, "nid", "left"), "nid")
+    around = listed.unionByName(listing).distinct().join(nodes.select("nid", "root", "vec").join(bar, "nid", "left"), "nid")
 
     def join(t: pa.Table) -> pa.Table:
-        nid, w, share = (t[c].to_numpy() for c in ("nid", "w", "share"))
+        nid, root, w, share = (t[c].to_numpy() for c in ("nid", "root", "w", "share"))
         bars = pa.compute.fill_null(t["bar"], -2.0).to_numpy()
         vec = t["vec"].combine_chunks()
         size = np.asarray(pa.compute.list_value_length(vec))
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], []]
         for at in sections(size, w, share):
-            if len(at) > 1 and bars[at].min() < 1:
-                top_pairs(nid[at], matrix(vec.take(pa.array(at))), bars[at], out)
+            if len(at) > 1:
+                top_pairs(nid[at], root[at], matrix(vec.take(pa.array(at))), bars[at], threshold, out)
+        return pairs(out)
+
+    found = cut(around.groupBy(F.pmod(F.xxhash64("w", "share"), F.lit(calls(2 * n * LISTED)))).applyInArrow(join, FOUND))
+    offers = listable(found)
+    both = offers.unionByName(offers.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "old"))
+    lists = best_lists(graph.withColumn("old", F.lit(True)).unionByName(both))
+    return cut(lists), found.where("tree").select("u", "v")
+
+
+def all_pairs(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(u, v): a forest of all links across components, every block of vectors against every other."""
+    m = max(1, -(-n // BLOCK))
+    rows = nodes.select("nid", "root", "vec", F.pmod(F.xxhash64("nid"), F.lit(m)).alias("_c")).withColumn(
+        "_o", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    rows = rows.select("nid", "root", "vec", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        nid, root = t["nid"].to_numpy(), t["root"].to_numpy()
+        vec = t["vec"].combine_chunks()
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for at in sections(np.asarray(pa.compute.list_value_length(vec))):
+            x, parent = matrix(vec.take(pa.array(at))), np.arange(len(at))
+            for s in range(0, len(at), 512):
+                r, c = np.nonzero((x[s:s + 512] @ x.T >= threshold) & (root[at[s:s + 512], None] != root[None, at]))
+                hook(parent, r + s, c)
+            forest(nid[at], parent, out)
         return pairs(out)
 
-    offers = around.groupBy(F.pmod(F.xxhash64("w", "share"), F.lit(calls(2 * n * LISTED)))).applyInArrow(
-        join, "u long, v long, sim double")
-    both = offers.unionByName(offers.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
-    return best_lists(graph.unionByName(both))
+    return rows.groupBy("i", "j").applyInArrow(compare, FOUND).select("u", "v")
 
 
 def link_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """(nid, n): vectors at the threshold within the component, copies and itself counted.
+    """(nid, n, other): vectors at the threshold within the component, copies and itself counted, and distinct ones.
 
     ``members``: nid, root, copies, vec.  A component of more than ``BLOCK``
     nodes is compared block against block in separate calls.
@@ -173,7 +217,7 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
         root, i, j, nid, copies = (t[c].to_numpy() for c in ("root", "i", "j", "nid", "copies"))
         side = t["counts"].to_numpy(zero_copy_only=False) if isinstance(t["counts"], pa.Array) else t["counts"].combine_chunks().to_numpy(zero_copy_only=False)
         vec = t["vec"].combine_chunks()
-        ids, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ids, ns, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in sections(root, i, j):
             mine = at[side[at]]
             theirs = mine if i[at[0]] == j[at[0]] else at[~side[at]]
@@ -184,11 +228,12 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
                     near = matrix(vec.take(pa.array(some))) @ y.T >= threshold
                     ids.append(nid[some])
                     ns.append(near @ weight)
-        return pa.table({"nid": np.concatenate(ids), "n": np.concatenate(ns).astype(np.int64)})
+                    others.append(near.sum(axis=1))
+        return pa.table({"nid": np.concatenate(ids), "n": np.concatenate(ns).astype(np.int64), "other": np.concatenate(others).astype(np.int64)})
 
     total = max(1, members.count())
     return both.groupBy(F.pmod(F.xxhash64("root", "i", "j"), F.lit(calls(total)))).applyInArrow(
-        count, "nid long, n long").groupBy("nid").agg(F.sum("n").alias("n"))
+        count, "nid long, n long, other long").groupBy("nid").agg(F.sum("n").alias("n"), (F.sum("other") - 1).alias("other"))
 
 
 def audit(nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
@@ -239,13 +284,33 @@ def near_duplicates(table: DataFrame, *, vec_id: str = "vec_id", vector: str = "
     nodes = cut(good.groupBy("vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
                 .withColumn("nid", F.monotonically_increasing_id()))  # fixed by the checkpoint
     n = nodes.count()
-    graph, measured = None, 1.0
-    links = None
-    for k in range(rounds):
-        fresh = leaf_pairs(nodes, n, seed + k)
-        graph = cut(best_lists(fresh if graph is None else graph.unionByName(fresh)))
-        graph = cut(refine(nodes, graph, n, threshold))
-        roots = connected_components(graph.where(F.col("sim") >= threshold), "u", "v")
+    graph, roots, measured = None, None, 1.0
+    for k in range(rounds + 1):
+        rooted = nodes.withColumn("root", F.col("nid")) if roots is None else nodes.join(
+            roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        if k < rounds:
+            found = cut(leaf_pairs(rooted, n, threshold, seed + k))
+            trees, lists = found.where("tree").select("u", "v"), listable(found)
+            if graph is not None:  # lists go on without what is now in the same component
+                ends = rooted.select("nid", "root")
+                lists = lists.unionByName(graph.join(ends.toDF("u", "_ru"), "u").join(ends.toDF("v", "_rv"), "v").where(
+                    F.col("_ru") != F.col("_rv")).select("u", "v", "sim", "old"))
+            graph, changed = cut(best_lists(lists)), None
+            while changed is None or changed > SETTLED * n * LISTED:
+                graph, more = refine(rooted, graph, n, threshold)
+                trees, changed = trees.unionByName(more), graph.where(~F.col("old")).count()
+        else:  # not settled by the search
+            trees = all_pairs(rooted, n, threshold)
+        if roots is not None:
+            trees = cut(trees)
+            merges = not trees.isEmpty()
+            trees = trees.unionByName(roots.toDF("u", "v"))
+        else:
+            merges = True
+        if merges:
+            roots = cut(connected_components(trees, "u", "v"))
+            if k < min(rounds, n - 1):
+                continue  # the next round looks for links between the components
         members = cut(roots.withColumnRenamed("node", "nid").join(nodes.select("nid", "copies", "vec", "first"), "nid"))
         counted = cut(link_counts(members.select("nid", "root", "copies", "vec"), threshold))
         links = members.select("nid", "root", "first").join(counted, "nid")

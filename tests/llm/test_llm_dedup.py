@@ -148,6 +148,27 @@ def test_nn_descent_matches_brute_force(spark, monkeypatch, block):
     assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
 
 
+def crowds():
+    """Three dense crowds in a row, neighbours linked at 0.957, and some pairs."""
+    rng, eye = np.random.default_rng(5), np.eye(24)
+    turn = np.arccos(0.957)
+    centres = [np.cos(k * turn) * eye[0] + np.sin(k * turn) * eye[1] for k in range(3)]
+    rows = [c + 0.001 * rng.normal(size=24) for c in centres for _ in range(25)]
+    for k in range(20):
+        x = rng.normal(size=24)
+        rows += [x, x + 0.01 * rng.normal(size=24)]
+    return [(int(i), [float(np.float32(x)) for x in v]) for i, v in zip(rng.permutation(len(rows)), rows)]
+
+
+@pytest.mark.parametrize("rounds", [4, 0])
+def test_crowds_joined_by_weaker_links_are_one_component(spark, rounds):
+    rows = crowds()
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), rounds=rounds).collect()
+    want = brute_links([(i, [np.float32(c) for c in v]) for i, v in rows])
+    assert sorted(want) == sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got)
+    assert sum(r["kept"] for r in got) == 21 and all(r["audit_recall"] == 1 for r in got)
+
+
 def test_nn_descent_of_no_rows(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_duplicates(none).count() == 0
