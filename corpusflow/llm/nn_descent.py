@@ -237,9 +237,15 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def audit(nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
-    """Share of the links of a bounded sample, found by comparing it with every vector, that was counted."""
+    """Recall over a bounded sample of vectors, found by comparing it with every vector.
+
+    Links are those between different vectors; copies are found by construction
+    and do not count.  The result is the smallest of the share of all links and,
+    for vectors with few, some and many links (``SIZES``), the mean share of a
+    vector's links.
+    """
     sample = nodes.orderBy(F.xxhash64(F.lit(5), "nid"), "nid").limit(AUDITED)
-    rows = sample.join(counted, "nid", "left").select("nid", "vec", "copies", F.coalesce("n", "copies").alias("n")).collect()
+    rows = sample.join(counted, "nid", "left").select("nid", "vec", F.coalesce("other", F.lit(0)).alias("other")).collect()
     if not rows:
         return 1.0
     by_size: dict[int, list] = {}
@@ -250,21 +256,23 @@ def audit(nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {d: np.zeros(len(q[0]), dtype=np.int64) for d, q in queries.items()}
         for batch in batches:
-            vec, copies = batch.column("vec"), batch.column("copies").to_numpy()
+            vec = batch.column("vec")
             size = np.asarray(pa.compute.list_value_length(vec))
             for d, (_, q) in queries.items():
                 at = np.flatnonzero(size == d)
                 for s in range(0, len(at), 4096):
                     some = at[s:s + 4096]
-                    sums[d] += (q @ matrix(vec.take(pa.array(some))).T >= threshold) @ copies[some]
+                    sums[d] += (q @ matrix(vec.take(pa.array(some))).T >= threshold).sum(axis=1)
         for d, (nid, _) in queries.items():
             yield pa.RecordBatch.from_arrays([pa.array(nid), pa.array(sums[d])], names=["nid", "n"])
 
-    true = nodes.select("vec", "copies").mapInArrow(compare, "nid long, n long").groupBy("nid").agg(F.sum("n").alias("n"))
+    true = nodes.select("vec").mapInArrow(compare, "nid long, n long").groupBy("nid").agg(F.sum("n").alias("n"))
     truth = {r["nid"]: r["n"] - 1 for r in true.collect()}
-    found = {r["nid"]: r["n"] - 1 for r in rows}
-    total = sum(truth.values())
-    return sum(min(found[k], truth[k]) for k in truth) / total if total else 1.0
+    links = np.array([(min(r["other"], truth[r["nid"]]), truth[r["nid"]]) for r in rows if truth[r["nid"]] > 0])
+    if not len(links):
+        return 1.0
+    share, kind = links[:, 0] / links[:, 1], np.searchsorted(SIZES, links[:, 1])
+    return float(min(links[:, 0].sum() / links[:, 1].sum(), *(share[kind == k].mean() for k in np.unique(kind))))
 
 
 def near_duplicates(table: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.95,

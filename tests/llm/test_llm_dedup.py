@@ -169,6 +169,17 @@ def test_crowds_joined_by_weaker_links_are_one_component(spark, rounds):
     assert sum(r["kept"] for r in got) == 21 and all(r["audit_recall"] == 1 for r in got)
 
 
+def test_audit_sees_missed_pairs_beside_a_large_group(spark):
+    rng = np.random.default_rng(6)
+    rows = [np.eye(24)[0] + 0.001 * rng.normal(size=24) for _ in range(100)]
+    for _ in range(10):
+        x = rng.normal(size=24)
+        rows += [x, x + 0.01 * rng.normal(size=24)]
+    nodes = spark.createDataFrame([(i, [float(c) for c in v], 50, i) for i, v in enumerate(rows)], "nid long, vec array<double>, copies long, first long")
+    large = nn_descent.link_counts(nodes.where("nid < 100").selectExpr("nid", "0L AS root", "copies", "vec"), 0.95)
+    assert nn_descent.audit(nodes, large, 0.95) < 0.5
+
+
 def test_nn_descent_of_no_rows(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_duplicates(none).count() == 0
