@@ -5,9 +5,9 @@ window that occurs more than once, and the characters of the words inside such
 windows are measured against all word characters; lines that repeat an earlier
 line are measured likewise.  Word ids come from an exact dictionary and the
 hash starts anew in each text, so nothing is shared between texts.  Coverage
-counts what repeats something earlier, so a line that a page carries at its top
-and its foot weighs once.  A text fails when it breaks a base rule or when some
-coverage is above its limit.
+counts what repeats something earlier.  A text fails when it breaks a base rule
+or when some coverage is above its limit; the one line that a page carries at
+its top and again at its foot is excused.
 """
 
 from __future__ import annotations
@@ -22,10 +22,9 @@ from corpusflow.llm.arrow import arrow_udf, parts, struct
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
-#: Largest accepted share of word characters inside repeated n-grams, by n, and inside repeated lines: a page of
-#: fifty words that carries one line of a dozen words at its top and its foot must pass.
-COVERAGE = {5: 0.30, 7: 0.28, 10: 0.26}
-LINES = 0.30
+#: Largest accepted share of word characters inside repeated n-grams, by n, and inside repeated lines.
+COVERAGE = {5: 0.15, 7: 0.13, 10: 0.10}
+LINES = 0.20
 BASE_WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 3, 50, 50
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -103,10 +102,21 @@ def measures(texts: list[str], lengths: list[int]) -> dict[str, np.ndarray]:
     return out
 
 
+def framed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and words of the line that is a text's first and last and stands nowhere else, 0 if none is."""
+    chars, words = (np.zeros(len(texts), dtype=np.int64) for _ in range(2))
+    for i, t in enumerate(texts):
+        lines = [line for line in t.encode("utf-8").split(b"\n") if line.strip()]
+        if len(lines) > 2 and lines[0] == lines[-1] and lines.count(lines[0]) == 2:
+            chars[i], words[i] = len(lines[0].translate(None, SPACES).decode("utf-8")), len(lines[0].split())
+    return chars, words
+
+
 def repetition_rules(text: Column, coverage: Mapping[int, float] = COVERAGE, lines: float = LINES) -> Column:
     """Struct of the base counts, ``repeat_chars_<n>``, ``dup_line_chars``, ``base_failed`` and ``kept``.
 
     Null and empty texts have no words, fail the base rule and are not kept.
+    The counts include a line at a text's top and foot, the limits do not.
     Whole texts are measured; a very long text is one unit of work in a batch.
     """
     lengths = sorted(coverage)
@@ -116,13 +126,15 @@ def repetition_rules(text: Column, coverage: Mapping[int, float] = COVERAGE, lin
 
     @arrow_udf(f"struct<{kind}, base_failed: boolean, kept: boolean>")
     def of(texts: pa.Array) -> pa.Array:
-        found = [measures(some, lengths) for some in parts(texts)]
+        batches = list(parts(texts))
+        found = [measures(some, lengths) for some in batches]
+        chars, words = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(([], []), *map(framed, batches)))
         all_ = {c: np.concatenate([np.zeros(0, dtype=np.int64), *(f[c] for f in found)]) for c in counts}
         base = (all_["n_words"] < MIN_WORDS) | (100 * all_["n_repeat_words"] > MAX_REPEAT_PERCENT * all_["n_words"])
         total = all_["word_chars"]
-        fine = all_["dup_line_chars"] <= lines * total
+        fine = all_["dup_line_chars"] - chars <= lines * total
         for k in lengths:
-            fine &= all_[f"repeat_chars_{k}"] <= coverage[k] * total
+            fine &= all_[f"repeat_chars_{k}"] - np.where(words >= k, chars, 0) <= coverage[k] * total
         return struct({**{c: pa.array(all_[c], pa.int64()) for c in counts}, "base_failed": pa.array(base), "kept": pa.array(~base & fine)})
 
     return of(text)

@@ -150,6 +150,18 @@ def test_repetition_rules_of_messy_rows(spark, messy, empty):
     assert got[1]["kept"] and not got[2]["kept"] and not got[3]["kept"]
 
 
+def test_repetition_limits_between_a_tenth_and_a_third(spark):
+    own = [f"word{i:03}" for i in range(100)]
+    copies = {n: " ".join([*own, *own[:n]]) for n in (8, 15, 25, 40)}  # 7, 13, 20 and 29 % in later copies
+    line = " ".join(f"head{i:03}" for i in range(12))
+    body = " ".join(own[:40])
+    rows = [*copies.items(), (1, f"{line}\n{body}\n{line}"), (2, f"{line}\n{body}\n{line}\n{body[:80]}\n{line}"),
+            (3, f"{body}\n{line}\n{line}\nend of it")]
+    df = spark.createDataFrame(rows, "i long, text string")
+    kept = {r["i"]: r["o"]["kept"] for r in df.select("i", repetition_rules(F.col("text")).alias("o")).collect()}
+    assert kept == {8: True, 15: False, 25: False, 40: False, 1: True, 2: False, 3: False}
+
+
 def test_quality_network_on_held_out_rows(spark):
     from corpusflow.llm.queries import QUERIES
     got = QUERIES["op6_quality_network"](spark, SF01).collect()
