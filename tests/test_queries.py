@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 from corpusflow.sources.tables import TABLES
 
-from conftest import SF001
+from driver_tables import SF001
 
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()

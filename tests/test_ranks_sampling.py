@@ -9,7 +9,7 @@ from corpusflow.functions.hashing import hash_order, uniform
 from corpusflow.operators import sampling as S
 from corpusflow.operators.ranks import bucketed_running, class_rank, global_rank, ntile_from_rank, stratified_quota
 
-from conftest import SF01
+from driver_tables import SF01
 
 
 def _skewed(spark, n=3000):

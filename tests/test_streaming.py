@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusflow.session import scratch_dir
 from corpusflow.streaming import stream as ST
 
-from conftest import SF001
+from driver_tables import SF001
 
 
 def test_stream_summary_is_idempotent(spark):
