@@ -17,118 +17,23 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.arrow import on_workers, parts
+from corpusflow.llm.arrow import on_workers
 from corpusflow.llm.common import stored, text_or_empty
+from corpusflow.llm.interning import slices
+from corpusflow.llm.unit_encoder import unit_encoder
 from corpusflow.session import scratch_dir
 
-#: Chunks whose ids a worker keeps, half of them recent; the older half goes when the recent one is full.
-KEPT = 1_000_000
-#: Bytes of text that are encoded together: the more, the fewer chunks are looked up twice.
-PART_BYTES = 4 << 20
-#: Letters that every Unicode version knows, and marks that never join them in a piece of the pre-tokenizer.
-STEM = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
-MARKS = ",.;:!?*$%&#|"
-#: White space before a space: there a text can't be divided at single spaces.
-UNEVEN = [chr(c) + " " for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C),
-                                 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
-
-
-def even(text: str) -> bool:
-    """No white space meets a space, nor begins or ends the text."""
-    return not text[:1].isspace() and not text[-1:].isspace() and not any(p in text for p in UNEVEN)
-
-
-class Encoder:
-    """A byte-level BPE tokenizer and the ids of the chunks it has met.
-
-    The pre-tokenizer never joins what stands before a single space with the
-    space, so texts are divided there and a chunk is encoded once.  A chunk of
-    letters and closing marks is two pre-tokens, which the library's model takes
-    directly; all others go through the whole tokenizer, and so do texts with
-    other white space around spaces.
-    """
-
-    def __init__(self, path: str):
-        self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.size = self.tokenizer.model, self.tokenizer.get_vocab_size()
-        self.kind = "H" if self.size <= 1 << 16 else "I"
-        self.dtype = np.dtype(f"<u{array(self.kind).itemsize}")
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-        hidden = [b for b in range(256) if b not in shown]
-        self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
-        self.met: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return array(self.kind, ids).tobytes()
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encode new chunks, each standing after a space."""
-        if len(self.met) > KEPT // 2:  # what is still in use comes back from the older half
-            self.met, self.older = {}, self.met
-        if len(self.ends) > 10_000:
-            self.ends = {}
-        met, model, letters, make = self.met, self.model, self.letters, self.kind
-        new = chunks - met.keys()
-        known = new & self.older.keys()
-        met.update((c, self.older[c]) for c in known)
-        new -= known
-        is_stem = STEM.fullmatch
-        stems = {c for c in new if is_stem(c) and len(c) <= 64}
-        rest, closed = [], {}
-        for c in new - stems:
-            stem = c.rstrip(MARKS)
-            if is_stem(stem) and stem != c and len(stem) <= 64:
-                closed[c] = stem
-            else:
-                rest.append(c)
-        stems.update(closed.values())
-        space = chr(letters[0x20])
-        for stem in stems - met.keys():
-            shown = space + stem if stem.isascii() else (" " + stem).encode().decode("latin-1").translate(letters)
-            met[stem] = array(make, [t.id for t in model.tokenize(shown)]).tobytes()
-        ends = list({c[len(stem):] for c, stem in closed.items()} - self.ends.keys())
-        self.ends.update(zip(ends, self.whole(ends)))
-        for c, stem in closed.items():
-            met[c] = met[stem] + self.ends[c[len(stem):]]
-        met.update(zip(rest, self.whole([" " + c for c in rest])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian integers of ``dtype``."""
-        fine = [even(t) for t in texts]
-        odd = iter(self.whole([t for t, e in zip(texts, fine) if not e]))
-        heads, split = [], []
-        for t, e in zip(texts, fine):
-            if e:
-                head, space, tail = t.partition(" ")
-                heads.append(head)  # no space before it
-                split.append(tail.split(" ") if space else [])
-        first, rest = iter(self.whole(heads)), iter(split)
-        self.learn(set().union(*split))
-        met = self.met
-        return [next(first) + b"".join([met[c] for c in next(rest)]) if e else next(odd) for e in fine]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+#: Bytes of text that are encoded together.
+PART_BYTES = 1 << 20
 
 
 def place(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -208,21 +113,24 @@ PLACES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens",
 
 
 def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, *, doc_id: str = "doc_id", text: str = "text",
-                    folder: str | None = None, length: int = 2048, rows_per_batch: int = 256) -> DataFrame:
+                    folder: str | None = None, length: int = 2048, rows_per_batch: int = 256,
+                    encode_special_tokens: bool = False) -> DataFrame:
     """Write the files below ``folder`` (default: a new shared one) and return the manifest:
     ``part``, ``ids_path``, ``docs_path``, ``n_docs``, ``n_tokens`` and ``base``, the ids in all earlier files.
 
     Documents follow one another by ascending id, null ids first; equal ids
     follow by a hash of their text, and repeated rows each get their place.
     Null texts are empty: the end id alone.  An empty table gives no files.
+    A special token's string in a text becomes that token, as in the library;
+    with ``encode_special_tokens`` it is ordinary text.
     """
     on_workers()
     folder = folder or scratch_dir(docs.sparkSession, "sequences")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        e, out, index, at, n = encoder(tokenizer), None, None, 0, 0
-        end = np.array([end_id], dtype=e.dtype).tobytes()
+        e, out, index, at, n = unit_encoder(tokenizer, spaced=True, encode_special_tokens=encode_special_tokens), None, None, 0, 0
+        dtype = np.dtype("<u2" if max(e.size, end_id + 1) <= 1 << 16 else "<u4")
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
         for batch in batches:
             if not batch.num_rows:
@@ -230,14 +138,15 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, *, doc_id: str
             if out is None:
                 fs, inner = place(folder)
                 fs.create_dir(inner, recursive=True)
-                out = SequenceWriter(f"{name}.ids.arrow", e.dtype, length, rows_per_batch)
+                out = SequenceWriter(f"{name}.ids.arrow", dtype, length, rows_per_batch)
                 sink = place(f"{name}.docs.arrow")[0].open_output_stream(place(f"{name}.docs.arrow")[1])
                 index = pa.ipc.new_stream(sink, PLACES)
             sizes = []
-            for some in parts(batch.column("_text"), PART_BYTES):
-                for ids in e.encode(some):
-                    out.add(ids + end)
-                    sizes.append(len(ids) // e.dtype.itemsize + 1)
+            for some in slices(batch.column("_text"), PART_BYTES):
+                ids, n_ids = e.encode(some)
+                out.add(np.insert(ids, np.cumsum(n_ids), end_id).astype(dtype).tobytes())
+                sizes.append(n_ids + 1)
+            sizes = np.concatenate(sizes)
             starts = at + np.concatenate(([0], np.cumsum(sizes)))
             index.write_batch(pa.record_batch([batch.column("_id"), pa.array(starts[:-1], pa.int64()), pa.array(sizes, pa.int64())], schema=PLACES))
             at, n = int(starts[-1]), n + len(sizes)

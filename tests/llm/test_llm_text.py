@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.dataset as ds
+import pytest
 import sentencepiece
 import tokenizers
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from corpusflow.llm.license_scan import scan_licenses, telling, template_words,
 from corpusflow.llm.q_quality_cnn import KEEP
 from corpusflow.llm.quality_rules import COVERAGE, measures, repetition_rules
 from corpusflow.llm.sentencepiece_bpe import Encoder, encode_decode, split_stretches
-from corpusflow.llm.token_output import Encoder as ByteEncoder, Sequences, place, read_documents, write_sequences
+from corpusflow.llm.token_output import Sequences, place, read_documents, write_sequences
+from corpusflow.llm.unit_encoder import UnitEncoder
 
 SF01 = "/root/testdata/sf0.01"
 PIECES, BYTES = (public_tokenizers.path(n) for n in ("piece_bpe_32k.model", "byte_bpe_50k.json"))
@@ -52,15 +54,14 @@ def test_rows_and_heap_run_the_same_agenda():
 
 
 def test_stores_may_be_emptied(monkeypatch):
-    from corpusflow.llm import sentencepiece_bpe, token_output
+    from corpusflow.llm import sentencepiece_bpe, unit_encoder
     monkeypatch.setattr(sentencepiece_bpe, "KEPT", 64)
-    monkeypatch.setattr(token_output, "KEPT", 64)
-    a, b = Encoder(PIECES), ByteEncoder(BYTES)
+    monkeypatch.setattr(unit_encoder, "KEPT", 64)
+    a, b = Encoder(PIECES), UnitEncoder(BYTES, spaced=True)
     whole = tokenizers.Tokenizer.from_file(BYTES)
-    whole.encode_special_tokens = True
     for t in texts(30):
         assert np.frombuffer(a.encode([t])[0], "<u4").tolist() == a.vocabulary.library.encode(t)
-        assert np.frombuffer(b.encode([t])[0], b.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids
+        assert b.encode(pa.array([t]))[0].tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
 def test_sentencepiece_of_messy_rows(messy, empty):
@@ -73,16 +74,29 @@ def test_sentencepiece_of_messy_rows(messy, empty):
     assert empty.select(out.alias("o")).count() == 0
 
 
-def test_chunks_equal_the_whole_tokenizer():
-    e, whole = ByteEncoder(BYTES), tokenizers.Tokenizer.from_file(BYTES)
-    whole.encode_special_tokens = True
-    for some in (ODD, texts()):
-        assert [np.frombuffer(b, e.dtype).tolist() for b in e.encode(some)] == [whole.encode(t, add_special_tokens=False).ids for t in some]
+#: Neighbours of every class of bytes: white space of all kinds, marks that compose, special tokens, contractions.
+UNITS = ["x <|ENDOFTEXT|> <|StartOfText|> <|startoftext|>a", "<|endoftext|>", "a<|endoftext|>\n\n <|endoftext|> b", "a<|b <| |> c|", "İ! İs ÉÀ é! Ω Σς ΑΣ. 12½ Ⅷ²",
+         "a\u00a0b \u3000c \u2003 ", "a b\u200bc\x0bd \x0b e\x1cf", "×÷ a×b", None]
+UNITS += ["".join(random.choice(letters) for _ in range(random.randint(0, 60)))
+          for letters in ("ab \n\u00a0▁é日!1.,'sTÀ\u0301 |<ǅ×", "ab \n\t\r!1.,'sTÉ×", "a \u3000.\u2028\x85\v") for _ in range(1500)]
+
+
+@pytest.mark.parametrize("name, spaced, plain", [("byte_bpe_50k.json", True, False), ("byte_bpe_50k.json", True, True), ("word_bpe_49k.json", False, False)])
+def test_units_equal_the_whole_tokenizer(name, spaced, plain):
+    path = public_tokenizers.path(name)
+    e, whole = UnitEncoder(path, spaced, encode_special_tokens=plain), tokenizers.Tokenizer.from_file(path)
+    whole.encode_special_tokens = plain
+    some = ODD + UNITS + texts()
+    for k in range(0, len(some), 50):
+        ids, n = e.encode(pa.array(some[k:k + 50], pa.string()))
+        got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in some[k:k + 50]]
 
 
 def test_sequences_read_back(spark, messy):
     whole = tokenizers.Tokenizer.from_file(BYTES)
-    whole.encode_special_tokens = True
+    special = spark.createDataFrame([(50, "x <|endoftext|> y"), (51, "<|endoftext|>")], "doc_id long, text string")
+    messy = messy.unionByName(special, allowMissingColumns=True)
     docs = messy.repartition(3)
     manifest = write_sequences(docs, BYTES, end_id=2, length=64, rows_per_batch=4)
     got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in read_documents(manifest, max_rows=5).collect()))
