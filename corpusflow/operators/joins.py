@@ -1,8 +1,8 @@
 """Lookups and matching loops expressed as joins.
 
-Theta joins on substrings are rewritten as equi-joins: every substring of the
-probe side is generated (or the numeric token is parsed), so Spark can use a
-hash or sort-merge join instead of a nested loop or a cross product.
+Theta joins on substrings are rewritten as equi-joins: an index of character
+grams is probed (or the numeric token is parsed), so Spark can use a hash or
+sort-merge join instead of a nested loop or a cross product.
 """
 
 from __future__ import annotations
@@ -10,24 +10,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.operators.ranks import bounded_broadcast
+from corpusflow.session import checkpoint_dir
 
-def substrings(s: Column, lengths: list[int] | None = None) -> Column:
-    """Non-empty substrings of ``s`` as an array: all ``L*(L+1)/2`` of them,
-    or only those whose length is in ``lengths``."""
-    n = F.length(s)
-    if lengths is None:
-        return F.when(n > 0, F.flatten(F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(s, i, j - i + 1)))))
-    ls = F.array(*[F.lit(int(x)) for x in sorted(set(lengths)) if x > 0])
-    ok = F.filter(ls, lambda k: k <= n)
-    return F.flatten(F.transform(ok, lambda k: F.transform(
-        F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(s, i, k))))
 
+def characters(s: Column) -> Column:
+    """The code points of a string."""
+    return F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
 
-def _lengths(df: DataFrame, col: str) -> list[int]:
-    """Distinct string lengths of a column (at most the longest length)."""
-    return [r[0] for r in df.select(F.length(col).alias("n")).distinct().collect() if r[0] is not None]
+
+def qgrams(chars: Column, q: int) -> Column:
+    """Distinct runs of ``q`` of the characters (none where there are fewer)."""
+    n = F.size(chars)
+    # characters are reached by place, so the grams of a long name cost their number
+    grams = F.transform(F.sequence(F.lit(0), n - q), lambda i: F.concat(*[F.get(chars, i + k) for k in range(q)]))
+    return F.array_distinct(F.when(n >= q, grams).otherwise(F.array().cast("array<string>")))
+
+
+def _materialised(df: DataFrame) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def substring_pairs(texts: DataFrame, patterns: DataFrame, q: int = 3) -> DataFrame:
+    """Pairs ``(tid, pid)`` such that the text (``tid``, ``t``) contains the pattern (``pid``, ``p``, not empty).
+
+    An inverted index names the texts of every gram that some pattern has.  A pattern asks it for its rarest gram
+    only (its ``q`` characters that the fewest texts have, or itself where it is shorter), and what that returns is
+    verified.  The index holds ids; strings meet at the end, for the candidates.
+    """
+    chars = patterns.select("pid", "p", characters(F.col("p")).alias("_c"))
+    grams = F.when(F.size("_c") < q, F.array("p")).otherwise(qgrams(F.col("_c"), q))
+    asked = _materialised(chars.select("pid", F.explode(grams).alias("g")))
+    needed = bounded_broadcast(asked.select("g").distinct())
+    of_text = texts.select("tid", characters(F.col("t")).alias("_c"))
+    # shorter grams serve patterns that are shorter themselves
+    every = F.flatten(F.array(*[qgrams(F.col("_c"), k) for k in range(1, q + 1)]))
+    index = _materialised(of_text.select("tid", F.explode(every).alias("g")).join(needed, "g", "left_semi"))
+    spread = index.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    # a pattern with a gram that no text has drops out: its rarest gram is in no text
+    rarest = asked.join(spread, "g", "left").groupBy("pid").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("g"))
+    candidates = rarest.join(index, "g").select("tid", "pid")
+    met = candidates.join(patterns.select("pid", "p"), "pid").join(texts.select("tid", "t"), "tid")
+    return met.where(F.contains("t", "p")).select("tid", "pid")
 
 
 def strip_affixes(c: Column, prefixes: list[str], suffixes: list[str]) -> Column:
@@ -48,28 +73,28 @@ def remove_substrings(c: Column, parts: list[str]) -> Column:
 
 
 def contains_first_match(a: DataFrame, a_col: str, b: DataFrame, b_col: str, pos: str,
-                         out: str = "match") -> DataFrame:
-    """For each ``a`` value, the ``b`` value with the smallest ``pos`` such that
-    ``a`` contains ``b`` or ``b`` contains ``a`` (J3); no match -> null.
-
-    Both directions become equi-joins on generated substrings: ``b in a`` joins
-    b's value to the substrings of a (of the lengths b values have); ``a in b``
-    joins a's value to the substrings of b.  ``min_by`` picks the first match
-    as a partial aggregate.
+                         out: str = "match", q: int = 3) -> DataFrame:
+    """For each ``a`` value, the ``b`` value with the smallest ``pos`` (ties: the smaller value) such that
+    ``a`` contains ``b`` or ``b`` contains ``a`` (J3); no match or a null value -> null.
+
+    Both directions are index joins (``substring_pairs``), so neither side is paired with all of the other and
+    names may be long.  The empty string is part of every other.  ``min_by`` picks the first match as a partial
+    aggregate.
     """
-    av = a.select(F.col(a_col).alias("_a")).distinct()
-    bv = b.select(F.col(b_col).alias("_bv"), F.col(pos).alias("_pos"))
-    # only substring lengths that exist on the other side can match: the
-    # distinct-length lists are bounded by the longest string
-    la, lb = _lengths(av, "_a"), _lengths(bv, "_bv")
-    a_subs = (av.select("_a", F.explode_outer(substrings(F.col("_a"), lb)).alias("_s"))
-                .where(F.col("_s").isNotNull()).distinct())
-    b_subs = (bv.select("_bv", "_pos", F.explode_outer(substrings(F.col("_bv"), la)).alias("_s"))
-                .where(F.col("_s").isNotNull()).distinct())
-    m1 = a_subs.join(bv, a_subs["_s"] == bv["_bv"]).select("_a", "_bv", "_pos")          # b in a
-    m2 = av.join(b_subs, av["_a"] == b_subs["_s"]).select("_a", "_bv", "_pos")          # a in b
-    best = m1.unionByName(m2).groupBy("_a").agg(F.min_by("_bv", F.struct("_pos", "_bv")).alias(out))
-    return av.join(best, "_a", "left").withColumnRenamed("_a", a_col)
+    av = _materialised(a.select(F.col(a_col).alias("_a")).distinct().withColumn("_ai", F.monotonically_increasing_id()))
+    bv = b.where(F.col(b_col).isNotNull()).groupBy(F.col(b_col).alias("_bv")).agg(F.min(pos).alias("_pos"))
+    bv = _materialised(bv.withColumn("_bi", F.monotonically_increasing_id()))
+    am, bm = av.where(F.length("_a") > 0), bv.where(F.length("_bv") > 0)
+    b_in_a = substring_pairs(am.select(F.col("_ai").alias("tid"), F.col("_a").alias("t")), bm.select(F.col("_bi").alias("pid"), F.col("_bv").alias("p")), q)
+    a_in_b = substring_pairs(bm.select(F.col("_bi").alias("tid"), F.col("_bv").alias("t")), am.select(F.col("_ai").alias("pid"), F.col("_a").alias("p")), q)
+    pairs = b_in_a.select(F.col("tid").alias("_ai"), F.col("pid").alias("_bi")).unionByName(a_in_b.select(F.col("pid").alias("_ai"), F.col("tid").alias("_bi")))
+    rank = F.struct(F.col("_pos"), F.col("_bv").alias("_v"))
+    best = pairs.join(bv, "_bi").groupBy("_ai").agg(F.min(rank).alias("_found"))
+    # one row: the first of all values (for an empty a) and the empty one, if there is one (for every a)
+    first = bv.agg(F.min(rank).alias("_any"), F.min(F.when(F.length("_bv") == 0, rank)).alias("_blank"))
+    j = av.join(best, "_ai", "left").crossJoin(F.broadcast(first))
+    found = F.when(F.col("_a") == "", F.col("_any")).when(F.col("_a").isNotNull(), F.least("_found", "_blank"))
+    return j.select(F.col("_a").alias(a_col), found["_v"].alias(out))
 
 
 def layer_token_join(modules: DataFrame, name: str, groups: DataFrame, layer: str, pos: str,

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.operators.curriculum import as_double_array, dot, probe_logits, softmax
+from corpusflow.operators.ranks import bounded_broadcast
 from corpusflow.operators.sampling import sample_exact
 
 
@@ -128,3 +129,67 @@ def classify_vectors(mean: Column, std: Column) -> Column:
 def majority_verdict(n_random: Column, n_warm: Column, n: Column) -> Column:
     """Majority at > 50 %: random, warm, else mixed."""
     return F.when(n_random > 0.5 * n, "random").when(n_warm > 0.5 * n, "warm").otherwise("mixed")
+
+
+def seeded_rows(group, r: int, k: int, seed, mode: str = "kaiming") -> np.ndarray:
+    """A group's own ``r x k`` basis (N5) from md5 draws, so that any engine gets the same numbers.
+
+    Cell (i, j) is drawn from ``md5(seed|group|i|j)``: uniform in ``[-1/sqrt(k), 1/sqrt(k)]`` (``kaiming``) or
+    N(0, 1) * 0.01 by the inverse of two such draws (``normal``, Box-Muller)."""
+    import hashlib
+
+    def draw(*key) -> float:
+        return int(hashlib.md5("|".join(map(str, (seed, group, *key))).encode()).hexdigest()[:8], 16) / 4294967296.0
+
+    if mode == "kaiming":
+        return np.array([[(2 * draw(i, j) - 1) / np.sqrt(k) for j in range(k)] for i in range(r)]).reshape(r, k)
+    if mode == "normal":
+        return np.array([[0.01 * np.sqrt(-2 * np.log(draw(i, j, "r") + 2.0 ** -33)) * np.cos(2 * np.pi * draw(i, j, "a"))
+                          for j in range(k)] for i in range(r)]).reshape(r, k)
+    raise ValueError(f"unknown init mode {mode!r}")
+
+
+def solve_gram(A: np.ndarray, eps: float) -> np.ndarray:
+    """``(A A^T + eps I)^-1 A``: the Gram matrix is symmetric and positive definite, so by its Cholesky factor."""
+    L = np.linalg.cholesky(A @ A.T + eps * np.eye(len(A)))
+    return np.linalg.solve(L.T, np.linalg.solve(L, A))
+
+
+def group_bases(ranks: DataFrame, group: str, rank: str, width: int, *, seed=42, mode: str = "kaiming", eps: float = 1e-6) -> DataFrame:
+    """One row per group: ``A`` (``min(rank, width) x width``) and ``P`` (as many rows, ``G P^T = G A^T (A A^T + eps I)^-1``).
+
+    ``ranks`` has one row per group, as an allocation gives them; ranks may differ between groups.  Groups are
+    solved in parallel, each in the task that holds its row.  Groups without a rank, or with rank 0, have no row.
+    """
+    kind = ranks.schema[group].dataType.simpleString()
+
+    def solve(frames):
+        for f in frames:
+            A = [seeded_rows(g, min(int(r), width), width, seed, mode) for g, r in zip(f["g"], f["r"])]
+            f = f[["g"]].assign(A=[a.tolist() for a in A], P=[solve_gram(a, eps).tolist() for a in A])
+            yield f
+
+    some = ranks.where(F.col(rank) > 0).select(F.col(group).alias("g"), F.col(rank).cast("int").alias("r"))
+    return some.mapInPandas(solve, f"g {kind}, A array<array<double>>, P array<array<double>>").withColumnRenamed("g", group)
+
+
+def project_groups(df: DataFrame, group: str, vec: str, bases: DataFrame, out: str = "B") -> DataFrame:
+    """N5 for groups of different rank: ``B_i = -G_i A^T (A A^T + eps I)^-1`` with the basis of row i's group.
+
+    The bases (groups x rank x width numbers) are written once and broadcast only below a checked size; beyond it
+    they meet the rows by a join on the group.  Rows of groups without a basis are left out.
+    """
+    small = bounded_broadcast(bases)
+    g = as_double_array(F.col(vec))
+    return df.join(small, group).withColumn(out, F.transform("P", lambda p: -dot(g, p))).drop("P")
+
+
+def group_approx_error(projected: DataFrame, group: str, vec: str, B: str = "B") -> DataFrame:
+    """N6 per group: ``||B A + G||_F / ||G||_F`` over the rows that ``project_groups`` gives, with their ``A``."""
+    g = as_double_array(F.col(vec))
+    zero = F.transform(g, lambda x: F.lit(0.0))
+    recon = F.aggregate(F.zip_with(B, "A", lambda b, a: F.transform(a, lambda x: b * x)), zero,
+                        lambda acc, row: F.zip_with(acc, row, lambda x, y: x + y))
+    parts = projected.select(group, F.size(B).alias("r"), F.zip_with(recon, g, lambda x, y: x + y).alias("_d"), g.alias("_g"))
+    return parts.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.max("r").alias("rank"),
+                                    F.try_divide(F.sqrt(F.sum(dot(F.col("_d"), F.col("_d")))), F.sqrt(F.sum(dot(F.col("_g"), F.col("_g"))))).alias("rel_error"))

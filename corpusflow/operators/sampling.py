@@ -147,6 +147,23 @@ def bootstrap(df: DataFrame, frac: float, seed: int, key: str, out: str = "repli
               .withColumn(out, F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k"))
 
 
+def sample_with_replacement(df: DataFrame, n: int, seed: int, key: str, out: str = "times") -> DataFrame:
+    """Exactly ``n`` draws with replacement (A7): the rows drawn, each with how often.
+
+    Draw d hits the row at position ``floor(u_d * N)`` of the seeded order, where u_d has 52 bits of
+    ``md5(seed|draw|d)``, so neither the number of draws nor the rows depend on partitioning.  Positions are exact
+    ranks over hash buckets (``class_rank``): the draws fall on buckets in proportion to their rows, a multinomial
+    split of ``n``, and on the rows inside one alike.  Draws are counted per position before they meet the rows.
+    A table without rows gives none.
+    """
+    total = df.count()
+    u = F.conv(F.substring(hash_order(seed, F.lit("draw"), "id"), 1, 13), 16, 10).cast("bigint") / F.lit(2.0 ** 52)
+    at = F.least(F.floor(u * F.lit(float(total))).cast("bigint"), F.lit(total - 1)) + 1
+    draws = df.sparkSession.range(n).select(at.alias("_at")).groupBy("_at").agg(F.count(F.lit(1)).alias(out))
+    ranked = class_rank(df, [], hash_order(seed, key), key, out="_at")
+    return ranked.join(draws, "_at").drop("_at")
+
+
 def few_shot_curve(df: DataFrame, shots: list[int], label: str, seed: int, key: str,
                    out_n: str = "n_shots") -> DataFrame:
     """Nested few-shot sets for every n in ``shots`` (A8): rank once, join the shot list."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators import curriculum as C
 from corpusflow.operators import metrics as M
+from corpusflow.operators import probe as P
 from corpusflow.plans.registry import query
 from corpusflow.sources.tables import Tables
 
@@ -46,14 +47,58 @@ def centroid_probe(spark, d):
     return p.select("vec_id", "label", "pred", F.round(F.array_max("logits"), 6).alias("logit_max"))
 
 
-@query("trained_probe")
+PROBE_STEPS, PROBE_RATE, PROBE_L2 = 6, 0.5, 0.01
+
+# the same steps as a recursion over the weight matrix: one aggregate over all rows a step
+TRAIN_SQL = f"""
+WITH RECURSIVE cl AS (SELECT list(k ORDER BY k) AS ks FROM (SELECT DISTINCT label AS k FROM embeddings)),
+x AS (SELECT vec_id, label, list_position(ks, label) AS y,
+             list_concat(list_transform(embedding, lambda v: v::DOUBLE), [1.0::DOUBLE]) AS x FROM embeddings, cl),
+sz AS (SELECT COUNT(*)::DOUBLE AS n_all, MAX(len(x)) AS dim, (SELECT len(ks) FROM cl) AS n_cls FROM x),
+w AS (SELECT 0 AS step, list_transform(range(n_cls), lambda a: list_transform(range(dim), lambda b: 0.0::DOUBLE)) AS w FROM sz
+      UNION ALL
+      SELECT step + 1, list(wk ORDER BY k) FROM (
+        SELECT step, k, list(v ORDER BY j) AS wk FROM (
+          SELECT step, k, j, any_value(w[k][j]) * (1 - {PROBE_RATE} * {PROBE_L2})
+                 - {PROBE_RATE} * SUM((p[k] - CASE WHEN y = k THEN 1 ELSE 0 END) * x[j]) / any_value(n_all) AS v
+          FROM (SELECT step, w, y, x, list_transform(e, lambda v: v / list_sum(e)) AS p FROM (
+                  SELECT step, w, y, x, list_transform(l, lambda v: exp(v - list_max(l))) AS e FROM (
+                    SELECT step, w, y, x, list_transform(w, lambda r: list_dot_product(r, x)) AS l
+                    FROM w, x WHERE step < {PROBE_STEPS}))) q, sz, range(1, sz.n_cls + 1) t(k), range(1, sz.dim + 1) u(j)
+          GROUP BY step, k, j) GROUP BY step, k) GROUP BY step),
+sc AS (SELECT step, vec_id, label, y, list_transform(l, lambda v: exp(v - list_max(l))) AS e FROM (
+         SELECT step, vec_id, label, y, list_transform(w, lambda r: list_dot_product(r, x)) AS l FROM w, x)),
+pr AS (SELECT step, vec_id, label, y, list_transform(e, lambda v: v / list_sum(e)) AS p FROM sc)"""
+
+
+def _trained(spark, d):
+    e = Tables(spark, d).embeddings
+    return e, P.train_probe(e, "label", "embedding", steps=PROBE_STEPS, rate=PROBE_RATE, l2=PROBE_L2)
+
+
+@query("trained_probe", TRAIN_SQL + f"""
+SELECT vec_id, label, ks[list_position(p, list_max(p))] AS pred, ROUND(list_max(p), 6) AS p_max FROM pr, cl WHERE step = {PROBE_STEPS}""")
 def trained_probe(spark, d):
-    """Logistic regression on the frozen features (C1, trained); rows-only check."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-    e = Tables(spark, d).embeddings.select("vec_id", "label", array_to_vector(C.as_double_array(F.col("embedding"))).alias("features"))
-    model = LogisticRegression(maxIter=5, featuresCol="features", labelCol="label").fit(e)
-    return model.transform(e).select("vec_id", "label", F.col("prediction").cast("int").alias("pred"))
+    """Predictions of a linear probe after a fixed number of full-batch steps on the frozen features (C1, trained)."""
+    e, history = _trained(spark, d)
+    p = P.apply_probe(e, "embedding", history, PROBE_STEPS)
+    return p.select("vec_id", "label", F.element_at("classes", C.argmax(F.col("probs")) + 1).alias("pred"),
+                    F.round(F.array_max("probs"), 6).alias("p_max"))
+
+
+@query("probe_training", TRAIN_SQL + f""",
+sq AS (SELECT step, list_sum(list_transform(w, lambda r: list_dot_product(r, r))) AS w2 FROM w)
+SELECT step, COUNT(*) AS n_rows, ROUND(AVG(-ln(p[y])) + any_value(w2) * {PROBE_L2 / 2}, 6) AS loss,
+       ROUND(AVG(CASE WHEN list_position(p, list_max(p)) = y THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM pr JOIN sq USING (step) GROUP BY step""")
+def probe_training(spark, d):
+    """Loss and accuracy at every step of the training, the accuracy from scoring all rows with that step's weights."""
+    e, history = _trained(spark, d)
+    every = history.select("step", "classes", "W")  # a row a step
+    x = F.concat(C.as_double_array(F.col("embedding")), F.array(F.lit(1.0)))
+    s = e.crossJoin(F.broadcast(every)).select("step", (F.element_at("classes", C.argmax(F.transform("W", lambda w: C.dot(x, w))) + 1) == F.col("label")).alias("hit"))
+    acc = s.groupBy("step").agg(F.avg(F.col("hit").cast("double")).alias("accuracy"))
+    return history.join(acc, "step").select("step", "n_rows", F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"))
 
 
 @query("probe_entropy", f"WITH {PROBE_SQL} SELECT vec_id, ROUND(h, 6) AS entropy FROM en")

@@ -100,6 +100,51 @@ def approx_error(spark, d):
     return N.approx_error(p, "embedding", "B", A).select(F.round("rel_error", 6).alias("rel_error"))
 
 
+# Every label is a group with its own dense basis: even labels of rank 2, odd ones of rank 5.  The oracle
+# inverts the Gram matrices by Gauss-Jordan steps, one pivot a recursion.
+GROUP_SQL = f"""
+WITH RECURSIVE sz AS (SELECT MAX(len(embedding)) AS dim FROM embeddings),
+gr AS (SELECT DISTINCT label, 2 + 3 * (label % 2) AS r FROM embeddings),
+cell AS (SELECT label, r, i, j, (2 * (('0x' || substr(md5('{SEED}|' || label || '|' || i || '|' || j), 1, 8))::BIGINT / 4294967296.0) - 1) / sqrt(dim) AS a
+         FROM gr, sz, range(0, r) t(i), range(0, dim) u(j)),
+arow AS (SELECT label, r, i, list(a ORDER BY j) AS a FROM cell GROUP BY label, r, i),
+amat AS (SELECT label, r, list(a ORDER BY i) AS a FROM arow GROUP BY label, r),
+gj AS (SELECT label, r, a, 0 AS step, list_transform(range(1, r + 1), lambda x: list_concat(
+           list_transform(range(1, r + 1), lambda y: list_dot_product(a[x], a[y]) + CASE WHEN x = y THEN {EPS} ELSE 0 END),
+           list_transform(range(1, r + 1), lambda y: CASE WHEN x = y THEN 1.0::DOUBLE ELSE 0 END))) AS m FROM amat
+       UNION ALL
+       SELECT label, r, a, step + 1, list_transform(range(1, r + 1), lambda x: list_transform(range(1, 2 * r + 1), lambda y:
+           CASE WHEN x = step + 1 THEN m[step + 1][y] / m[step + 1][step + 1]
+                ELSE m[x][y] - m[x][step + 1] * m[step + 1][y] / m[step + 1][step + 1] END)) FROM gj WHERE step < r),
+inv AS (SELECT label, r, a, list_transform(m, lambda row: row[r + 1:2 * r]) AS g FROM gj WHERE step = r),
+ga AS (SELECT vec_id, e.label, r, a, g, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings e JOIN inv USING (label)),
+gv AS (SELECT *, list_transform(a, lambda row: list_dot_product(v, row)) AS va FROM ga),
+pb AS (SELECT *, list_transform(g, lambda row: -list_dot_product(row, va)) AS b FROM gv)"""
+
+
+def _projected(spark, d):
+    e = Tables(spark, d).embeddings
+    ranks = e.select("label").distinct().withColumn("rank", 2 + 3 * (F.col("label") % 2))
+    width = e.select(F.max(F.size("embedding")).alias("w")).first()["w"]
+    return N.project_groups(e, "label", "embedding", N.group_bases(ranks, "label", "rank", width, seed=SEED, eps=EPS))
+
+
+@query("group_projection", GROUP_SQL + """
+SELECT vec_id, label, CAST(c AS INTEGER) AS c, ROUND(b[c + 1], 6) AS b FROM pb, range(0, r) t(c)""")
+def group_projection(spark, d):
+    p = _projected(spark, d)
+    return p.select("vec_id", "label", F.posexplode("B").alias("c", "b")).select("vec_id", "label", "c", F.round("b", 6).alias("b"))
+
+
+@query("group_projection_error", GROUP_SQL + """
+SELECT label, COUNT(*) AS n_rows, CAST(MAX(r) AS INTEGER) AS rank,
+       ROUND(sqrt(SUM(list_sum(list_transform(range(1, len(v) + 1), lambda j: pow(v[j] + list_sum(list_transform(range(1, r + 1), lambda c: b[c] * a[c][j])), 2)))))
+             / sqrt(SUM(list_dot_product(v, v))), 6) AS rel_error FROM pb GROUP BY label""")
+def group_projection_error(spark, d):
+    e = N.group_approx_error(_projected(spark, d), "label", "embedding")
+    return e.select("label", "n_rows", "rank", F.round("rel_error", 6).alias("rel_error"))
+
+
 @query("vector_state", """
 WITH s AS (SELECT vec_id, label, AVG(x) AS m, STDDEV_SAMP(x) AS sd FROM (
              SELECT vec_id, label, CAST(UNNEST(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY vec_id, label),

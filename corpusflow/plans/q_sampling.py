@@ -169,3 +169,15 @@ SELECT doc_id, replica FROM (
 def bootstrap_split(spark, d):
     df = Tables(spark, d).documents.select("doc_id")
     return S.bootstrap(df, 0.2, SEED, "doc_id").select("doc_id", F.col("replica").cast("bigint").alias("replica"))
+
+
+@query("bootstrap_exact", f"""
+WITH n AS (SELECT COUNT(*) AS n_all FROM documents),
+r AS (SELECT doc_id, ROW_NUMBER() OVER (ORDER BY md5('{SEED}|' || CAST(doc_id AS VARCHAR)), doc_id) AS pos FROM documents),
+d AS (SELECT 1 + CAST(FLOOR(('0x' || substr(md5('{SEED}|draw|' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * n_all::DOUBLE) AS BIGINT) AS pos
+      FROM n, range(0, n_all // 5) t(i))
+SELECT doc_id, COUNT(*) AS times FROM d JOIN r USING (pos) GROUP BY doc_id""")
+def bootstrap_exact(spark, d):
+    """A fifth of the documents, drawn with replacement: the draws add up to that number exactly."""
+    df = Tables(spark, d).documents.select("doc_id")
+    return S.sample_with_replacement(df, df.count() // 5, SEED, "doc_id").select("doc_id", "times")
