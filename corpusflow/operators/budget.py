@@ -12,12 +12,14 @@ A fixed budget is spread over groups in proportion to importance:
    position), never above ``max``, while the cost stays within 103 %.
 
 Steps 3-4 are greedy loops in the description.  Here they are closed forms:
-the number of steps ``k`` follows from the totals, and *which* units move is
-the first ``k`` of the group-level table of unit levels ordered by
-``(level desc, pos)`` (removal) or ``(level asc, pos)`` (addition).  That
-table has at most ``groups x max`` rows per scenario, so its windows are
-bounded by the allocation, not by the data.  ``scenario`` columns let many
-budgets run in one job (B12).
+the number of steps ``k`` follows from the totals, and *which* units move are
+the first ``k`` unit levels in the order ``(level desc, pos)`` (removal) or
+``(level asc, pos)`` (addition).  A histogram of units (at most ``max + 1`` rows
+a scenario, however many groups) says how many groups have each level, so a sum
+over levels finds the level where the ``k`` moves end; all levels before it move
+as a whole, and only the groups at that level are ranked by position
+(``segmented_scan``).  ``scenario`` columns let many budgets run in one job
+(B12).
 """
 
 from __future__ import annotations
@@ -25,9 +27,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.operators.ranks import segmented_scan
+from corpusflow.session import checkpoint_dir
 
-def _w(scn) -> Window:
-    return Window.partitionBy(*scn) if scn else Window.partitionBy()
+
+def _per_scenario(df: DataFrame, scn, *aggs: Column) -> DataFrame:
+    return df.groupBy(*scn).agg(*aggs) if scn else df.agg(*aggs)
+
+
+def _beside(df: DataFrame, small: DataFrame, scn) -> DataFrame:
+    """``df`` with the columns of a table of one row a scenario (as many as there are budgets)."""
+    return df.join(F.broadcast(small), list(scn)) if scn else df.crossJoin(F.broadcast(small))
 
 
 def _lit(x) -> Column:
@@ -36,11 +46,11 @@ def _lit(x) -> Column:
 
 def normalize_importance(g: DataFrame, score: str = "score", scenario=(), out: str = "norm") -> DataFrame:
     """B1: scores -> [0.25, 4.0] with log amplification; all equal -> 1.0."""
-    w = _w(scenario)
-    mn, mx = F.min(score).over(w), F.max(score).over(w)
-    n = F.try_divide(F.col(score) - mn, mx - mn)
+    ends = _per_scenario(g, list(scenario), F.min(score).alias("_mn"), F.max(score).alias("_mx"))
+    n = F.try_divide(F.col(score) - F.col("_mn"), F.col("_mx") - F.col("_mn"))
     n = F.log1p(n * 10) / F.log1p(F.lit(10.0))
-    return g.withColumn(out, F.when(mx == mn, F.lit(1.0)).otherwise(F.lit(0.25) + 3.75 * n))
+    norm = F.when(F.col("_mx") == F.col("_mn"), F.lit(1.0)).otherwise(F.lit(0.25) + 3.75 * n)
+    return _beside(g, ends, scenario).withColumn(out, norm).drop("_mn", "_mx")
 
 
 def initial_units(g: DataFrame, base: int, min_units: int, max_units: int,
@@ -63,46 +73,58 @@ def _largest_steps(start: Column, step: Column, sign: int, bound: Column) -> Col
     return F.when(ok(est + 1), est + 1).when(ok(est), est).otherwise(est - 1)
 
 
+def _move_units(g: DataFrame, units: str, moves: DataFrame, pos: str, scn: list[str], sign: int, end: int) -> DataFrame:
+    """The first ``_moves`` unit levels move: down from the highest (``sign`` -1, ``end`` the least units) or up
+    from the lowest (+1, ``end`` the most).  ``moves`` has one row a scenario."""
+    level = F.explode(F.sequence(F.lit(end + 1), F.col(units)) if sign < 0 else F.sequence(F.col(units) + 1, F.lit(end)))
+    some = F.col(units) > end if sign < 0 else F.col(units) < end
+    by_units = g.where(some).groupBy(*scn, units).agg(F.count(F.lit(1)).alias("_n"))
+    levels = by_units.select(*scn, "_n", level.alias("_lv")).groupBy(*scn, "_lv").agg(F.sum("_n").alias("_n"))
+    order = Window.partitionBy(*(scn or [F.lit(0)])).orderBy(F.col("_lv").desc() if sign < 0 else F.col("_lv").asc())
+    levels = levels.withColumn("_before", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    levels = _beside(levels, moves.select(*scn, "_moves"), scn).where(F.col("_before") < F.col("_moves"))
+    whole = F.col("_before") + F.col("_n") <= F.col("_moves")
+    last = F.min if sign < 0 else F.max
+    found = _per_scenario(levels, scn, last(F.when(whole, F.col("_lv"))).alias("_whole"), F.max(F.when(~whole, F.col("_lv"))).alias("_part"),
+                          F.max(F.when(~whole, F.col("_moves") - F.col("_before"))).alias("_first"))
+    # one row a scenario; scenarios without a move have none
+    found = found.checkpoint(eager=True)
+    g = g.join(F.broadcast(found), scn, "left") if scn else g.crossJoin(F.broadcast(found))
+    moved = F.least(F.col(units), F.col("_whole") - 1) if sign < 0 else F.greatest(F.col(units), F.col("_whole"))
+    g = g.withColumn("_u1", F.coalesce(moved, F.col(units)))
+    if found.where(F.col("_part").isNotNull()).isEmpty():
+        return g.withColumn(units, F.col("_u1").cast("int")).drop("_u1", "_whole", "_part", "_first")
+    at_level = F.col(units) >= F.col("_part") if sign < 0 else F.col(units) < F.col("_part")
+    ties = segmented_scan(g.where(at_level).select(*scn, pos, "_first"), scn, [pos], rank_out="_rk")
+    ties = ties.where(F.col("_rk") <= F.col("_first")).select(*scn, pos, F.lit(True).alias("_hit"))
+    g = g.join(ties, [*scn, pos], "left")
+    to = F.col("_part") - 1 if sign < 0 else F.col("_part")
+    return g.withColumn(units, F.when(F.col("_hit"), to).otherwise(F.col("_u1")).cast("int")).drop("_u1", "_whole", "_part", "_first", "_hit")
+
+
 def enforce_budget(g: DataFrame, budget, unit_cost, min_units: int, max_units: int,
                    units: str = "units_initial", pos: str = "pos", scenario=(),
                    out: str = "units") -> DataFrame:
-    """B3 + B4: reduce to, then raise to, the budget; exact greedy result."""
+    """B3 + B4: reduce to, then raise to, the budget; exact greedy result.
+
+    ``pos`` is unique within a scenario; ``budget`` and ``unit_cost`` are numbers or columns that are constant in one.
+    """
+    checkpoint_dir(g.sparkSession)
     scn = list(scenario)
-    w = _w(scn)
-    B = _lit(budget).cast("double")
-    u = _lit(unit_cost).cast("double")
-    g = (g.withColumn("_B", B).withColumn("_u", u)
-          .withColumn("_t", F.sum(units).over(w) * F.col("_u"))
-          .withColumn("_slack", F.sum(F.col(units) - min_units).over(w)))
-    k1 = F.ceil((F.col("_t") - F.col("_B")) / F.col("_u"))
-    k2 = _largest_steps(F.col("_t"), F.col("_u"), -1, F.col("_B") * 0.97)
-    k = F.when(F.col("_t") > F.col("_B"),
-               F.greatest(F.lit(0), F.least(k1, k2, F.col("_slack")))).otherwise(F.lit(0))
-    g = g.withColumn("_k", k.cast("bigint"))
-
-    # removal: levels min+1..r, first k by (level desc, pos)
-    lv = (g.where(F.col(units) > min_units)
-           .select(*scn, pos, "_k", F.explode(F.sequence(F.lit(min_units + 1), F.col(units))).alias("_lv")))
-    rw = Window.partitionBy(*scn).orderBy(F.col("_lv").desc(), F.col(pos).asc()) if scn else \
-        Window.orderBy(F.col("_lv").desc(), F.col(pos).asc())
-    rem = (lv.withColumn("_rn", F.row_number().over(rw)).where(F.col("_rn") <= F.col("_k"))
-             .groupBy(*scn, pos).agg(F.count(F.lit(1)).alias("_rm")))
-    g = g.join(rem, [*scn, pos], "left").withColumn("_r1", (F.col(units) - F.coalesce("_rm", F.lit(0))).cast("int"))
-
-    # addition: levels r'+1..max, first j by (level asc, pos)
-    g = (g.withColumn("_t1", F.sum("_r1").over(w) * F.col("_u"))
-          .withColumn("_room", F.sum(max_units - F.col("_r1")).over(w)))
-    j = F.greatest(F.lit(0), F.least(_largest_steps(F.col("_t1"), F.col("_u"), 1, F.col("_B") * 1.03),
-                                     F.col("_room")))
-    g = g.withColumn("_j", j.cast("bigint"))
-    la = (g.where(F.col("_r1") < max_units)
-           .select(*scn, pos, "_j", F.explode(F.sequence(F.col("_r1") + 1, F.lit(max_units))).alias("_lv")))
-    aw = Window.partitionBy(*scn).orderBy(F.col("_lv").asc(), F.col(pos).asc()) if scn else \
-        Window.orderBy(F.col("_lv").asc(), F.col(pos).asc())
-    add = (la.withColumn("_rn", F.row_number().over(aw)).where(F.col("_rn") <= F.col("_j"))
-             .groupBy(*scn, pos).agg(F.count(F.lit(1)).alias("_ad")))
-    g = g.join(add, [*scn, pos], "left").withColumn(out, (F.col("_r1") + F.coalesce("_ad", F.lit(0))).cast("int"))
-    return g.drop("_B", "_u", "_t", "_slack", "_k", "_rm", "_r1", "_t1", "_room", "_j", "_ad")
+    facts = [F.max(_lit(budget).cast("double")).alias("_B"), F.max(_lit(unit_cost).cast("double")).alias("_u")]
+    B, u, t = F.col("_B"), F.col("_u"), F.col("_t")
+    g = g.withColumn(out, F.col(units))
+    facts += [F.sum(out).alias("_sum"), F.count(F.lit(1)).alias("_c")]
+    down = _per_scenario(g, scn, *facts).withColumn("_t", F.col("_sum") * u)
+    k1, k2 = F.ceil((t - B) / u), _largest_steps(t, u, -1, B * 0.97)
+    slack = F.col("_sum") - F.col("_c") * min_units
+    k = F.when(t > B, F.greatest(F.lit(0), F.least(k1, k2, slack))).otherwise(F.lit(0))
+    down = down.withColumn("_moves", k.cast("bigint")).checkpoint(eager=True)
+    g = _move_units(g, out, down, pos, scn, -1, min_units)
+    # each move down took one unit, so the totals afterwards follow
+    up = down.withColumn("_sum", F.col("_sum") - F.col("_moves")).withColumn("_t", F.col("_sum") * u)
+    j = F.greatest(F.lit(0), F.least(_largest_steps(t, u, 1, B * 1.03), F.col("_c") * max_units - F.col("_sum")))
+    return _move_units(g, out, up.withColumn("_moves", j.cast("bigint")), pos, scn, 1, max_units)
 
 
 def allocate(groups: DataFrame, *, score: str, pos: str, base: int, min_units: int, max_units: int,
@@ -110,13 +132,12 @@ def allocate(groups: DataFrame, *, score: str, pos: str, base: int, min_units: i
     """``norm``, ``units_initial`` and ``units`` per group.
 
     The group table (one row per group and scenario, however large the data
-    it was aggregated from) is read by several windows and joins; it is
+    it was aggregated from) is read by several aggregates and joins; it is
     materialised once with a reliable ``checkpoint()`` so the upstream scan
     and aggregation run once, and the allocation steps work on the small copy.
     """
-    from corpusflow.session import checkpoint_dir
     checkpoint_dir(groups.sparkSession)
-    g = normalize_importance(groups, score, scenario)
+    g = normalize_importance(groups.checkpoint(eager=True), score, scenario)
     g = initial_units(g, base, min_units, max_units).checkpoint(eager=True)
     out = enforce_budget(g, budget, unit_cost, min_units, max_units, scenario=scenario, pos=pos)
     return out.checkpoint(eager=True)

@@ -25,6 +25,10 @@ is the job.  The ranks here compute the same numbers in two passes:
   and only the straddling (sub-)bucket is ranked, so the bulk of the rows
   never reaches a shuffle.
 
+* ``segmented_scan`` (ranks, running sums and totals per group in any order):
+  range-partition by group and order, and carry what a range starts from over
+  a table of two rows a range.
+
 * ``bucketed_running`` ranks and running sums per group for an order with a
   monotone bucket (hour of a timestamp), split the same way.
 
@@ -176,6 +180,53 @@ def bucketed_running(df: DataFrame, by: list[str], order: list, bucket: Column,
     return j.drop("_bk", *keep)
 
 
+def segmented_scan(df: DataFrame, by: list[str], order: list, value: str | None = None, rank_out: str = "step",
+                   sum_out: str = "running", total_out: str | None = None, num_ranges: int | None = None) -> DataFrame:
+    """Rank, running sum of ``value`` and (``total_out``) row count of every group, ordered by ``order`` inside it.
+
+    Rows are range-partitioned by group and order together, so a group that holds a third of them, even at one
+    moment, lies in as many ranges as its rows need.  Only the first and the last group of a range can go on
+    beyond it: their partial counts and sums (two rows a range at most) give what each range starts from, and are
+    broadcast, bounded by ``num_ranges``.  Inside a range a window runs per (range, group).
+
+    ``order`` should be unique in a group: rows equal in it cannot be divided.  Null groups are a group.  The
+    range assignment is written once (see ``global_rank``), so pass only the columns you need.
+    """
+    from corpusflow.session import checkpoint_dir
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not by:
+        one = segmented_scan(df.withColumn("_one", F.lit(0)), ["_one"], order, value, rank_out, sum_out, total_out, n)
+        return one.drop("_one")
+    ranged = (df.repartitionByRange(n, *[F.col(c) for c in by], *_cols(order)).withColumn("_p", F.spark_partition_id())
+                .checkpoint(eager=True))
+    group = F.struct(*by)
+    edges = ranged.groupBy("_p").agg(F.min(group).alias("_lo"), F.max(group).alias("_hi"))
+    aggs = [F.count(F.lit(1)).alias("_n")] + ([F.sum(value).alias("_s")] if value is not None else [])
+    parts = (ranged.join(F.broadcast(edges), "_p").where(group.eqNullSafe(F.col("_lo")) | group.eqNullSafe(F.col("_hi")))
+                   .groupBy("_p", *by).agg(*aggs))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offs = parts.select("_p", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                        F.sum("_n").over(Window.partitionBy(*by)).alias("_all"),
+                        *([F.sum("_s").over(before).alias("_soff")] if value is not None else [])).checkpoint(eager=True)
+    offs = offs.select(F.col("_p").alias("_kp"), *[F.col(c).alias(f"_k_{c}") for c in by], "_off", "_all", *(["_soff"] if value is not None else []))
+    cond = F.col("_p") == F.col("_kp")
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    j = ranged.join(F.broadcast(offs), cond, "left")
+    w = Window.partitionBy("_p", *by).orderBy(*_cols(order))
+    out = [F.col(c) for c in df.columns]
+    out.append((F.coalesce("_off", F.lit(0)) + F.row_number().over(w)).cast("bigint").alias(rank_out))
+    if value is not None:
+        inside = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        # sums are null until a value comes, as they are over the whole group
+        out.append(F.when(F.col("_soff").isNull(), inside).when(inside.isNull(), F.col("_soff")).otherwise(F.col("_soff") + inside).alias(sum_out))
+    if total_out is not None:
+        out.append(F.coalesce("_all", F.count(F.lit(1)).over(Window.partitionBy("_p", *by))).cast("bigint").alias(total_out))
+    return j.select(*out)
+
+
 # broadcast a checkpointed group-level table only below this many bytes
 BROADCAST_BYTES = 64 << 20
 

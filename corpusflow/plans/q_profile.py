@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusflow.operators import profile as G
-from corpusflow.operators.ranks import bucketed_running
+from corpusflow.operators.ranks import segmented_scan
 from corpusflow.operators.schema import json_field
 from corpusflow.plans.registry import query
 from corpusflow.sources.tables import Tables
@@ -169,7 +169,7 @@ SELECT u.user_id, s.step FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN
   WHERE running >= 500 GROUP BY user_id) s ON u.user_id = s.user_id""")
 def steps_to_target(spark, d):
     e = Tables(spark, d).events.select("user_id", "event_id", "ts", "value")
-    r = bucketed_running(e, ["user_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"), value="value")
+    r = segmented_scan(e, ["user_id"], ["ts", "event_id"], value="value")
     hit = r.where(F.col("running") >= 500).groupBy("user_id").agg(F.min("step").alias("step"))
     return e.select("user_id").distinct().join(hit, "user_id", "left")
 
@@ -180,7 +180,5 @@ SELECT user_id, event_id, step, ROUND(step / CEIL(n / 8.0), 6) AS epoch FROM (
          COUNT(*) OVER (PARTITION BY user_id) AS n FROM events)""")
 def fractional_epoch(spark, d):
     e = Tables(spark, d).events.select("user_id", "event_id", "ts")
-    r = bucketed_running(e, ["user_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"))
-    n = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return (r.join(n, "user_id")
-             .select("user_id", "event_id", "step", F.round(F.col("step") / F.ceil(F.col("n") / 8.0), 6).alias("epoch")))
+    r = segmented_scan(e, ["user_id"], ["ts", "event_id"], total_out="n")
+    return r.select("user_id", "event_id", "step", F.round(F.col("step") / F.ceil(F.col("n") / 8.0), 6).alias("epoch"))
