@@ -6,10 +6,12 @@ built from the corpus: ids 0 = pad, 1 = unknown, 2.. by (count desc, term).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import n_words, words
+from corpusflow.operators.lookup import row_lookup
+from corpusflow.operators.ranks import bounded_broadcast
 
 PAD, UNK = 0, 1
 
@@ -44,23 +46,33 @@ def token_ids(df: DataFrame, key: str, text: str, vocab: DataFrame, max_length:
         key, "pos", "term", F.when(F.col("pos").isNotNull(), F.coalesce("_vid", F.lit(UNK))).alias("token_id"))
 
 
-def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int) -> DataFrame:
-    """Text -> ``input_ids``/``attention_mask`` of exactly ``max_length``.
+def encode_ragged(df: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int | None) -> DataFrame:
+    """``key``, ``ids`` of the first ``max_length`` words (all when None) and their number ``n_tokens``.
 
-    Truncate, look up, right-pad with 0; mask is 1 for real tokens.  The
-    regroup by ``key`` is partial-aggregated in the task that exploded the
-    row, so the shuffle carries one array per row (the output itself).
+    A vocabulary within the byte bound is a constant of the plan, and each row looks its own words up
+    (``row_lookup``); a larger one is joined to the exploded words, and the regroup by ``key`` is
+    partial-aggregated in the task that exploded the row.
     """
+    look_up = row_lookup(vocab, "term", "id")
+    if look_up is not None:
+        w = words(F.col(text)) if max_length is None else F.slice(words(F.col(text)), 1, max_length)
+        ids = F.transform(F.coalesce(w, F.array().cast("array<string>")), lambda t: F.coalesce(look_up(t), F.lit(UNK)))
+        return df.select(key, ids.alias("ids")).select(key, "ids", F.size("ids").alias("n_tokens"))
     ids = token_ids(df, key, text, vocab, max_length)
     tok = F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id"))
     g = ids.groupBy(key).agg(F.array_sort(F.collect_list(tok)).alias("_s"))
-    base = g.select(key, F.transform("_s", lambda s: s["token_id"]).alias("_ids"))
-    n = F.size("_ids")
-    pad = F.array_repeat(F.lit(PAD), F.lit(max_length) - n)
-    return base.select(key,
-                       F.concat("_ids", pad).alias("input_ids"),
-                       F.concat(F.array_repeat(F.lit(1), n), pad).alias("attention_mask"),
-                       n.alias("n_tokens"))
+    return g.select(key, F.transform("_s", lambda s: s["token_id"]).alias("ids"), F.size("_s").alias("n_tokens"))
+
+
+def padded(ids: str, n: str, length: Column) -> list[Column]:
+    """``input_ids`` and ``attention_mask`` of ``length``: right-padded with 0, the mask 1 for real tokens."""
+    pad = F.array_repeat(F.lit(PAD), length - F.col(n))
+    return [F.concat(ids, pad).alias("input_ids"), F.concat(F.array_repeat(F.lit(1), F.col(n)), pad).alias("attention_mask")]
+
+
+def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int) -> DataFrame:
+    """Text -> ``input_ids``/``attention_mask`` of exactly ``max_length`` and ``n_tokens``."""
+    return encode_ragged(df, key, text, vocab, max_length).select(key, *padded("ids", "n_tokens", F.lit(max_length)), "n_tokens")
 
 
 def length_profile(df: DataFrame, by, text: str, max_length: int) -> DataFrame:
@@ -72,8 +84,9 @@ def length_profile(df: DataFrame, by, text: str, max_length: int) -> DataFrame:
 
 def oov_ratio(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
     """Share of tokens outside the vocabulary per row (T10); no tokens -> null."""
-    ids = token_ids(df, key, text, vocab, None)
-    return ids.groupBy(key).agg(F.avg(F.when(F.col("token_id") == UNK, 1.0).when(F.col("token_id").isNotNull(), 0.0)).alias("oov_ratio"))
+    ids = encode_ragged(df, key, text, vocab, None)
+    unknown = F.size(F.filter("ids", lambda t: t == UNK))
+    return ids.select(key, F.try_divide(unknown.cast("double"), F.col("n_tokens")).alias("oov_ratio"))
 
 
 def pad_to_batch_max(encoded: DataFrame, batch: str, n_tokens: str = "n_tokens") -> DataFrame:
@@ -85,3 +98,15 @@ def pad_to_batch_max(encoded: DataFrame, batch: str, n_tokens: str = "n_tokens")
                    .withColumn("waste_share", F.when(F.col("padded_len") > 0,
                                1 - F.col("_real") / (F.col("padded_len") * F.col("n_rows"))))
                    .drop("_real"))
+
+
+def pad_batches(encoded: DataFrame, batch: str, ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
+    """The rows of ``encoded`` padded to the longest row of their batch (T17), as a collator gives them to a model:
+    ``ids`` gives way to ``input_ids``, ``attention_mask`` and ``padded_len``.
+
+    The batches' lengths are a table of their own, written once; rows meet it by a broadcast where its size has been
+    checked, else by a join on the batch.  A batch without a token has length 0.  Null batches are a batch.
+    """
+    longest = bounded_broadcast(encoded.groupBy(F.col(batch).alias("_batch")).agg(F.max(n_tokens).alias("padded_len")))
+    j = encoded.join(longest, F.col(batch).eqNullSafe(F.col("_batch")))
+    return j.select(*[c for c in encoded.columns if c != ids], *padded(ids, n_tokens, F.col("padded_len")), "padded_len")

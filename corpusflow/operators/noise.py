@@ -6,11 +6,12 @@ size or the SQL oracle picks the same labels, words and letters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import row_hash32, sub_uniform, uniform
 from corpusflow.functions.text import nonspace_tokens
+from corpusflow.operators.lookup import row_lookup
 
 
 def flip_labels(df: DataFrame, label: str, key: str, p: float, num_labels: int, seed,
@@ -59,25 +60,39 @@ def typos(df: DataFrame, text: str, key: str, p: float, seed, out: str = "text_o
 MARKS = ".,;:!?*$%&#|()[]{}<>"
 
 
+def _front(tok: Column) -> Column:
+    return F.left(tok, F.length(tok) - F.length(F.ltrim(tok, F.lit(MARKS))))
+
+
+def _back(tok: Column) -> Column:
+    return F.right(tok, F.length(tok) - F.length(F.rtrim(tok, F.lit(MARKS))))
+
+
 def replace_from_cache(df: DataFrame, text: str, key: str, cache: DataFrame, p: float, seed,
                        term: str = "term", repl: str = "replacement", out: str = "text_out") -> DataFrame:
     """Replace tokens found in a cache table with probability ``p``.
 
     A token is looked up by its word, lower-cased and without the marks around
-    it, which stay.  Tokens are exploded; only those that the seeded draw picks
-    have a word to look up, so the others pass the join with the cache by
-    (broadcast only when the caller knows its bound; Spark/AQE decides
-    otherwise).  The regroup is partial-aggregated in the task that exploded
-    the row.
+    it, which stay, and only where the seeded draw picks it.  A cache within the
+    byte bound is looked up inside the row (``row_lookup``).  Beyond it tokens
+    are exploded and joined; those that are not picked have no word to look up
+    and pass the join by.
     """
+    look_up = row_lookup(cache, term, repl)
+    if look_up is not None:
+        def replace(tok: Column, i: Column) -> Column:
+            new = F.concat(_front(tok), look_up(F.lower(F.btrim(tok, F.lit(MARKS)))), _back(tok))
+            return F.when(sub_uniform(F.col("_h32"), i) < p, F.coalesce(new, tok)).otherwise(tok)
+
+        x = df.select(key, row_hash32(seed, key).alias("_h32"), F.coalesce(nonspace_tokens(F.col(text)), F.array().cast("array<string>")).alias("_t"))
+        return x.select(key, F.array_join(F.transform("_t", replace), " ").alias(out))
     ex = df.select(key, row_hash32(seed, key).alias("_h32"),
                    F.posexplode_outer(nonspace_tokens(F.col(text))).alias("pos", "tok"))
     picked = sub_uniform(F.col("_h32"), F.col("pos")) < p
     word = F.when(picked, F.lower(F.btrim("tok", F.lit(MARKS))))
     c = cache.select(F.col(term).alias("_term"), F.col(repl).alias("_r"))
     j = ex.withColumn("_term", word).join(c, "_term", "left")
-    front = F.length("tok") - F.length(F.ltrim("tok", F.lit(MARKS)))
-    new = F.concat(F.left("tok", front), F.col("_r"), F.right("tok", F.length("tok") - F.length(F.rtrim("tok", F.lit(MARKS)))))
+    new = F.concat(_front(F.col("tok")), F.col("_r"), _back(F.col("tok")))
     j = j.withColumn("_w", F.when(F.col("_r").isNotNull(), new).otherwise(F.col("tok")))
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(),
                                                                 F.struct("pos", "_w")))).alias("_s"))

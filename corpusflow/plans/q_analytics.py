@@ -92,10 +92,11 @@ def results(spark, d):
 
 
 def scanned(spark, d):
-    """Write the results as JSON plus one corrupt file, then scan them back."""
+    """Write the results as JSON plus a broken document for every event type, then scan them back."""
     path = scratch_dir(spark, "results")
     R.write_results(results(spark, d), path)
-    spark.createDataFrame([(CORRUPT_DOC,)], "value string").write.mode("append").text(path)
+    broken = Tables(spark, d).events.select(F.concat(F.lit(BROKEN), "event_type").alias("value")).distinct()
+    broken.write.mode("append").text(path)
     return R.read_results(spark, path, lines=True)
 
 
@@ -129,15 +130,13 @@ def results_scan(spark, d):
                        F.round("duration_seconds", 6).alias("duration_s"), "timestamp")
 
 
-CORRUPT_DOC = '{"experiment_name": broken'
+BROKEN = '{"experiment_name": broken '
 
 
-@query("results_corrupt", """
-SELECT '{"experiment_name": broken' AS _corrupt, CAST(NULL AS VARCHAR) AS experiment_name
-WHERE EXISTS (SELECT 1 FROM events)""")
+@query("results_corrupt", f"""
+SELECT DISTINCT '{BROKEN}' || event_type AS _corrupt, CAST(NULL AS VARCHAR) AS experiment_name FROM events""")
 def results_corrupt(spark, d):
-    """The corrupt result file is reported, not fatal: exactly one bad row
-    next to all the good ones, whatever the data."""
+    """Broken result documents are reported, each by itself, and not fatal to the good ones beside them."""
     _, bad = scanned(spark, d)
     # Spark refuses a raw-JSON query that reads only the corrupt-record column
     return bad.select("_corrupt", "experiment_name")

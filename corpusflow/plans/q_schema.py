@@ -11,6 +11,7 @@ from corpusflow.plans.q_sampling import SEED, SPLIT3_SQL, labelled_docs
 from corpusflow.plans.registry import query
 from corpusflow.session import scratch_dir
 from corpusflow.sources import csv_splits as CSV
+from corpusflow.sources import versions as V
 from corpusflow.sources.tables import Tables, load_named
 
 
@@ -50,6 +51,21 @@ def summary_append(spark, d):
     return P.union_tolerant(old, new)
 
 
+@query("summary_versions", """
+SELECT 1 AS version, doc_id, quality, toxic FROM labels WHERE quality = 1
+UNION ALL SELECT 2, doc_id, quality, CASE WHEN quality = 1 THEN toxic END FROM labels
+UNION ALL SELECT 3, doc_id, quality, CASE WHEN quality = 1 THEN toxic END FROM labels""")
+def summary_versions(spark, d):
+    """A stored summary that is appended to (the second time without a column) and rewritten; every version can be read."""
+    lab = Tables(spark, d).labels
+    path = scratch_dir(spark, "summary")
+    V.append(lab.where(F.col("quality") == 1).select("doc_id", "quality", "toxic"), path)
+    V.append(lab.where(F.col("quality") != 1).select("doc_id", "quality"), path)
+    V.rewrite(spark, path)
+    every = [V.read(spark, path, v).select(F.lit(v).alias("version"), "doc_id", "quality", "toxic") for v in V.versions(spark, path)]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
 @query("normalize_schema", """
 SELECT d.text, l.quality AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
 def normalize_schema(spark, d):

@@ -163,6 +163,22 @@ def dynamic_padding(spark, d):
     return p.select("batch_id", "n_rows", "padded_len", F.round("waste_share", 6).alias("waste_share"))
 
 
+@query("padded_batches", encode_sql(128, 1000) + f""",
+b AS (SELECT doc_id, ids, CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY md5('{SEED}|' || CAST(doc_id AS VARCHAR)), doc_id) - 1) / 8) AS BIGINT) AS batch_id FROM enc),
+m AS (SELECT *, MAX(len(ids)) OVER (PARTITION BY batch_id) AS padded_len FROM b)
+SELECT doc_id, batch_id, CAST(len(ids) AS INTEGER) AS n_tokens, CAST(padded_len AS INTEGER) AS padded_len,
+       array_to_string(list_resize(ids, padded_len, 0), ',') AS input_ids,
+       array_to_string(list_resize(list_transform(ids, lambda x: 1), padded_len, 0), ',') AS attention_mask FROM m""")
+def padded_batches(spark, d):
+    """Every row of a batch padded to the batch's longest, with its mask."""
+    t = Tables(spark, d)
+    v = EN.build_vocab(t.documents, "text", 1000)
+    e = EN.encode_ragged(t.documents, "doc_id", "text", v, 128)
+    p = EN.pad_batches(assign_batches(e, 8, SEED, "doc_id").drop("sample_rank"), "batch_id")
+    return p.select("doc_id", "batch_id", "n_tokens", "padded_len", F.array_join("input_ids", ",").alias("input_ids"),
+                    F.array_join("attention_mask", ",").alias("attention_mask"))
+
+
 BINS = ["easy", "medium", "hard"]
 
 
@@ -227,7 +243,7 @@ SELECT d.doc_id, COALESCE(r.text_out, '') AS text_out FROM documents d LEFT JOIN
 def synonym_replace(spark, d):
     t = Tables(spark, d)
     v = EN.build_vocab(t.documents, "text", CACHE_WORDS)
-    # the cache stands for a table of paraphrases; its size is a parameter, so broadcast
-    cache = F.broadcast(v.select("term", F.concat("term", F.lit("~syn")).alias("replacement")))
+    # the cache stands for a table of paraphrases
+    cache = v.select("term", F.concat("term", F.lit("~syn")).alias("replacement"))
     return NZ.replace_from_cache(t.documents.select("doc_id", "text"), "text", "doc_id", cache, 0.3, SEED)
 

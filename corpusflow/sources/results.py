@@ -79,22 +79,27 @@ def read_results(spark: SparkSession, path: str, lines: bool = False) -> tuple[D
         return empty, empty.select(F.lit(None).cast("string").alias("_file"), "_corrupt", "experiment_name")
     # the keyword form: ``text()`` would override an earlier ``option("wholetext")``
     t = spark.read.text(path, wholetext=not lines).withColumn("_file", F.input_file_name())
+    parsed = parse_documents(t, lines)
+    good = parsed.where(~F.col("_bad")).drop("_corrupt", "_doc", "_bad")
+    bad = parsed.where("_bad").select("_file", F.coalesce("_corrupt", "_doc").alias("_corrupt"), "experiment_name")
+    return good, bad
+
+
+def parse_documents(texts: DataFrame, lines: bool = False) -> DataFrame:
+    """One row per result document in ``value`` (see ``read_results``): ``_file``, the result's fields, ``_corrupt``,
+    the document itself (``_doc``) and ``_bad``, whether it is none.  Works on streams as well."""
     def strip(c):  # ``trim`` removes spaces only; documents may end with newlines
         return F.regexp_replace(c, r"^\s+|\s+$", "")
 
     body = strip(F.col("value"))
     is_lines = F.exists(F.split(body, "\r?\n"), lambda x: x.rlike(r"^\{.*\}\s*$"))
     docs = F.array(body) if lines else F.when(is_lines, F.split(body, "\n")).otherwise(F.array(body))
-    d = (t.select("_file", F.explode(docs).alias("doc")).withColumn("doc", strip(F.col("doc")))
-          .where(F.length("doc") > 0))
+    d = texts.select("_file", F.explode(docs).alias("doc")).withColumn("doc", strip(F.col("doc"))).where(F.length("doc") > 0)
     parsed = d.select("_file", F.from_json("doc", RESULT_SCHEMA, {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"), "doc")
     parsed = parsed.select("_file", "r.*", F.col("doc").alias("_doc"))
-    bad_row = F.col("_corrupt").isNotNull() | F.col("experiment_name").isNull() & F.col("_doc").isNotNull() & \
-        ~F.col("_doc").startswith("{")
-    good = parsed.where(~bad_row).drop("_corrupt", "_doc")
-    bad = parsed.where(bad_row).select("_file", F.coalesce("_corrupt", "_doc").alias("_corrupt"), "experiment_name")
-    return good, bad
+    bad = F.col("_corrupt").isNotNull() | F.col("experiment_name").isNull() & F.col("_doc").isNotNull() & ~F.col("_doc").startswith("{")
+    return parsed.withColumn("_bad", bad)
 
 
 def summary_table(results: DataFrame) -> DataFrame:
