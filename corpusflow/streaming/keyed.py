@@ -57,7 +57,8 @@ def progress_every(stream: DataFrame, key: str, every: int = 100, ts: str | None
     Tasks count the events of a key before they are dealt by key, so a busy key sends a row a batch of Arrow and
     not a row an event.  The state of a key is its count.  With ``idle_ms`` (and the event time ``ts``) a timer
     closes a key once the watermark is that far beyond its last event: a row with its last step and ``closing``
-    true, after which its state is gone and it begins anew.
+    true, after which its state is gone and it begins anew.  Events behind the watermark (at first: not after the
+    beginning of 1970) are late and not counted then; without ``idle_ms`` none is late.
     """
     kind = stream.schema[key].dataType.simpleString()
 

@@ -64,15 +64,14 @@ def test_progress_in_any_order(spark):
 
 def test_an_idle_key_is_closed_by_its_timer(spark):
     src, sink, ckpt = (scratch_dir(spark, f"t-idle-{x}") for x in ("in", "sink", "ckpt"))
-    day = 86_400
+    day, begin = 86_400, 1_700_000_000  # what is not after 1970 began is late for a watermark from the start
     parts = [[("a", 0)] * 5 + [("b", 10)] * 3, [("b", 5 * day)] * 4, [("b", 9 * day), ("a", 9 * day)]]
     for part in parts:
-        df = spark.createDataFrame(part, "who string, s long").select("who", F.timestamp_seconds("s").alias("at"))
+        df = spark.createDataFrame(part, "who string, s long").select("who", F.timestamp_seconds(F.col("s") + begin).alias("at"))
         df.coalesce(1).write.mode("append").parquet(src)
         steps = K.progress_every(ST.file_stream(spark, src, df.schema), "who", 2, ts="at", delay="1 hour", idle_ms=2 * day * 1000)
         ST.run_available_now(steps, sink, ckpt, "append")
     got = collections.Counter((r["who"], r["step"], r["closing"]) for r in spark.read.parquet(sink).collect())
-    print("GOT", got)
     assert got[("a", 5, True)] == 1  # closed with the step it had reached, between its hundredths
     assert got[("a", 2, False)] == got[("a", 4, False)] == 1
     assert got[("b", 2, False)] >= 1 and sum(n for (w, _, c), n in got.items() if w == "a" and c) == 1
