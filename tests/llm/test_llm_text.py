@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -15,7 +16,8 @@ import tokenizers
 from pyspark.sql import functions as F
 
 from corpusflow.llm import language, quality_cnn
-from corpusflow.llm.license_scan import scan_licenses, telling, template_words, two_grams, TEMPLATES, CONFIRM
+from corpusflow.llm.common import row_digest
+from corpusflow.llm.license_scan import CONFIRM, TEMPLATES, coverage, reach, scan_licenses, telling, template_words, two_grams, vocabulary, windows
 from corpusflow.llm.q_quality_cnn import KEEP
 from corpusflow.llm.quality_rules import COVERAGE, measures, repetition_rules
 from corpusflow.llm.sentencepiece_bpe import Encoder, encode_decode, split_stretches
@@ -256,6 +258,64 @@ def test_licenses_are_found(spark, messy, empty):
     assert scan_licenses(empty).count() == 0
 
 
+#: Openings of notices as programs carry them, and their families.
+NOTICES = {
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+           "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+            "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+           "(the \"Software\"), to deal in the Software without restriction",
+    "apache": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."}
+
+
+def test_notices_are_found_however_they_are_wrapped(spark):
+    rows, want = [], {}
+    for k, (family, text) in enumerate(NOTICES.items()):
+        for j, shape in enumerate((text, "\n".join("# " + x for x in textwrap.wrap(text, 72)), "\n".join(textwrap.wrap(text, 30)))):
+            want[10 * k + j] = family
+            rows.append((10 * k + j, f"one line before it\n{shape}\nand one after"))
+    rows.append((900, "\n".join(textwrap.wrap(" ".join(NOTICES[f] for f in ("gpl", "lgpl", "bsd")), 72))))
+    rows.append((901, "Released under the MIT License\nLicensed under CC BY 4.0"))
+    rows.append((902, NOTICES["mit"] + "\n \t\n" + NOTICES["mit"]))
+    plain = [(i, t) for i, t in rows if i % 10 == 0 or i > 899]
+    wrapped = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: (r["families"], r["n_license"]) for r in scan_licenses(wrapped).collect()}
+    assert {i: got[i] for i in want} == {i: (f, 1) for i, f in want.items()}
+    assert got[900] == ("bsd|gpl|lgpl", 3) and got[901] == ("cc-by|mit", 2) and got[902] == ("mit", 2)
+    alone = {r["id"]: (r["families"], r["n_license"]) for r in scan_licenses(spark.createDataFrame(plain, "doc_id long, text string")).collect()}
+    assert alone == {i: got[i] for i in alone}
+
+
+def brute_windows(text):
+    """(paragraph, template n-grams) of every window of a text."""
+    gate, vocab, (lead, sizes) = set(telling()), set(vocabulary()), reach()
+    out = set()
+    for p, run in enumerate(re.split("\n[\t-\r ]*\n", text or "")):
+        words = [w for w in re.split("[^a-z0-9]+", run.lower()) if w]
+        for i, pair in enumerate(two_grams(words)):
+            if pair in gate:
+                for n in sizes:
+                    w = words[max(0, i - lead):i + n]
+                    out.add((p, tuple(sorted({g for g in [*w, *two_grams(w)] if g in vocab}))))
+    return out
+
+
+def test_windows_and_coverage_match_brute_force(spark, messy):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    extra = [(10**6 + i, "\n\n".join(textwrap.fill(t, 40) for t in [*NOTICES.values()][i:])) for i in range(5)]
+    docs = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string")).unionByName(messy.select("doc_id", "text"))
+    families = sorted(TEMPLATES)
+    want = {(r["doc_id"], p, g) for r in docs.collect() for p, g in brute_windows(r["text"])}
+    ids = docs.select("doc_id", *row_digest("doc_id", "text")).distinct()
+    got = windows(docs, "doc_id", "text").join(ids, ["_d1", "_d2"]).select("doc_id", "_para", "_grams", coverage(F.col("_grams"), families).alias("_c")).collect()
+    assert {(r["doc_id"], r["_para"], tuple(r["_grams"])) for r in got} == want and len(want) > 100
+    shares = {f: [set(two_grams(template_words(t))) for t in TEMPLATES[f]] for f in families}
+    for r in got:
+        assert r["_c"] == [max(len(t & set(r["_grams"])) / len(t) for t in shares[f]) for f in families]
+
+
 def test_licenses_over_the_test_documents(spark):
     from corpusflow.llm.queries import QUERIES
     notices = {"mit": "Released under the MIT License.", "apache": "Licensed under the Apache License, Version 2.0.", "cc-by-nc": "Licensed under CC BY-NC 4.0.",
