@@ -4,8 +4,9 @@ For several n-gram lengths, rolling hashes over a text's word ids mark every
 window that occurs more than once, and the characters of the words inside such
 windows are measured against all word characters; lines that repeat an earlier
 line are measured likewise.  Word ids come from an exact dictionary and the
-hash starts anew in each text, so nothing is shared between texts.  Coverage
-counts what repeats something earlier.  A text fails when it breaks a base rule
+hash starts anew in each text, so nothing is shared between texts.  N-gram
+coverage takes every place of a repeated window, the first included; line
+coverage takes the lines that repeat an earlier one.  A text fails when it breaks a base rule
 or when some coverage is above its limit; the one line that a page carries at
 its top and again at its foot is excused.
 """
@@ -23,6 +24,7 @@ from corpusflow.llm.arrow import arrow_udf, parts, struct
 SYMBOLS = b"#*$%&|<>"
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: Largest accepted share of word characters inside repeated n-grams, by n, and inside repeated lines.
+#: At sf0.1 they lie at twice the 99.9th percentile (7, 6 and 0 %) of texts labelled good, or above.
 COVERAGE = {5: 0.15, 7: 0.13, 10: 0.10}
 LINES = 0.20
 BASE_WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 3, 50, 50
@@ -40,8 +42,8 @@ def spread(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def covered(hashes: np.ndarray, valid: np.ndarray, n: int, first: bool) -> np.ndarray:
-    """Which words lie in a valid window of ``n`` whose hash occurs at least twice; ``first``: in its first place too."""
+def covered(hashes: np.ndarray, valid: np.ndarray, n: int) -> np.ndarray:
+    """Which words lie in a valid window of ``n`` whose hash occurs at least twice, in any of its places."""
     starts = np.flatnonzero(valid)
     out = np.zeros(len(valid) + 1, dtype=np.int32)
     if len(starts):
@@ -50,8 +52,7 @@ def covered(hashes: np.ndarray, valid: np.ndarray, n: int, first: bool) -> np.nd
         same = h[1:] == h[:-1]
         twice = np.zeros(len(h), dtype=bool)
         twice[1:] = same
-        if first:
-            twice[:-1] |= same
+        twice[:-1] |= same
         s = starts[order[twice]]
         np.add.at(out, s, 1)
         np.add.at(out, s + n, -1)
@@ -93,11 +94,10 @@ def measures(texts: list[str], lengths: list[int]) -> dict[str, np.ndarray]:
             ahead[:max(0, len(flat) - size)] = own[size:]
             rolling = rolling * _ODD + ahead
             size += 1
+        inside = covered(rolling ^ salt, left >= k, k)
         if k == BASE_WINDOW:
-            inside = covered(rolling ^ salt, left >= k, k, first=True)
             out["n_repeat_words"] = np.bincount(text[inside], minlength=n).astype(np.int64)
         if k in lengths:
-            inside = covered(rolling ^ salt, left >= k, k, first=False)
             out[f"repeat_chars_{k}"] = np.bincount(text[inside], weights=chars[inside], minlength=n).astype(np.int64)
     return out
 
@@ -134,7 +134,7 @@ def repetition_rules(text: Column, coverage: Mapping[int, float] = COVERAGE, lin
         total = all_["word_chars"]
         fine = all_["dup_line_chars"] - chars <= lines * total
         for k in lengths:
-            fine &= all_[f"repeat_chars_{k}"] - np.where(words >= k, chars, 0) <= coverage[k] * total
+            fine &= all_[f"repeat_chars_{k}"] - np.where(words >= k, 2 * chars, 0) <= coverage[k] * total
         return struct({**{c: pa.array(all_[c], pa.int64()) for c in counts}, "base_failed": pa.array(base), "kept": pa.array(~base & fine)})
 
     return of(text)
