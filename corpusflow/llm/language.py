@@ -13,6 +13,7 @@ rejected.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,11 @@ from corpusflow.llm.common import cut, held_out
 WIDTH_BITS, PER_LANGUAGE, CENTROIDS = 14, 400, 3
 #: A text is rejected below this share of the sample's lowest ordinary cosine (its first percentile).
 REJECT = 0.5
-NO_LETTER = re.compile(r"[\W\d_]+")
+#: Numerals that count as word characters without being letters or decimal digits, as one half or Roman eight.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+NO_LETTER = re.compile(rf"[\W\d_{re.escape(NUMERALS)}]+")
+#: Rows of a language are first ranked within this many hash buckets.
+BUCKETS = 64
 UNKNOWN = "und"
 
 
@@ -117,15 +122,19 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
         ~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     seen = document_frequencies(rows, "_text")
     idf = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1).astype(np.float32)
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64(F.lit(17), "_id"), "_id")
-    lettered = rows.where(F.col("_text").rlike(r"\p{L}"))
-    # ranked on ids alone; the few chosen rows then fetch their texts
-    chosen = cut(lettered.select("_id", "_lang").withColumn("_n", F.row_number().over(order))
-                 .where(F.col("_n") <= per_language).select("_id", "_lang").distinct())
-    sample = lettered.join(F.broadcast(chosen), ["_id", "_lang"])  # per_language rows for each language
+    order = (F.xxhash64(F.lit(17), "_id"), "_id", "_h")
+    lettered = rows.where(F.col("_text").rlike(r"\p{L}")).withColumn("_h", F.xxhash64("_text"))
+    # ranked on ids and digests alone, first within buckets, so that no task meets all rows of a language;
+    # the few chosen rows then fetch their texts
+    chosen = lettered.select("_id", "_lang", "_h", F.pmod(F.xxhash64(F.lit(23), "_id", "_h"), F.lit(BUCKETS)).alias("_b"))
+    for keys in (["_lang", "_b"], ["_lang"]):
+        chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= per_language)
+    key = ["_id", "_lang", "_h"]
+    # per_language rows for each language; repeated rows count once
+    sample = lettered.join(F.broadcast(cut(chosen.select(key).distinct())), key).dropDuplicates(key)
 
     def centres(batch: pa.Table) -> pa.Table:
-        texts = sorted(batch["_text"].to_pylist())[:2 * per_language]  # repeated ids bring more rows
+        texts = sorted(batch["_text"].to_pylist())
         x, there = vectors(texts, idf)
         x = x[there]
         if not len(x):
