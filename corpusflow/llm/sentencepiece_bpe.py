@@ -242,6 +242,7 @@ class Encoder:
         self.met: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}
+        self.corrected: set[str] = set()  # stretches that the library encodes otherwise; none is known
 
     def units(self, stretch: str) -> list[str]:
         """The stretch in parts that no piece spans: apart at newlines, and before closing marks."""
@@ -288,14 +289,22 @@ class Encoder:
             flat = np.fromiter(chain.from_iterable(library), dtype="<u4", count=int(sizes.sum()))
             own = [met[w] for w in some]
             if flat.tobytes() != b"".join(own) or [4 * n for n in sizes.tolist()] != [len(x) for x in own]:
-                raise ValueError(f"encoding of a stretch differs from the library's, among {some[0][:80]!r} and others")
+                for w, ids in zip(some, library):  # the library's ids hold
+                    b = np.array(ids, dtype="<u4").tobytes()
+                    if met[w] != b:
+                        met[w] = b
+                        self.corrected.add(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without begin and end."""
+        return [ids for ids, _ in self.encode_noting(texts)]
+
+    def encode_noting(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """``encode``, and whether the library had to encode some stretch of the text."""
         split = [split_stretches(t) if t else [] for t in texts]
         self.learn(set().union(*split))
-        met = self.met
-        return [b"".join([met[w] for w in words]) for words in split]
+        met, corrected = self.met, self.corrected
+        return [(b"".join([met[w] for w in words]), bool(corrected) and not corrected.isdisjoint(words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -305,34 +314,38 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_decode(text: Column, model: str, digests: bool = True) -> Column:
-    """Struct of ``n_tokens``, ``ids`` (binary or, with ``digests``, its SHA-256) and ``decoded`` (likewise).
+    """Struct of ``n_tokens``, ``ids`` (binary or, with ``digests``, its SHA-256), ``decoded`` (likewise) and ``by_library``.
 
     Ids carry begin and end.  A null or empty text is the two of them alone and
     decodes to an empty text; a text that holds the space mark itself decodes
-    with plain spaces there, as the library does.  ``model`` is a path that
+    with plain spaces there, as the library does.  Where the agenda's ids differ
+    from the library's, or a text does not decode to itself, the library's own
+    encoding is returned and ``by_library`` is true.  ``model`` is a path that
     every executor can read.
     """
-    kind = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>" if digests else \
-        "struct<n_tokens: bigint, ids: binary, decoded: string>"
+    kind = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string, by_library: boolean>" if digests else \
+        "struct<n_tokens: bigint, ids: binary, decoded: string, by_library: boolean>"
 
     @arrow_udf(kind)
     def of(texts: pa.Array) -> pa.Array:
         e = encoder(model)
         library = e.vocabulary.library
         begin, end = (np.array([i], dtype="<u4").tobytes() for i in (library.bos_id(), library.eos_id()))
-        count, all_ids, all_text = [], [], []
+        count, all_ids, all_text, helped = [], [], [], []
         for some in parts(texts):
-            for t, ids in zip(some, e.encode(some)):
+            for t, (ids, noted) in zip(some, e.encode_noting(some)):
                 ids = begin + ids + end
                 decoded = library.decode(np.frombuffer(ids, dtype="<u4").tolist())
                 if decoded != t.replace(SPACE, " "):
-                    raise ValueError(f"decoding of {t[:80]!r} differs from the text")
+                    own = library.encode(t)
+                    ids, decoded, noted = begin + np.array(own, dtype="<u4").tobytes() + end, library.decode(own), True
+                helped.append(noted)
                 count.append(len(ids) // 4)
                 all_ids.append(hashlib.sha256(ids).hexdigest() if digests else ids)
                 all_text.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest() if digests else decoded)
         names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
         return struct({"n_tokens": pa.array(count, pa.int64()),
                        names[0]: pa.array(all_ids, pa.string() if digests else pa.binary()),
-                       names[1]: pa.array(all_text, pa.string())})
+                       names[1]: pa.array(all_text, pa.string()), "by_library": pa.array(helped, pa.bool_())})
 
     return of(text)
