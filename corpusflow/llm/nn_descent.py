@@ -4,7 +4,10 @@ Equal vectors collapse to one node first.  Neighbour lists start from random
 hyperplane leaves and are refined by neighbours-of-neighbours joins: around each
 node, the vectors that it lists and that list it are compared with one another,
 and every pair better than the end of a list enters it, until the lists hardly
-change.  Every comparison also returns a spanning forest of all its pairs at the
+change.  Nodes around which no entry is new are not joined again, as nothing
+can come of it.  A list that is saturated, full of links at the threshold, is
+enlarged by the links it is offered, to ``ENLARGED`` entries; what lies beyond
+is left to the components.  Every comparison also returns a spanning forest of all its pairs at the
 threshold, listed or not; these edges link nodes into components.  Later rounds
 compare across components only: lists that were full of their own component
 search beyond it, with fresh leaves, until no round merges any.  Links are then
@@ -33,6 +36,8 @@ from corpusflow.llm.simhash import hook
 
 #: Neighbours listed, leaf tables per round, pairs a leaf or join offers to each vector.
 LISTED, TABLES, OFFERED = 16, 8, 6
+#: Entries that a saturated list may grow to.
+ENLARGED = 32
 #: Vectors in a leaf, popular node's joins and component block; rows per call.
 LEAF, CROWD, BLOCK, ROWS_PER_CALL = 128, 64, 2048, 20_000
 #: Vectors that the audit compares with all others, the recall it asks for, and most rounds.
@@ -68,6 +73,11 @@ def sections(*keys: np.ndarray) -> Iterator[np.ndarray]:
     return iter(np.split(order, np.flatnonzero(change)))
 
 
+def digest(vec: Column) -> Column:
+    """128 bits that name a vector by its components in double precision; 0 and -0 are one."""
+    return F.unhex(F.md5(F.transform(vec, lambda v: v.cast("double") + F.lit(0.0)).cast("string").cast("binary")))
+
+
 def calls(rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_CALL))
 
@@ -108,16 +118,20 @@ def leaf_pairs(nodes: DataFrame, n: int, threshold: float, seed: int) -> DataFra
 
 
 def top_pairs(nid: np.ndarray, root: np.ndarray, x: np.ndarray, bar: np.ndarray, threshold: float, out: list[list[np.ndarray]]) -> None:
-    """For each vector its best ``OFFERED`` partners outside its component that exceed its bar; the forest of all links."""
+    """For each vector its best ``OFFERED`` partners outside its component that exceed its bar, up to ``ENLARGED`` if they
+    are links; the forest of all links."""
     sim = x @ x.T
     sim[root[:, None] == root[None, :]] = -3
     parent = np.arange(len(nid))
     hook(parent, *np.nonzero(sim >= threshold))
     forest(nid, parent, out)
-    k = min(OFFERED, len(nid) - 1)
+    k = min(ENLARGED if (sim >= threshold).sum(axis=1).max() > OFFERED else OFFERED, len(nid) - 1)
     best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
     value = np.take_along_axis(sim, best, axis=1)
-    r, c = np.nonzero((value > bar[:, None]) & (value > -2))
+    if k > OFFERED:
+        order = np.argsort(-value, axis=1, kind="stable")
+        best, value = (np.take_along_axis(x, order, axis=1) for x in (best, value))
+    r, c = np.nonzero((value > bar[:, None]) & (value > -2) & ((np.arange(k) < OFFERED) | (value >= threshold)))
     out[0].append(nid[r])
     out[1].append(nid[best[r, c]])
     out[2].append(value[r, c])
@@ -135,29 +149,40 @@ def pairs(out: list[list[np.ndarray]]) -> pa.Table:
     return pa.table({n: np.concatenate([np.zeros(0, k), *o]) for n, k, o in zip(("u", "v", "sim", "tree"), kinds, out)})
 
 
-def best_lists(found: DataFrame) -> DataFrame:
-    """The ``LISTED`` best distinct neighbours of each node; ``old``: listed before."""
+def best_lists(found: DataFrame, threshold: float) -> DataFrame:
+    """The ``LISTED`` best distinct neighbours of each node, in a saturated list up to ``ENLARGED`` links; ``old``: listed before."""
     order = Window.partitionBy("u").orderBy(F.col("sim").desc(), "v")
     return (found.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
-            .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= LISTED).drop("_r"))
+            .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= ENLARGED)
+            .where((F.col("_r") <= LISTED) | (F.col("sim") >= threshold)).drop("_r"))
 
 
 def listable(found: DataFrame) -> DataFrame:
     return found.where(~F.col("tree")).select("u", "v", "sim", F.lit(False).alias("old"))
 
 
-def refine(nodes: DataFrame, graph: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Lists after one neighbours-of-neighbours join, and its forest; saturated lists get no more offers."""
+def changes(graph: DataFrame) -> tuple[int, int]:
+    """Entries of the lists, and how many of them are new."""
+    return tuple(graph.agg(F.count(F.lit(1)), F.count_if(~F.col("old"))).first())
+
+
+def refine(nodes: DataFrame, graph: DataFrame, entries: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Lists after one neighbours-of-neighbours join around the nodes with new entries, and its forest.
+
+    Saturated lists take links until they hold ``ENLARGED`` entries.
+    """
     ends = graph.groupBy("u").agg(F.count(F.lit(1)).alias("_k"), F.min("sim").alias("_low"))
     bar = ends.select(F.col("u").alias("nid"), F.when(F.col("_k") < LISTED, F.lit(-2.0)).when(
-        F.col("_low") >= threshold, F.lit(2.0)).otherwise(F.col("_low")).alias("bar"))
+        F.col("_low") < threshold, F.col("_low")).when(
+        F.col("_k") < ENLARGED, F.lit(float(np.nextafter(threshold, -1)))).otherwise(F.lit(2.0)).alias("bar"))
+    active = graph.where(~F.col("old")).select(F.explode(F.array("u", "v")).alias("w")).distinct()
     # around w: its own list in every share, those that list it in one share each
     popular = graph.groupBy(F.col("v").alias("w")).agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("_shares"))
     listed = graph.select(F.col("u").alias("w"), F.col("v").alias("nid")).join(popular, "w", "left").select(
         "w", "nid", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)).alias("share"))
     listing = graph.select(F.col("v").alias("w"), F.col("u").alias("nid")).join(popular, "w").select(
         "w", "nid", F.pmod(F.xxhash64("nid"), F.col("_shares")).cast("int").alias("share"))
-    around = listed.unionByName(listing).distinct().join(nodes.select("nid", "root", "vec").join(bar, "nid", "left"), "nid")
+    around = listed.unionByName(listing).distinct().join(active, "w", "left_semi").join(nodes.select("nid", "root", "vec").join(bar, "nid", "left"), "nid")
 
     def join(t: pa.Table) -> pa.Table:
         nid, root, w, share = (t[c].to_numpy() for c in ("nid", "root", "w", "share"))
@@ -170,10 +195,10 @@ def refine(nodes: DataFrame, graph: DataFrame, n: int, threshold: float) -> tupl
                 top_pairs(nid[at], root[at], matrix(vec.take(pa.array(at))), bars[at], threshold, out)
         return pairs(out)
 
-    found = cut(around.groupBy(F.pmod(F.xxhash64("w", "share"), F.lit(calls(2 * n * LISTED)))).applyInArrow(join, FOUND))
+    found = cut(around.groupBy(F.pmod(F.xxhash64("w", "share"), F.lit(calls(3 * entries)))).applyInArrow(join, FOUND))
     offers = listable(found)
     both = offers.unionByName(offers.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "old"))
-    lists = best_lists(graph.withColumn("old", F.lit(True)).unionByName(both))
+    lists = best_lists(graph.withColumn("old", F.lit(True)).unionByName(both), threshold)
     return cut(lists), found.where("tree").select("u", "v")
 
 
@@ -205,7 +230,9 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
     ``members``: nid, root, copies, vec.  A component of more than ``BLOCK``
     nodes is compared block against block in separate calls.
     """
-    size = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_m"))
+    size = members.groupBy("root").agg(F.count(F.lit(1)).alias("_k"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_m"))
+    travelling = size.agg(F.sum(F.col("_k") * (2 * F.col("_m") - 1))).first()[0] or 0  # rows as they are replicated below
+    size = size.drop("_k")
     rows = members.join(size, "root").withColumn("_c", F.pmod(F.xxhash64("nid"), F.col("_m")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("_m") - 1))
     left = rows.withColumn("_o", others).select("root", F.col("_c").alias("i"), F.col("_o").alias("j"), "nid", "copies", "vec", F.lit(True).alias("counts"))
@@ -231,8 +258,7 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
                     others.append(near.sum(axis=1))
         return pa.table({"nid": np.concatenate(ids), "n": np.concatenate(ns).astype(np.int64), "other": np.concatenate(others).astype(np.int64)})
 
-    total = max(1, members.count())
-    return both.groupBy(F.pmod(F.xxhash64("root", "i", "j"), F.lit(calls(total)))).applyInArrow(
+    return both.groupBy(F.pmod(F.xxhash64("root", "i", "j"), F.lit(calls(travelling)))).applyInArrow(
         count, "nid long, n long, other long").groupBy("nid").agg(F.sum("n").alias("n"), (F.sum("other") - 1).alias("other"))
 
 
@@ -288,8 +314,8 @@ def near_duplicates(table: DataFrame, *, vec_id: str = "vec_id", vector: str = "
     """
     on_workers()
     rows = table.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).alias("vec"))
-    good = rows.where(usable(F.col("vec")))
-    nodes = cut(good.groupBy("vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    good = rows.where(usable(F.col("vec"))).withColumn("key", digest(F.col("vec")))
+    nodes = cut(good.groupBy("key", "vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
                 .withColumn("nid", F.monotonically_increasing_id()))  # fixed by the checkpoint
     n = nodes.count()
     graph, roots, measured = None, None, 1.0
@@ -299,14 +325,21 @@ def near_duplicates(table: DataFrame, *, vec_id: str = "vec_id", vector: str = "
         if k < rounds:
             found = cut(leaf_pairs(rooted, n, threshold, seed + k))
             trees, lists = found.where("tree").select("u", "v"), listable(found)
-            if graph is not None:  # lists go on without what is now in the same component
-                ends = rooted.select("nid", "root")
-                lists = lists.unionByName(graph.join(ends.toDF("u", "_ru"), "u").join(ends.toDF("v", "_rv"), "v").where(
-                    F.col("_ru") != F.col("_rv")).select("u", "v", "sim", "old"))
-            graph, changed = cut(best_lists(lists)), None
-            while changed is None or changed > SETTLED * n * LISTED:
-                graph, more = refine(rooted, graph, n, threshold)
-                trees, changed = trees.unionByName(more), graph.where(~F.col("old")).count()
+            if graph is not None:
+                # lists go on without what is now in the same component; what a component's members list is
+                # joined once more, as others may come first now
+                linked = roots.select(F.col("node").alias("nid"), F.lit(False).alias("single"))
+                ends = rooted.select("nid", "root").join(linked, "nid", "left").select("nid", "root", F.coalesce("single", F.lit(True)))
+                lists = lists.unionByName(graph.join(ends.toDF("u", "_ru", "_su"), "u").join(ends.toDF("v", "_rv", "_sv"), "v").where(
+                    F.col("_ru") != F.col("_rv")).select("u", "v", "sim", (F.col("old") & F.col("_su") & F.col("_sv")).alias("old")))
+            graph = cut(best_lists(lists, threshold))
+            entries, changed = changes(graph)
+            while changed:
+                graph, more = refine(rooted, graph, entries, threshold)
+                trees = trees.unionByName(more)
+                entries, changed = changes(graph)
+                if changed <= SETTLED * n * LISTED:
+                    break
         else:  # not settled by the search
             trees = all_pairs(rooted, n, threshold)
         if roots is not None:
@@ -328,8 +361,8 @@ def near_duplicates(table: DataFrame, *, vec_id: str = "vec_id", vector: str = "
     lowest = links.groupBy("root").agg(F.min("first").alias("lowest"))
     named = links.join(lowest, "root").select("nid", "n", "lowest")
     each = nodes.join(named, "nid", "left").select(
-        F.col("vec").alias("_v"), (F.coalesce("n", "copies") - 1).alias("n_links"), F.coalesce("lowest", "first").alias("component_id"))
-    found = rows.join(each, F.when(usable(F.col("vec")), F.col("vec")) == F.col("_v"), "left")
+        F.col("key"), F.lit(True).alias("_v"), (F.coalesce("n", "copies") - 1).alias("n_links"), F.coalesce("lowest", "first").alias("component_id"))
+    found = rows.select("id", F.when(usable(F.col("vec")), digest(F.col("vec"))).alias("key")).join(each, "key", "left")
     own = F.when(F.col("_v").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return found.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
                         own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"),
