@@ -180,6 +180,41 @@ def test_audit_sees_missed_pairs_beside_a_large_group(spark):
     assert nn_descent.audit(nodes, large, 0.95) < 0.5
 
 
+def test_saturated_lists_grow(spark):
+    rng, eye = np.random.default_rng(3), np.eye(24)
+    sizes = [5, 17, 25, 33, 60]
+    rows = [(k, eye[k] + 0.001 * rng.normal(size=24)) for k, size in enumerate(sizes) for _ in range(size)]
+    nodes = spark.createDataFrame([(i, i, [float(c) for c in v]) for i, (_, v) in enumerate(rows)], "nid long, root long, vec array<double>")
+    found = nn_descent.leaf_pairs(nodes, len(rows), 0.95, 1)
+    graph = nn_descent.best_lists(nn_descent.listable(found), 0.95).checkpoint()
+    changed = True
+    while changed:
+        entries, _ = nn_descent.changes(graph)
+        graph, _ = nn_descent.refine(nodes, graph, entries, 0.95)
+        changed = nn_descent.changes(graph)[1]
+    links = {}
+    for r in graph.where("sim >= 0.95").collect():
+        assert rows[r["u"]][0] == rows[r["v"]][0]
+        links.setdefault(r["u"], set()).add(r["v"])
+    for i, (k, _) in enumerate(rows):
+        assert len(links[i]) == min(sizes[k] - 1, nn_descent.ENLARGED)
+
+
+def test_component_calls_follow_replicated_rows(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(nn_descent, "BLOCK", 10)
+    monkeypatch.setattr(nn_descent, "calls", lambda rows: asked.append(rows) or 4)
+    members = spark.createDataFrame([(i, 0 if i < 100 else i, 1, [1.0, 0.0]) for i in range(110)], "nid long, root long, copies long, vec array<double>")
+    got = {r["nid"]: r["other"] for r in nn_descent.link_counts(members, 0.95).collect()}
+    assert asked == [100 * 19 + 10] and got == {i: 99 if i < 100 else 0 for i in range(110)}
+
+
+def test_zeros_of_either_sign_are_one_vector(spark):
+    rows = [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [1.0, 0.0])]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
 def test_nn_descent_of_no_rows(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_duplicates(none).count() == 0
