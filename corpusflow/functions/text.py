@@ -6,14 +6,11 @@ Python's ``re`` on ``str``.
 
 from __future__ import annotations
 
-import html as _html
 import json
 from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # one character reference: decimal, hexadecimal, or a name of up to 32 characters
 REFERENCE_RE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
@@ -84,10 +81,9 @@ def html_unescape(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), F.array_join(pairs, "")).otherwise(c)
 
 
-@F.pandas_udf(T.StringType())
-def html_unescape_full(s: pd.Series) -> pd.Series:
-    """Full HTML5 entity table and numeric references (T1, Arrow-batched)."""
-    return s.map(lambda x: None if x is None else _html.unescape(x))
+def html_unescape_full(c: Column | str) -> Column:
+    """Full HTML5 entity table and numeric references (T1): ``html_unescape`` for a column or its name."""
+    return html_unescape(F.col(c) if isinstance(c, str) else c)
 
 
 def strip_tags(c: Column) -> Column:

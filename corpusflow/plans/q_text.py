@@ -49,8 +49,7 @@ def html_unescape(spark, d):
 
 @query("html_unescape_full", f"SELECT page_id, {_unescape_sql('html')} AS text_out FROM pages")
 def html_unescape_full(spark, d):
-    """T1 through the Arrow-batched pandas UDF (full entity table, numeric
-    references): on these pages it must agree with the native decoder."""
+    """T1 under its earlier name, by the native decoder."""
     return Tables(spark, d).pages.select("page_id", X.html_unescape_full(F.col("html")).alias("text_out"))
 
 

@@ -17,7 +17,7 @@ def test_clean_text_order_and_one_pass(spark):
     assert out[2] is None and out[3] == ""
 
 
-def test_full_unescape_udf(spark):
+def test_full_unescape_by_name(spark):
     df = spark.createDataFrame([("&#8364; &eacute; &amp;lt;",)], "t string")
     assert df.select(X.html_unescape_full("t").alias("u")).collect()[0].u == "€ é &lt;"
 
