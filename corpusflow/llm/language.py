@@ -30,8 +30,9 @@ WIDTH_BITS, PER_LANGUAGE, CENTROIDS = 14, 400, 3
 #: A text is rejected below this share of the sample's lowest ordinary cosine (its first percentile).
 REJECT = 0.5
 #: Numerals that count as word characters without being letters or decimal digits, as one half or Roman eight.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-NO_LETTER = re.compile(rf"[\W\d_{re.escape(NUMERALS)}]+")
+NUMERALS = {c: " " for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()}
+BLANKED = str.maketrans(NUMERALS)
+NO_LETTER = re.compile(r"[\W\d_]+")
 #: Rows of a language are first ranked within this many hash buckets.
 BUCKETS = 64
 UNKNOWN = "und"
@@ -39,7 +40,10 @@ UNKNOWN = "und"
 
 def counts(text: str) -> np.ndarray | None:
     """Trigram counts of a text, None without letters."""
-    words = NO_LETTER.sub(" ", text.lower()).strip()
+    text = text.lower()
+    if not text.isascii() and not NUMERALS.keys().isdisjoint(text):
+        text = text.translate(BLANKED)
+    words = NO_LETTER.sub(" ", text).strip()
     if not words:
         return None
     b = np.frombuffer(f" {words} ".encode("utf-8"), dtype=np.uint8).astype(np.uint32)
