@@ -43,7 +43,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     Used where later steps need only some of the columns, which a checkpoint
-    cannot prune.
+    cannot prune, and in loops over joins: a checkpoint keeps Spark's estimate of
+    its plan's size, which joins multiply, so that the number's digits double
+    with every round until they fill the driver; files have their own size.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, tag)
@@ -51,5 +53,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Remove the files of a table made by ``stored`` that nothing will read any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm.arrow import arrow_udf, on_workers
-from corpusflow.llm.common import cut
+from corpusflow.llm.common import cut, dropped, stored
 from corpusflow.llm.components import connected_components
 from corpusflow.llm.simhash import hook
 
@@ -199,7 +199,7 @@ def refine(nodes: DataFrame, graph: DataFrame, entries: int, threshold: float) -
     offers = listable(found)
     both = offers.unionByName(offers.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "old"))
     lists = best_lists(graph.withColumn("old", F.lit(True)).unionByName(both), threshold)
-    return cut(lists), found.where("tree").select("u", "v")
+    return stored(lists, "lists"), found.where("tree").select("u", "v")
 
 
 def all_pairs(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -332,10 +332,13 @@ def near_duplicates(table: DataFrame, *, vec_id: str = "vec_id", vector: str = "
                 ends = rooted.select("nid", "root").join(linked, "nid", "left").select("nid", "root", F.coalesce("single", F.lit(True)))
                 lists = lists.unionByName(graph.join(ends.toDF("u", "_ru", "_su"), "u").join(ends.toDF("v", "_rv", "_sv"), "v").where(
                     F.col("_ru") != F.col("_rv")).select("u", "v", "sim", (F.col("old") & F.col("_su") & F.col("_sv")).alias("old")))
-            graph = cut(best_lists(lists, threshold))
+            before, graph = graph, stored(best_lists(lists, threshold), "lists")
+            if before is not None:
+                dropped(before)
             entries, changed = changes(graph)
             while changed:
-                graph, more = refine(rooted, graph, entries, threshold)
+                before, (graph, more) = graph, refine(rooted, graph, entries, threshold)
+                dropped(before)
                 trees = trees.unionByName(more)
                 entries, changed = changes(graph)
                 if changed <= SETTLED * n * LISTED:
@@ -358,6 +361,8 @@ def near_duplicates(table: DataFrame, *, vec_id: str = "vec_id", vector: str = "
         measured = audit(nodes, counted, threshold)
         if measured >= recall:
             break
+    if graph is not None:
+        dropped(graph)
     lowest = links.groupBy("root").agg(F.min("first").alias("lowest"))
     named = links.join(lowest, "root").select("nid", "n", "lowest")
     each = nodes.join(named, "nid", "left").select(

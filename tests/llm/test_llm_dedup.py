@@ -200,6 +200,16 @@ def test_saturated_lists_grow(spark):
         assert len(links[i]) == min(sizes[k] - 1, nn_descent.ENLARGED)
 
 
+def test_estimated_size_of_lists_stays_in_bounds(spark):
+    """Joins multiply Spark's estimates and a checkpoint keeps them: in a loop their digits double with every round."""
+    rng = np.random.default_rng(4)
+    nodes = spark.createDataFrame([(i, i, [float(c) for c in rng.normal(size=8)]) for i in range(100)], "nid long, root long, vec array<double>")
+    graph = nn_descent.best_lists(nn_descent.listable(nn_descent.leaf_pairs(nodes, 100, 0.95, 1)), 0.95).checkpoint()
+    for _ in range(3):
+        graph, _ = nn_descent.refine(nodes, graph, 1600, 0.95)
+    assert graph._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
+
+
 def test_component_calls_follow_replicated_rows(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(nn_descent, "BLOCK", 10)
