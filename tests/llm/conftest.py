@@ -9,6 +9,13 @@ def clash(df):
     return df.withColumns({c: F.lit("x") for c in CLASHING})
 
 
+@pytest.fixture(scope="module", autouse=True)
+def uncached(spark):
+    """Tables that a module's tests cache are not left to tests that look at plans of the same files."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def messy(spark):
     """Documents with nulls in every column, empty, blank and very long texts, ties and repeated rows."""
